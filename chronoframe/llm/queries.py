@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language, lines, packing, toxicity
+from . import decontam, jaccard, language, lines, packing, toxicity
 from .base import fold, materialize, table
 
 #: Where the public vocabulary files are: a parameter, never copied.
@@ -37,6 +37,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.predict(docs, language.train(docs))
@@ -44,8 +48,8 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_decontamination, op4_language, op5_line_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_decontamination, op4_language, op5_line_dedup, op7_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": lines.ORACLE}
+    return {"op5_line_dedup": lines.ORACLE, "op7_jaccard_join": jaccard.ORACLE}
