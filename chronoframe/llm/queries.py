@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, language, lines, packing, toxicity
+from . import decontam, fingerprint, jaccard, language, lines, packing, toxicity, warc
 from .base import fold, materialize, table
 
 #: Where the public vocabulary files are: a parameter, never copied.
@@ -41,6 +41,14 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint(table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.predict(docs, language.train(docs))
@@ -48,8 +56,8 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_decontamination, op4_language, op5_line_dedup, op7_jaccard_join)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_decontamination, op4_language, op5_line_dedup, op7_jaccard_join, op9_fingerprint, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": lines.ORACLE, "op7_jaccard_join": jaccard.ORACLE}
+    return {"op5_line_dedup": lines.ORACLE, "op7_jaccard_join": jaccard.ORACLE, "op10_warc": warc.ORACLE}
