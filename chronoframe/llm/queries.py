@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, jaccard, language, lines, packing, toxicity, warc
-from .base import fold, materialize, table
+from . import decontam, fingerprint, html, jaccard, language, lines, packing, pitman_yor, toxicity, warc
+from .base import fold, table
 
 #: Where the public vocabulary files are: a parameter, never copied.
 TOKENIZER = "word_bpe_49k.json"
@@ -49,6 +49,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents"))
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.predict(docs, language.train(docs))
@@ -56,7 +64,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_decontamination, op4_language, op5_line_dedup, op7_jaccard_join, op9_fingerprint, op10_warc)}
+    found = (
+        op1_packing, op2_toxicity, op3_decontamination, op4_language, op5_line_dedup,
+        op6_pitman_yor, op7_jaccard_join, op8_html, op9_fingerprint, op10_warc,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,6 +13,9 @@ _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: Any byte but ASCII white space.
+SPACED = np.ones(256, bool)
+SPACED[[32, *range(9, 14)]] = False
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 SEGMENT = 1 << 22
@@ -35,10 +38,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _hash(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _hash(data: bytes, part: np.ndarray = _TOKEN) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and starts of the tokens of one segment, which ends with a space."""
     buf = np.frombuffer(data, np.uint8)
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], _TOKEN[buf]]).view(np.int8)))
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], part[buf]]).view(np.int8)))
     start, end = edge[::2], edge[1::2]
     power, inverse = _power_tables(len(buf))
     with np.errstate(over="ignore"):
@@ -46,31 +49,34 @@ def _hash(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         return mix((total[end] - total[start]) * inverse[start]), start
 
 
-def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens in turn, and where each text's tokens begin (one more entry than texts)."""
+def token_hashes(texts: list[str | bytes | None], part: np.ndarray = _TOKEN) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens in turn, and where each text's tokens begin (one more entry than texts).
+
+    ``part`` says which bytes belong to tokens. Texts given as bytes are taken as they are.
+    """
     found, counts, group, size = [], [], [], 0
 
     def flush():
         nonlocal group, size
         if group:
-            h, start = _hash(b"".join(group))
+            h, start = _hash(b"".join(group), part)
             ends = np.cumsum([len(g) for g in group])
             found.append(h)
             counts.extend(np.diff(np.searchsorted(start, ends), prepend=0).tolist())
             group, size = [], 0
 
     for t in texts:
-        data = (t or "").lower().encode(errors="replace") + b" "
+        data = (t if isinstance(t, bytes) else (t or "").lower().encode(errors="replace")) + b" "
         if len(data) > SEGMENT:
             flush()
             n, at = 0, 0
             while at < len(data):  # cut after a byte that is in no token; a longer token is cut where it is
                 end = min(len(data), at + SEGMENT)
                 cut = end
-                while cut > at and _TOKEN[data[cut - 1]]:
+                while cut > at and part[data[cut - 1]]:
                     cut -= 1
                 cut = cut if cut > at else end
-                h, _ = _hash(data[at:cut] + b" ")
+                h, _ = _hash(data[at:cut] + b" ", part)
                 found.append(h)
                 n += len(h)
                 at = cut
