@@ -25,7 +25,7 @@ through.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import materialize
@@ -44,8 +44,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _lines(keyed: DataFrame) -> DataFrame:
     """Occurrences: _doc, _text, pos, n, leaf, line and, for short lines, the masked line."""
     split = keyed.select("_doc", "_text", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    masked = F.trim(F.regexp_replace(F.regexp_replace("raw", r"[\s\x{A0}]+", " "), VARIABLE, "<*>"))
-    cut = split.withColumn("masked", masked).withColumn("n", F.when(F.col("masked") == "", 0).otherwise(F.length("masked") - F.length(F.translate("masked", " ", "")) + 1))
+    spaced = F.when(F.col("raw").rlike(r"[\t-\r\x{A0}]|  "), F.regexp_replace("raw", r"[\s\x{A0}]+", " ")).otherwise(F.col("raw"))
+    masked = F.when(F.col("spaced").rlike("[0-9]"), F.regexp_replace("spaced", VARIABLE, "<*>")).otherwise(F.col("spaced"))
+    cut = split.withColumn("spaced", F.trim(spaced)).withColumn("masked", masked)
+    cut = cut.withColumn("n", F.when(F.col("masked") == "", 0).otherwise(F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1))
     return cut.where(F.col("n") >= MIN_TOKENS).select(
         "_doc", "_text", "pos", "n",
         F.xxhash64("n", F.substring_index("masked", " ", DEPTH)).alias("leaf"),
@@ -57,9 +59,10 @@ def _lines(keyed: DataFrame) -> DataFrame:
 def templates(lines: DataFrame) -> DataFrame:
     """line, template, for every distinct line that shares its leaf; others are their own template."""
     short = lines.where("masked IS NOT NULL")
-    distinct = short.groupBy("leaf", "n", "line").agg(F.min("masked").alias("masked"))
-    several = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = distinct.join(several, "leaf").withColumn("tokens", F.transform(F.split("masked", " "), lambda t: F.xxhash64(t)))
+    several = short.groupBy("leaf").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("leaf")
+    distinct = short.select("leaf", "n", "line", "masked").join(several, "leaf").groupBy("leaf", "n", "line").agg(F.min("masked").alias("masked"))
+    sizes = distinct.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("leaf")))
+    shared = materialize(sizes.withColumn("tokens", F.transform(F.split("masked", " "), lambda t: F.xxhash64(t))).drop("masked"), "leaves")
     token = shared.select("leaf", "size", F.posexplode("tokens").alias("pos", "token"))
     constant = token.groupBy("leaf", "size", "pos", "token").agg(F.count(F.lit(1)).alias("c")).where("2 * c > size")
     constants = constant.groupBy("leaf").agg(F.collect_list(F.struct("pos", "token")).alias("constants"))  # at most one a position
