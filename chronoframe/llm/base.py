@@ -44,6 +44,20 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def read_part(folder: str, column: str, value: int, names: list[str]) -> pa.Table | None:
+    """In a task: the rows of a table in the shared folder that lie in one of its partitions, or None."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    where, base = fs.FileSystem.from_uri(f"{folder}/{column}={value}")
+    try:
+        found = sorted(f.path for f in where.get_file_info(fs.FileSelector(base)) if f.path.endswith(".parquet"))
+    except FileNotFoundError:
+        return None
+    parts = [pq.ParquetFile(where.open_input_file(f)).read(columns=names) for f in found]
+    return pa.concat_tables(parts) if parts else None
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], schema: str, batch: int = 1024) -> DataFrame:
     """Per-task generator over rows, moved as Arrow batches.
 

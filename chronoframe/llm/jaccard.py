@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import map_rows, materialize
+from .base import fresh_dir, map_rows, materialize, read_part
 from .graph import components
 from .tokens import mix, token_hashes
 
@@ -102,6 +102,37 @@ def prepare(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return materialize(made.withColumn("uid", F.monotonically_increasing_id()), "grams")
 
 
+def carry(sets: DataFrame, dealt: DataFrame) -> DataFrame:
+    """The sets of the rows that ``dealt`` (uid, task, side, copies) names, once for each time it does.
+
+    The rows' numbers begin with the number of the file they are in. So ``dealt``
+    is written by file, each task that reads a file of sets takes what it is asked
+    for, and no other set is moved.
+    """
+    folder = fresh_dir(sets.sparkSession, "dealt")
+    dealt.withColumn("file", F.shiftright("uid", 33)).repartition(F.col("file")).write.partitionBy("file").parquet(folder)
+    out = pa.schema([("task", pa.int64()), ("side", pa.int32()), ("uid", pa.int64()), ("copies", pa.int64()), ("grams", pa.binary())])
+
+    def run(batches):
+        where, asked = None, {}
+        for b in batches:
+            rows: list[tuple] = []
+            for uid, grams in zip(b.column(0).to_pylist(), b.column(1)):
+                if uid >> 33 != where:
+                    where, asked = uid >> 33, {}
+                    said = read_part(folder, "file", where, ["uid", "task", "side", "copies"])
+                    for u, task, side, copies in zip(*(c.to_pylist() for c in said.columns)) if said else ():
+                        asked.setdefault(u, []).append((task, side, u, copies))
+                rows += [(*r, grams.as_py()) for r in asked.get(uid, ())]
+                if len(rows) >= 512:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+
+    return sets.select("uid", "grams").mapInArrow(run, "task long, side int, uid long, copies long, grams binary")
+
+
 KEY = ["set_a", "set_b", "size"]
 
 
@@ -209,8 +240,8 @@ def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: f
         F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("task"),
         F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
     )
-    carried = full.select("uid", "grams").join(dealt, "uid").join(rep.select(F.col("rep").alias("uid"), "copies"), "uid")
-    found = materialize(verify(carried, threshold), "links")
+    weighed = dealt.join(rep.select(F.col("rep").alias("uid"), "copies"), "uid")
+    found = materialize(verify(carry(full, weighed), threshold), "links")
     links = found.groupBy("uid").agg(F.sum("links").alias("links"))
     tied = components(found.where("uid <> root").select(F.col("uid").alias("u"), F.col("root").alias("v")))
     known = rep.join(tied, F.col("rep") == F.col("node"), "left").join(links, F.col("rep") == F.col("uid"), "left").select(*KEY, "rep", "least_id", "copies", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
