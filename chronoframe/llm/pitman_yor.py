@@ -40,11 +40,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import fold, fresh_dir, materialize
+from .base import fold, fresh_dir, materialize, read_part
 from .tokens import SPACED, token_hashes
 
-ORDER, MAX_GRAMS, STRENGTH, EXACT, SWEEPS, BURN = 6, 400_000, 1.0, 32, 10, 4
-GROUPS, FREQUENT, GROUP_DOCS = 8, 512, 3000
+ORDER, MAX_GRAMS, STRENGTH, EXACT, SWEEPS, BURN = 6, 200_000, 1.0, 32, 10, 4
+GROUPS, FREQUENT, GROUP_DOCS = 8, 512, 1500
 SYMBOLS = 257
 
 
@@ -88,17 +88,17 @@ class Level:
 class Spelling:
     """The byte-level restaurants, from counts of (ORDER + 1)-byte grams."""
 
-    def __init__(self, counts: list[dict[int, float]], sweeps: int = SWEEPS, burn: int = BURN, seed: int = 11):
-        """``counts[d]``: customers given directly to grams with a context of d bytes."""
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], sweeps: int = SWEEPS, burn: int = BURN, seed: int = 11):
+        """``counts[d]``: grams with a context of d bytes and the customers given to them directly."""
         self.levels: list[Level] = []
         above = np.empty(0, np.uint64)
         made = []
         for d in range(len(counts) - 1, -1, -1):
-            mine = np.fromiter(counts[d], np.uint64, len(counts[d]))
+            mine, given = counts[d]
             low = above & np.uint64((1 << 8 * (d + 1)) - 1)
             grams = np.unique(np.concatenate([mine, low]))
             direct = np.zeros(len(grams))
-            direct[np.searchsorted(grams, mine)] = np.fromiter(counts[d].values(), np.float64, len(counts[d]))
+            direct[np.searchsorted(grams, mine)] = given
             made.append(Level(grams, direct))
             above = grams
         self.levels = made[::-1]
@@ -285,7 +285,7 @@ def count_words(docs: DataFrame, group: dict[bytes, int]) -> DataFrame:
     return said.groupBy("word").agg(F.sum("c").alias("c"), *by, F.collect_set("asked").alias("asked"))
 
 
-def spelling_counts(words: DataFrame, order: int, most: int) -> list[dict[int, float]]:
+def spelling_counts(words: DataFrame, order: int, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Customers of each restaurant level; the longest grams are cut to about ``most`` by count."""
 
     def run(batches):
@@ -297,7 +297,7 @@ def spelling_counts(words: DataFrame, order: int, most: int) -> list[dict[int, f
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c)], schema=out)
 
     grams = materialize(words.where("c > 0 AND length(word) > 0").select("word").mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")), "grams")
-    levels: list[dict[int, float]] = [{} for _ in range(order + 1)]
+    levels = [(np.empty(0, np.uint64), np.empty(0)) for _ in range(order + 1)]
     rest, d = grams, order
     while d >= 0:
         room, least = most, 1
@@ -307,7 +307,9 @@ def spelling_counts(words: DataFrame, order: int, most: int) -> list[dict[int, f
             if room < 0:
                 least = c + 1
                 break
-        levels[d] = {r[0] & ((1 << 64) - 1): float(r[1]) for r in rest.where(F.col("c") >= least).collect()} if least <= 1000 or d < order else {}
+        if least <= 1000:
+            kept = rest.where(F.col("c") >= least).toArrow()
+            levels[d] = kept.column("gram").to_numpy().view(np.uint64), kept.column("c").to_numpy().astype(np.float64)
         if least == 1 or d == 0:
             break
         rest = rest.where(F.col("c") < least).groupBy((F.col("gram").bitwiseAND(F.lit((1 << 8 * d) - 1))).alias("gram")).agg(F.sum("c").alias("c"))
@@ -418,7 +420,7 @@ def score(docs: DataFrame, order: int = ORDER, most: int = MAX_GRAMS, sweeps: in
     asked = seated.mapInArrow(answers, "h long, block int, c long, p float")
     asked.repartition(F.col("block")).sortWithinPartitions("block").write.partitionBy("block").parquet(folder)
     frequent = np.array(sorted((int(x), g) for x, g in zip(_word_hashes(list(group)), group.values())), dtype=[("h", np.uint64), ("g", np.int64)])
-    norm = math.log10(n_all + 0.1 * (n_types + 1))
+    norm = float(np.log10(n_all + 0.1 * (n_types + 1)))
     end_hash = _word_hashes([b""])[0]
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -456,18 +458,9 @@ def score(docs: DataFrame, order: int = ORDER, most: int = MAX_GRAMS, sweeps: in
 
 def _answers(folder: str, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The words that one block of documents asked for, sorted by hash."""
-    import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    where, base = fs.FileSystem.from_uri(f"{folder}/block={block}")
-    try:
-        found = [f.path for f in where.get_file_info(fs.FileSelector(base)) if f.path.endswith(".parquet")]
-    except FileNotFoundError:  # a block without words
-        found = []
-    parts = [pq.ParquetFile(where.open_input_file(f)).read(columns=["h", "c", "p"]) for f in found]
-    if not parts:
+    found = read_part(folder, "block", block, ["h", "c", "p"])
+    if found is None:
         return np.zeros(1, np.uint64), np.zeros(1), np.zeros(1)
-    all_ = pa.concat_tables(parts)
-    h = all_.column("h").to_numpy().view(np.uint64)
+    h = found.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
-    return h[order], all_.column("c").to_numpy()[order].astype(np.float64), all_.column("p").to_numpy()[order].astype(np.float64)
+    return h[order], found.column("c").to_numpy()[order].astype(np.float64), found.column("p").to_numpy()[order].astype(np.float64)
