@@ -78,6 +78,8 @@ class Model:
 def fit(counts: list[tuple[str, int, str, int]]) -> Model:
     """From rows (lang, n, key, count): n = 0 for words, else the n-gram length."""
     langs = sorted({r[0] for r in counts})
+    if not langs:
+        return Model([], {}, {}, np.zeros((1, 0)))
     place = {x: k for k, x in enumerate(langs)}
     words: dict[str, int] = {}
     grams: dict[str, int] = {}
