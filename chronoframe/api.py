@@ -66,7 +66,7 @@ class Engine:
         self.spark, self.base, self.clock, self.files = spark, base.rstrip("/"), clock, Files(spark)
         saved = self.files.read(f"{self.base}/_catalog.json")
         self.catalog = Catalog.load(saved) if saved else Catalog()
-        self.current = "default"
+        self.current, self.batch = "default", 0
         self.external: dict[tuple[str, str], Measurement] = {}
         self.cache: dict[tuple, tuple[float, DataFrame]] = {}
 
@@ -123,7 +123,8 @@ class Engine:
     def write(self, points: DataFrame, database: str | None = None) -> int:
         """Append points (the ingest form); the number of points."""
         db = self._database(database)
-        points = points.withColumn("ingest_seq", F.lit(self.clock()) + F.col("ingest_seq") % 1_000_000).persist()
+        self.batch = max(self.clock(), self.batch + 1)  # later writes win, and within this one later rows
+        points = lifecycle.last_write_wins(points).withColumn("ingest_seq", F.lit(self.batch).cast("bigint")).persist()
         try:
             names = [r[0] for r in points.select("measurement").distinct().collect()]
             for name in names:
