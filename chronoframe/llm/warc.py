@@ -243,7 +243,8 @@ def read(files: DataFrame, folder: str) -> DataFrame:
                 kinds = [pa.int64() if f.split()[1] == "long" else pa.string() for f in READ.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
-    spread = files.select("path").repartition(F.col("path"))
+    n = max(1, min(10_000, files.count()))  # a given number, so that the few small rows are not merged into one task
+    spread = files.select("path").repartition(n, "path")
     return spread.mapInArrow(run, READ)
 
 
