@@ -20,8 +20,9 @@ documents as a table in the shared folder. The driver holds the spelling model
 alone, at most ``MAX_GRAMS`` byte n-grams of the longest contexts; rarer ones are
 customers of their parents. The spelling restaurants' customers are the distinct
 training words (one table each); word tables are then seated under that spelling
-model. The groups of frequent words are fit on a hash sample of at most
-``GROUP_DOCS`` training texts.
+model. The ``FREQUENT`` words and the texts that hold two of them are counted over
+all training rows. Their number and that of the ``GROUPS`` do not grow with the
+corpus, and no words are counted by the words before them.
 
 Cases: null text is empty and scores its end token; tokens are split at ASCII
 white space only; null doc_ids count as the empty string in the fold; repeated
@@ -44,7 +45,7 @@ from .base import fold, fresh_dir, materialize, read_part
 from .tokens import SPACED, token_hashes
 
 ORDER, MAX_GRAMS, STRENGTH, EXACT, SWEEPS, BURN = 6, 200_000, 1.0, 32, 10, 4
-GROUPS, FREQUENT, GROUP_DOCS = 8, 512, 1500
+GROUPS, FREQUENT = 8, 512
 SYMBOLS = 257
 
 
@@ -208,19 +209,14 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
     return h
 
 
-def group_words(texts: list[str | None], groups: int = GROUPS, frequent: int = FREQUENT) -> dict[bytes, int]:
-    """Frequent words (by number of texts) and their groups: k-means on rows of positive mutual information."""
-    sets = [set(words_of(t)[:-1]) for t in texts]
-    top = [w for w, _ in sorted(Counter(w for x in sets for w in x).items(), key=lambda r: (-r[1], r[0]))[:frequent]]
+def group_words(learn: DataFrame, groups: int = GROUPS, frequent: int = FREQUENT) -> dict[bytes, int]:
+    """Frequent words (by number of texts) and their groups: k-means on rows of positive mutual information over all texts."""
+    n_texts, top = frequent_words(learn, frequent)
     if not top:
         return {}
-    place = {w: i for i, w in enumerate(top)}
-    held = np.zeros((len(sets), len(top)), np.float32)
-    for row, x in zip(held, sets):
-        row[[place[w] for w in x if w in place]] = 1
-    both = held.T @ held
+    both = texts_with_both(learn, top)
     n = np.diag(both)
-    pmi = np.maximum(0, np.log(np.maximum(both, 0.1) * len(sets) / np.outer(n, n)))
+    pmi = np.maximum(0, np.log(np.maximum(both, 0.1) * n_texts / np.outer(n, n)))
     rows = pmi / np.maximum(1e-9, np.linalg.norm(pmi, axis=1, keepdims=True))
     centre = rows[:1]
     while len(centre) < min(groups, len(top)):  # farthest first
@@ -232,6 +228,55 @@ def group_words(texts: list[str | None], groups: int = GROUPS, frequent: int = F
     return dict(zip(top, label.tolist()))
 
 
+def frequent_words(learn: DataFrame, most: int) -> tuple[int, list[bytes]]:
+    """The number of texts, and the words that are in most of them."""
+
+    def run(batches):
+        out = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+        tally: Counter = Counter()
+
+        def flush():
+            words = list(tally)
+            for lo in range(0, len(words), 50_000):
+                part = words[lo : lo + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([tally[w] for w in part], pa.int64())], schema=out)
+            tally.clear()
+
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                tally.update(set(words_of(text)))
+                if len(tally) > 400_000:
+                    yield from flush()
+        yield from flush()
+
+    n = learn.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = [(bytes(r[0]), r[1]) for r in n.orderBy(F.desc("n"), "word").limit(most + 1).collect()]  # the end is in every text, and first
+    return (found[0][1] if found else 0), [w for w, _ in found if w]
+
+
+def texts_with_both(learn: DataFrame, top: list[bytes]) -> np.ndarray:
+    """The number of texts that have two words, for all pairs of ``top``."""
+
+    def run(batches):
+        place = {w: i for i, w in enumerate(top)}
+        both = np.zeros((len(top), len(top)), np.int64)
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                texts = b.column(0).slice(lo, 512).to_pylist()
+                held = np.zeros((len(texts), len(top)), np.float32)
+                for row, text in zip(held, texts):
+                    row[[place[w] for w in place.keys() & set(words_of(text))]] = 1
+                both += (held.T @ held).astype(np.int64)
+        i, j = np.nonzero(np.triu(both))
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(both[i, j])], names=["i", "j", "n"])
+
+    found = learn.select("text").mapInArrow(run, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toArrow()
+    i, j, n = (found.column(k).to_numpy() for k in range(3))
+    both = np.zeros((len(top), len(top)))
+    both[i, j] = both[j, i] = n
+    return both
+
+
 def contexts(ids: np.ndarray) -> np.ndarray:
     """The context of each word from the words' groups (-1: not frequent); GROUPS where none came before."""
     out = np.empty(len(ids), np.int64)
@@ -375,9 +420,7 @@ def score(docs: DataFrame, order: int = ORDER, most: int = MAX_GRAMS, sweeps: in
     copy = materialize(docs.select("doc_id", held.alias("held_out"), "text"), "lm-docs")
     block = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
     placed = copy.select("doc_id", "held_out", "text", block.alias("block"))
-    learn = copy.where("NOT held_out")
-    sample = learn.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(GROUP_DOCS)
-    group = group_words([r[1] for r in sample.collect()])
+    group = group_words(copy.where("NOT held_out"))
     # the end token has a context as well: it is a word like the others, written as no bytes
     words = materialize(count_words(placed.withColumn("learns", ~F.col("held_out")), group), "lm-words")
     r = words.agg(*[F.sum(c) for c in COUNTS], *[F.sum((F.col(c) > 0).cast("long")) for c in COUNTS], *[F.sum((F.col("c") == n).cast("long")) for n in (1, 2)], F.sum((F.col("c") > 0).cast("long"))).first()
