@@ -345,7 +345,7 @@ def spelling_counts(words: DataFrame, order: int, most: int) -> list[tuple[np.nd
     levels = [(np.empty(0, np.uint64), np.empty(0)) for _ in range(order + 1)]
     rest, d = grams, order
     while d >= 0:
-        room, least = most, 1
+        room, least = max(most, 0 if d else 256), 1  # single bytes stay
         sizes = sorted(((r[0], r[1]) for r in rest.groupBy(F.least("c", F.lit(1000)).alias("c")).count().collect()), reverse=True)
         for c, n in sizes:  # at most 1000 rows
             room -= n
@@ -357,7 +357,8 @@ def spelling_counts(words: DataFrame, order: int, most: int) -> list[tuple[np.nd
             levels[d] = kept.column("gram").to_numpy().view(np.uint64), kept.column("c").to_numpy().astype(np.float64)
         if least == 1 or d == 0:
             break
-        rest = rest.where(F.col("c") < least).groupBy((F.col("gram").bitwiseAND(F.lit((1 << 8 * d) - 1))).alias("gram")).agg(F.sum("c").alias("c"))
+        down = rest.where(F.col("c") < least) if least <= 1000 else rest  # counts of 1000 and more are one size: where none is kept, all go on
+        rest = down.groupBy((F.col("gram").bitwiseAND(F.lit((1 << 8 * d) - 1))).alias("gram")).agg(F.sum("c").alias("c"))
         d -= 1
     return levels
 

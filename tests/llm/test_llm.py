@@ -116,6 +116,12 @@ def test_spelling_is_a_distribution():
         assert 0.99 < m.symbol(g).sum() <= 1.0001
 
 
+def test_grams_of_a_level_that_keeps_none_go_on(spark):
+    words = spark.createDataFrame([(f"abc{i}".encode(), 1) for i in range(1200)], "word binary, c long")
+    levels = pitman_yor.spelling_counts(words, 2, 2)
+    assert sum(c.sum() for _, c in levels) == sum(len(f"abc{i}") + 1 for i in range(1200))
+
+
 def test_jaccard(spark, odd, empty):
     base_text = [f"t{i}" for i in range(100)]
     near = base_text[:50] + ["x"] + base_text[51:]
