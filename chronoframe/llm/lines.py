@@ -5,16 +5,15 @@ with every token that holds a digit generalised to ``<*>``. In a leaf, the token
 that more than half of the leaf's distinct lines have at a position is constant,
 any other position is a variable field; a line that agrees with at least
 ``SIMILARITY`` of its positions with those constants belongs to the leaf's
-template, any other line is a template of its own. Lines over ``MAX_TOKENS``
-tokens are paragraphs, not log lines: they are their own template.
+template, any other line is a template of its own.
 
 A template that occurs in two or more documents recurs. It stays in its first
 document (lowest doc_id) and its lines are dropped from all others, so a passage
 that many documents share survives once and nothing is lost for good.
 
-Sizes: lines are reduced to hashes before they are shuffled; only lines of up to
-MAX_TOKENS tokens in leaves with several distinct lines are exploded to tokens;
-counts are pre-aggregated; nothing is broadcast by hand.
+Sizes: only lines in leaves with several distinct lines are exploded to tokens;
+counts are pre-aggregated; nothing is broadcast by hand. ``ORACLE`` has no
+templates over ``MAX_TOKENS`` tokens, so it keeps more lines.
 
 Cases: null text stays null; lines of fewer than ``MIN_TOKENS`` tokens are never
 dropped; rows of one doc_id are one document; rows with a null doc_id are one
@@ -42,7 +41,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _lines(keyed: DataFrame) -> DataFrame:
-    """Occurrences: _doc, _text, pos, n, leaf, line and, for short lines, the masked line."""
+    """Occurrences: _doc, _text, pos, n, leaf, line and the masked line."""
     split = keyed.select("_doc", "_text", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     spaced = F.when(F.col("raw").rlike(r"[\t-\r\x{A0}]|  "), F.regexp_replace("raw", r"[\s\x{A0}]+", " ")).otherwise(F.col("raw"))
     masked = F.when(F.col("spaced").rlike("[0-9]"), F.regexp_replace("spaced", VARIABLE, "<*>")).otherwise(F.col("spaced"))
@@ -52,22 +51,26 @@ def _lines(keyed: DataFrame) -> DataFrame:
         "_doc", "_text", "pos", "n",
         F.xxhash64("n", F.substring_index("masked", " ", DEPTH)).alias("leaf"),
         F.xxhash64("masked", "n").alias("line"),
-        F.when(F.col("n") <= MAX_TOKENS, F.col("masked")).alias("masked"),
+        "masked",
     )
 
 
 def templates(lines: DataFrame) -> DataFrame:
-    """line, template, for every distinct line that shares its leaf; others are their own template."""
-    short = lines.where("masked IS NOT NULL")
-    several = short.groupBy("leaf").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("leaf")
-    distinct = short.select("leaf", "n", "line", "masked").join(several, "leaf").groupBy("leaf", "n", "line").agg(F.min("masked").alias("masked"))
-    sizes = distinct.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("leaf")))
-    shared = materialize(sizes.withColumn("tokens", F.transform(F.split("masked", " "), lambda t: F.xxhash64(t))).drop("masked"), "leaves")
-    token = shared.select("leaf", "size", F.posexplode("tokens").alias("pos", "token"))
-    constant = token.groupBy("leaf", "size", "pos", "token").agg(F.count(F.lit(1)).alias("c")).where("2 * c > size")
-    constants = constant.groupBy("leaf").agg(F.collect_list(F.struct("pos", "token")).alias("constants"))  # at most one a position
+    """line, template, for the distinct lines that fit the template of their leaf; others are their own template."""
+    several = lines.groupBy("leaf").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("leaf")
+    distinct = lines.select("leaf", "n", "line", "masked").join(several, "leaf").groupBy("leaf", "n", "line").agg(F.min("masked").alias("masked"))
+    shared = materialize(distinct.withColumn("tokens", F.transform(F.split("masked", " "), lambda t: F.xxhash64(t))).drop("masked"), "leaves")
+    return _fit(shared)
+
+
+def _fit(lines: DataFrame) -> DataFrame:
+    """line, template, for the lines that agree with the constants of their leaf."""
+    token = lines.select("leaf", F.posexplode("tokens").alias("pos", "token"))
+    counted = token.groupBy("leaf", "pos", "token").agg(F.count(F.lit(1)).alias("c"))
+    sizes = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"))
+    constants = counted.where("c > 1").join(sizes, "leaf").where("2 * c > size").groupBy("leaf").agg(F.collect_list(F.struct("pos", "token")).alias("constants"))  # at most one a position
     agree = F.expr("aggregate(constants, 0, (a, c) -> a + CASE WHEN tokens[c.pos] = c.token THEN 1 ELSE 0 END)")
-    return shared.join(constants, "leaf").where(agree >= F.lit(SIMILARITY) * F.col("n")).select("line", F.xxhash64("leaf", F.lit("template")).alias("template"))
+    return lines.join(constants, "leaf").where(agree >= F.lit(SIMILARITY) * F.col("n")).select("line", F.xxhash64("leaf", F.lit("template")).alias("template"))
 
 
 def recurring(lines: DataFrame) -> DataFrame:

@@ -90,6 +90,15 @@ def test_lines(spark, odd, empty):
     assert out.count() == len(ODD) and "score" in out.columns and lines.drop_lines(empty).count() == 0
 
 
+def dropped(spark, texts):
+    return [r.n_dropped for r in lines.drop_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+
+
+def test_long_lines_are_generalised(spark):
+    long = [f"t{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]}" for i in range(100)]
+    assert dropped(spark, [" ".join(long), " ".join([*long[:50], "changed", *long[51:]])]) == [0, 1]
+
+
 def test_pitman_yor(spark, odd, empty):
     rows = [(i, "the cat sat on the mat and ran" if i % 3 else "le chat dort sur la table") for i in range(120)]
     r = pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
