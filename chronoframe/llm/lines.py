@@ -5,15 +5,19 @@ with every token that holds a digit generalised to ``<*>``. In a leaf, the token
 that more than half of the leaf's distinct lines have at a position is constant,
 any other position is a variable field; a line that agrees with at least
 ``SIMILARITY`` of its positions with those constants belongs to the leaf's
-template, any other line is a template of its own.
+template. The others of the leaf are grouped by equal parts of their tokens, and
+each group can hold a template by the same rule; a line may be in several. A
+line that fits none is a template of its own. Two templates that share one part
+only, and all its lines, are still seen as one group.
 
 A template that occurs in two or more documents recurs. It stays in its first
 document (lowest doc_id) and its lines are dropped from all others, so a passage
-that many documents share survives once and nothing is lost for good.
+that many documents share survives once; a line of several templates goes if the
+first document of any of them is another, and is near one that stays or went so.
 
 Sizes: only lines in leaves with several distinct lines are exploded to tokens;
-counts are pre-aggregated; nothing is broadcast by hand. ``ORACLE`` has no
-templates over ``MAX_TOKENS`` tokens, so it keeps more lines.
+counts are pre-aggregated; nothing is broadcast by hand. ``ORACLE`` has one
+template a leaf and none over ``MAX_TOKENS`` tokens, so it keeps more lines.
 
 Cases: null text stays null; lines of fewer than ``MIN_TOKENS`` tokens are never
 dropped; rows of one doc_id are one document; rows with a null doc_id are one
@@ -56,11 +60,13 @@ def _lines(keyed: DataFrame) -> DataFrame:
 
 
 def templates(lines: DataFrame) -> DataFrame:
-    """line, template, for the distinct lines that fit the template of their leaf; others are their own template."""
+    """line, template, for the distinct lines that fit a template with others: one of their leaf, or else any of its groups."""
     several = lines.groupBy("leaf").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("leaf")
     distinct = lines.select("leaf", "n", "line", "masked").join(several, "leaf").groupBy("leaf", "n", "line").agg(F.min("masked").alias("masked"))
     shared = materialize(distinct.withColumn("tokens", F.transform(F.split("masked", " "), lambda t: F.xxhash64(t))).drop("masked"), "leaves")
-    return _fit(shared)
+    whole = materialize(_fit(shared), "leaf-templates")
+    parts = materialize(_groups(shared.join(whole, "line", "left_anti")), "leaf-groups")
+    return whole.union(_fit(parts))
 
 
 def _fit(lines: DataFrame) -> DataFrame:
@@ -73,12 +79,27 @@ def _fit(lines: DataFrame) -> DataFrame:
     return lines.join(constants, "leaf").where(agree >= F.lit(SIMILARITY) * F.col("n")).select("line", F.xxhash64("leaf", F.lit("template")).alias("template"))
 
 
+def _groups(rest: DataFrame) -> DataFrame:
+    """``rest`` with each group of lines of a leaf that are equal in a part, as a leaf of its own.
+
+    The tokens after the leading ones are cut into more parts than lines of enough
+    similarity can differ in, so two such lines are in a group together.
+    """
+    differ = F.col("n") - F.ceil(F.lit(SIMILARITY) * F.col("n"))
+    wide = rest.withColumn("width", F.greatest(F.lit(1), F.floor((F.col("n") - DEPTH) / (differ + 1))).cast("int"))
+    part = F.transform(F.sequence(F.lit(DEPTH), F.col("n") - 1, F.col("width")), lambda i: F.xxhash64("leaf", i, F.slice("tokens", i + 1, F.col("width"))))
+    keys = wide.where(F.col("n") > DEPTH).select("line", F.explode(part).alias("part"))
+    sets = keys.groupBy("part").agg(F.min("line").alias("lo"), F.max("line").alias("hi"), F.bit_xor("line").alias("x"), F.count(F.lit(1)).alias("c")).where("lo <> hi")
+    one = sets.groupBy("lo", "hi", "x", "c").agg(F.min("part").alias("part")).select("part")  # of the parts with the same lines
+    return keys.join(one, "part").join(rest.drop("leaf"), "line").withColumnRenamed("part", "leaf")
+
+
 def recurring(lines: DataFrame) -> DataFrame:
     """line, home: the distinct lines whose template is in two or more documents, and its first document."""
     span = lines.groupBy("line").agg(F.min("_doc").alias("lo"), F.max("_doc").alias("hi"))
     known = span.join(templates(lines), "line", "left").withColumn("template", F.coalesce("template", "line"))
     home = known.groupBy("template").agg(F.min("lo").alias("home"), F.max("hi").alias("last")).where("home <> last")
-    return known.join(home, "template").select("line", "home")
+    return known.join(home, "template").groupBy("line").agg(F.min("home").alias("home"))
 
 
 def mark_lines(docs: DataFrame) -> DataFrame:

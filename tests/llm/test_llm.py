@@ -99,6 +99,15 @@ def test_long_lines_are_generalised(spark):
     assert dropped(spark, [" ".join(long), " ".join([*long[:50], "changed", *long[51:]])]) == [0, 1]
 
 
+def test_templates_of_one_leaf(spark):
+    lead = "and so it was "
+    one, two = "red green blue white black grey pink brown", "up down left right front back near far"
+    pairs = [lead + x.replace(y, z) for x in (one, two) for y, z in (("-", "-"), (x.split()[6], "other"))]
+    noise = [lead + " ".join("abcdefgh"[i] + c for c in "qrstuvwx") for i in range(8)]
+    assert dropped(spark, pairs) == [0, 1, 0, 1]
+    assert dropped(spark, [*pairs, *noise]) == [0, 1, 0, 1] + [0] * 8
+
+
 def test_pitman_yor(spark, odd, empty):
     rows = [(i, "the cat sat on the mat and ran" if i % 3 else "le chat dort sur la table") for i in range(120)]
     r = pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
