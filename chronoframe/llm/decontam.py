@@ -4,7 +4,8 @@ A seed looks at fixed positions of a run of tokens and ignores the others, so it
 still hits where an ignored token was substituted. Every mask is hashed at every
 position of the benchmark items and of the documents; equal hashes are joined,
 and around each hit the two token sequences are compared along their diagonal.
-The best-scoring stretch counts as contamination if it has enough equal tokens.
+Of all stretches with the share of equal tokens the one with most of them counts
+as contamination if they are enough; what is around it does not matter.
 
 The benchmark side is sent to the tasks in chunks of at most ``chunk_hashes``
 hashes, whatever its size: a larger benchmark means more passes over the
@@ -22,6 +23,7 @@ columns pass through ``clean`` untouched.
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -53,14 +55,16 @@ def seeds(tok: np.ndarray, mask: str) -> np.ndarray:
     return h
 
 
-def stretch(same: np.ndarray, penalty: float = 2.0) -> tuple[int, int, int]:
-    """The best stretch of a diagonal: +1 for an equal token, -penalty for another. (from, to, equal)."""
-    gain = np.where(same, 1.0, -penalty)
-    total = np.concatenate([[0.0], np.cumsum(gain)])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    begin = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-    return begin, end, int(same[begin:end].sum())
+def stretch(same: np.ndarray, share: float) -> tuple[int, int, int]:
+    """The stretch of a diagonal with the most equal tokens of all whose share of them is enough. (from, to, equal)."""
+    part = Fraction(share).limit_denominator(10_000)  # whole numbers: a share just met is met
+    gain = np.where(same, part.denominator - part.numerator, -part.numerator)
+    total, equal = (np.concatenate([[0], np.cumsum(x)]) for x in (gain, same.astype(np.int64)))
+    begin = np.searchsorted(-np.minimum.accumulate(total), -total)  # for each end the first start that is not above it
+    end = int(np.argmax(equal - equal[begin]))
+    begin = int(begin[end])
+    inside = np.flatnonzero(same[begin:end])
+    return (begin + int(inside[0]), begin + int(inside[-1]) + 1, len(inside)) if len(inside) else (0, 0, 0)
 
 
 class Index:
@@ -106,9 +110,9 @@ class Index:
             n = min(len(tok) - p0, len(item) - q0)
             if n <= 0:
                 continue
-            a, b, equal = stretch(tok[p0 : p0 + n] == item[q0 : q0 + n])
+            a, b, equal = stretch(tok[p0 : p0 + n] == item[q0 : q0 + n], share)
             need = min(min_equal, max(MIN_ITEM, int(np.ceil(share * len(item)))))
-            if equal >= need and equal >= share * (b - a) and equal > best.get(k, (0,) * 6)[5]:
+            if equal >= need and equal > best.get(k, (0,) * 6)[5]:
                 best[k] = (item_id, p0 + a, p0 + b, q0 + a, q0 + b, equal)
         return list(best.values())
 

@@ -82,6 +82,19 @@ def test_decontamination(spark, odd, empty):
     assert decontam.clean(odd, bench).count() == len(ODD) and decontam.find(empty, bench).count() == 0
 
 
+def test_stretches_are_all_tried(spark):
+    words = [f"w{i}" for i in range(51)]
+    docs = spark.createDataFrame([(1, " ".join("zz" if i % 19 >= 13 else w for i, w in enumerate(words)))], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, " ".join(words))], "item_id long, text string")
+    assert [(x.doc_id, x.item_id, x.equal >= 13) for x in decontam.find(docs, bench).collect()] == [(1, 9, True)]
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        same = rng.random(40) < 0.75
+        most = max(int(same[a:b].sum()) for a in range(40) for b in range(a + 1, 41) if 5 * same[a:b].sum() >= 4 * (b - a))
+        a, b, equal = decontam.stretch(same, 0.8)
+        assert equal == most == same[a:b].sum() and 5 * equal >= 4 * (b - a)
+
+
 def test_lines(spark, odd, empty):
     rows = [(1, "user alice logged in from host one two three four five\nonly here once more"), (2, "user alice logged in from host 77 two three four five"), (3, "user alice logged in from host one two nine four five"), (4, None), (5, "")]
     got = {r.doc_id: (r.text, r.n_dropped) for r in lines.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
