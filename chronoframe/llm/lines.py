@@ -17,23 +17,25 @@ first document of any of them is another, and is near one that stays or went so.
 
 Sizes: only lines in leaves with several distinct lines are exploded to tokens;
 counts are pre-aggregated; nothing is broadcast by hand. ``ORACLE`` has one
-template a leaf and none over ``MAX_TOKENS`` tokens, so it keeps more lines.
+template a leaf, none over ``MAX_TOKENS`` tokens and no lines under ``MIN_TOKENS``,
+so it keeps more lines.
 
-Cases: null text stays null; lines of fewer than ``MIN_TOKENS`` tokens are never
-dropped; rows of one doc_id are one document; rows with a null doc_id are one
-document for each different text; repeats within one document stay; a document
-all of whose lines go keeps an empty text (``drop_lines``); other columns pass
-through.
+Cases: null text stays null; empty lines are never dropped; rows of one doc_id
+are one document; rows with a null doc_id are one document for each different
+text; repeats within one document stay; a document all of whose lines go keeps an
+empty text (``drop_lines``); other columns pass through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import materialize
 
-MIN_TOKENS, MAX_TOKENS, DEPTH, SIMILARITY = 3, 64, 4, 0.8
+DEPTH, SIMILARITY = 4, 0.8
+#: Of ORACLE only.
+MIN_TOKENS, MAX_TOKENS = 3, 64
 #: A token with a digit in it.
 VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*"
 
@@ -51,7 +53,7 @@ def _lines(keyed: DataFrame) -> DataFrame:
     masked = F.when(F.col("spaced").rlike("[0-9]"), F.regexp_replace("spaced", VARIABLE, "<*>")).otherwise(F.col("spaced"))
     cut = split.withColumn("spaced", F.trim(spaced)).withColumn("masked", masked)
     cut = cut.withColumn("n", F.when(F.col("masked") == "", 0).otherwise(F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1))
-    return cut.where(F.col("n") >= MIN_TOKENS).select(
+    return cut.where("n > 0").select(
         "_doc", "_text", "pos", "n",
         F.xxhash64("n", F.substring_index("masked", " ", DEPTH)).alias("leaf"),
         F.xxhash64("masked", "n").alias("line"),

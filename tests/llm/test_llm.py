@@ -121,6 +121,10 @@ def test_templates_of_one_leaf(spark):
     assert dropped(spark, [*pairs, *noise]) == [0, 1, 0, 1] + [0] * 8
 
 
+def test_short_lines_are_dropped(spark):
+    assert dropped(spark, ["Les.\n\nAnd ornd.\nonce", "Les.\n\nAnd ornd."]) == [0, 2]
+
+
 def test_pitman_yor(spark, odd, empty):
     rows = [(i, "the cat sat on the mat and ran" if i % 3 else "le chat dort sur la table") for i in range(120)]
     r = pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
