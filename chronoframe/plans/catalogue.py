@@ -178,7 +178,7 @@ def _(spark, sf):
 @register("points_to_wide", f"SELECT {TIME} AS time, event_type, value, event_id FROM events WHERE event_id < 500")
 def _(spark, sf):
     m = widen(event_points(spark, sf), "events", ["event_type"], {"value": "double", "event_id": "bigint"})
-    return query("SELECT event_type, value, event_id FROM events WHERE event_id < 500", m, NOW)
+    return query("SELECT event_type, value, event_id FROM events", m, NOW)
 
 
 @register("dedup_last_write_wins", f"SELECT time_ns, event_type, value FROM (SELECT ({TIME}) // {HOUR} * {HOUR} AS time_ns, event_type, value, row_number() OVER (PARTITION BY ({TIME}) // {HOUR}, event_type ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")

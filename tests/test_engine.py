@@ -153,3 +153,8 @@ def test_predicates_reach_the_scan(spark):
 
 def test_registered_queries_have_sql():
     assert set(catalogue.queries()) == set(catalogue.oracle_sql())
+
+
+def test_points_to_wide_widens_all_points(spark):
+    sf = "/root/testdata/sf0.001"
+    assert catalogue.queries()["points_to_wide"](spark, sf).count() == spark.read.parquet(f"{sf}/events.parquet").count() > 500
