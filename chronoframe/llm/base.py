@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import itertools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -13,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local: list[str] = []
+#: Of Spark: whether a job's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,28 +26,70 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset (tests on one machine) a temporary folder takes its place.
+    Where it is unset a temporary folder takes its place, on a local master only.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir is not set: executors of {master} share no other folder")
     if not _local:
         _local.append("file://" + tempfile.mkdtemp(prefix="chronoframe-"))
     return _local[0]
 
 
 def fresh_dir(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A new folder in the shared one; it goes when the driver's JVM ends, or by ``release``."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ``fresh_dir`` that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def brief_shuffles(spark: SparkSession):
+    """Shuffle files of the jobs inside go when each of them ends."""
+    before = spark.conf.get(CLEANUP, None)
+    if before is not None:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is not None:
+            spark.conf.set(CLEANUP, before)
+
+
+def store(df: DataFrame, path: str, *by: str, parts: int | None = None) -> None:
+    """Write a table to a folder; with ``by`` a folder for each value, dealt out to ``parts`` tasks."""
+    with brief_shuffles(df.sparkSession):
+        out = df.repartition(parts, *by) if parts else df
+        w = out.write.option("compression", "zstd")
+        (w.partitionBy(*by) if by else w).parquet(path)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read the files again."""
     spark = df.sparkSession
     path = fresh_dir(spark, tag)
-    df.write.parquet(path)
+    store(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with underscores in front until no column has it (in any case of letters)."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def read_part(folder: str, column: str, value: int, names: list[str]) -> pa.Table | None:
     """In a task: the rows of a table in the shared folder that lie in one of its partitions, or None."""
     import pyarrow.parquet as pq

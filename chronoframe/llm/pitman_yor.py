@@ -1,510 +1,451 @@
-"""Language-model scores from a nested hierarchical Pitman-Yor model.
+"""Language-model scores from a hierarchical Pitman-Yor model.
 
-A text's words sit in context restaurants: a word's context is the group of
-frequent words (of the same language or style) that most of the frequent words
-before it in its text belong to. All context restaurants share a parent, the word
+Each word that comes before another is a context with a restaurant of its own
+(the start of a text is one, too). All of them share a parent, the word
 restaurant; its base measure spells words byte by byte with a hierarchy of
 restaurants, one for each context of up to ``ORDER`` bytes, where a context's
 parent is the context without its first byte. An unseen word is thus scored by
-its spelling.
-
-Seating is sampled by Gibbs sweeps: given the other tables and the parent's
-predictive probabilities, each dish's customers are seated anew one after another
-by the Chinese-restaurant rule (after ``EXACT`` customers of a dish, in blocks of
-1/32 of those seated, within which the rule is held fixed). A dish's tables are
-its customers in the parent. Weights are averaged over the sweeps after burn-in.
-
-Scale: word counts cover all training rows and stay distributed: a table of
-(word, counts by context, blocks that ask for it), joined back by block of
-documents as a table in the shared folder. The driver holds the spelling model
-alone, at most ``MAX_GRAMS`` byte n-grams of the longest contexts; rarer ones are
-customers of their parents. The spelling restaurants' customers are the distinct
-training words (one table each); word tables are then seated under that spelling
-model. The ``FREQUENT`` words and the texts that hold two of them are counted over
-all training rows. Their number and that of the ``GROUPS`` do not grow with the
-corpus, and no words are counted by the words before them.
+its spelling, a word after an unseen context by the word restaurant.
+
+Seating is sampled by Gibbs sweeps: given the tables of the others and the
+parent's predictive probabilities, each dish's customers are seated anew one after
+another by the Chinese-restaurant rule (``restaurants.seat``). A dish's tables are
+its customers in the parent. Predictive probabilities are averaged over the sweeps
+after burn-in (of a product of averages, each factor by itself). Restaurants in
+one task are swept together; between tasks tables and probabilities go to and fro
+twice. The discounts follow from the numbers of dishes with one and two customers.
+
+Scale: nothing is sampled, capped or held on the driver, but for the ``hot``
+contexts, of which there are a few thousand at most, the 65536 byte pairs and some
+sums. Documents are taken in stretches of about ``SUB_BYTES``; the distinct words
+and word pairs of a stretch go to buckets by the context's hash, packed, those of
+hot contexts by the pair's hash, so no bucket grows with one word. Buckets work on
+files of the shared folder, by number; their answers are in the order of what was
+asked, so no keys go back. A stretch is read again to be scored, and its answers
+have to fit it in number. Spelling restaurants are dealt out by the last two bytes
+of their contexts. A task holds one bucket (about ``BUCKET_TOKENS`` tokens' pairs)
+or one stretch.
 
 Cases: null text is empty and scores its end token; tokens are split at ASCII
-white space only; null doc_ids count as the empty string in the fold; repeated
-rows are separate documents; no training rows leave all words unseen; other
-columns are ignored.
+white space only and may have any length; null doc_ids count as the empty string
+in the fold; repeated rows are separate documents; no training rows leave all
+words unseen; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from dataclasses import dataclass
-from itertools import compress
+import itertools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import fold, fresh_dir, materialize, read_part
-from .tokens import SPACED, token_hashes
-
-ORDER, MAX_GRAMS, STRENGTH, EXACT, SWEEPS, BURN = 6, 200_000, 1.0, 32, 10, 4
-GROUPS, FREQUENT = 8, 512
-SYMBOLS = 257
-
-
-def tables(customers: np.ndarray, base: np.ndarray, rest: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each dish after its customers are seated one by one.
-
-    ``rest``: the tables that other dishes have in the same restaurant. The first
-    customer of a dish always opens a table.
+from .base import brief_shuffles, fold, fresh_dir, materialize, read_part, release, spark_arrow_schema, store
+from .restaurants import STRENGTH, SYMBOLS, Spelling, discount_of, predictive, seat, word_grams
+from .tokens import SPACED, mix, scan
+
+ORDER, SWEEPS, BURN = 6, 8, 3
+SUB_BYTES, BUCKET_TOKENS = 12 << 20, 1_500_000
+BOS, END = np.uint64(0xB05), np.uint64(0x5EED << 20)
+_PAIR = np.uint64(0xD1B54A32D192ED03)
+
+
+def pack(a: np.ndarray, rising: bool = False) -> bytes:
+    """Bytes of one significance together, so that small numbers compress; of rising numbers the differences."""
+    a = np.diff(a, prepend=a.dtype.type(0)) if rising else a
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+
+
+def unpack(data: bytes, kind, rising: bool = False) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    a = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    return np.cumsum(a, dtype=kind) if rising else a
+
+
+def stretches(batches, most: int):
+    """(block, number in it, rows (doc_id, held_out, lower-cased bytes)) from columns doc_id, held_out, text, block."""
+    rows, size, where, sub = [], 0, None, 0
+    for b in batches:
+        for lo in range(0, b.num_rows, 256):
+            for doc_id, held, text, block in zip(*(c.to_pylist() for c in b.slice(lo, 256).columns)):
+                if block != where:
+                    if rows:
+                        yield where, sub, rows
+                    rows, size, where, sub = [], 0, block, 0
+                rows.append((doc_id, held, (text or "").encode(errors="replace").lower()))
+                size += len(rows[-1][2])
+                if size >= most:
+                    yield where, sub, rows
+                    rows, size, sub = [], 0, sub + 1
+    if rows:
+        yield where, sub, rows
+
+
+class Stretch:
+    """Tokens of some texts; their distinct words, and their distinct pairs in the order of buckets."""
+
+    def __init__(self, rows: list[tuple]):
+        self.data = b" ".join(r[2] for r in rows) + b" "
+        h, start, end = scan(self.data, SPACED)
+        n = np.searchsorted(start, np.cumsum([len(r[2]) + 1 for r in rows]))
+        tok = np.insert(h, n, END)
+        self.start, self.end = np.insert(start, n, 0), np.insert(end, n, 0)
+        self.bounds = np.concatenate([[0], n + np.arange(1, len(rows) + 1)])
+        self.learns = np.repeat([not r[1] for r in rows], np.diff(self.bounds))
+        self.words, self.first, self.ids = np.unique(tok, return_index=True, return_inverse=True)
+
+    def pair_up(self, shift: np.uint64, hot: np.ndarray) -> Stretch:
+        w = len(self.words)
+        before = np.empty(len(self.ids), np.int64)
+        before[1:] = self.ids[:-1]
+        before[self.bounds[:-1]] = w
+        pairs, pair = np.unique(before * w + self.ids, return_inverse=True)
+        context, succ = np.divmod(pairs, w)
+        hashes = np.append(self.words, BOS)[context]
+        bucket = np.where(np.isin(hashes, hot), mix(hashes ^ mix(self.words[succ])), hashes) >> shift
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.pair, self.bucket, self.context, self.succ = rank[pair], bucket[order], hashes[order], self.words[succ[order]]
+        self.new = np.ones(len(order), bool)  # where a context begins
+        self.new[1:] = (self.context[1:] != self.context[:-1]) | (self.bucket[1:] != self.bucket[:-1])
+        return self
+
+    def messages(self, shift: np.uint64):
+        """(bucket, words, their bytes, counts, contexts, successors of each, successors, counts); counts in texts that learn."""
+        raw = np.bincount(self.ids[self.learns], minlength=len(self.words)).astype(np.uint32)
+        c = np.bincount(self.pair[self.learns], minlength=len(self.succ)).astype(np.uint32)
+        at = np.flatnonzero(self.new)
+        size = np.diff(np.append(at, len(self.new))).astype(np.uint32)
+        owner = self.words >> shift
+        for b in np.union1d(owner, self.bucket):
+            w = slice(*(np.searchsorted(owner, b, side) for side in ("left", "right")))
+            p = slice(*(np.searchsorted(self.bucket, b, side) for side in ("left", "right")))
+            g = slice(*np.searchsorted(at, [p.start, p.stop]))
+            text = b" ".join(self.data[self.start[i] : self.end[i]] for i in self.first[w].tolist())
+            yield int(b), pack(self.words[w], True), text, pack(raw[w]), pack(self.context[at[g]], True), pack(size[g]), pack(self.succ[p]), pack(c[p])
+
+
+MESSAGE = "bucket long, block long, sub int, words binary, text binary, raw binary, context binary, size binary, succ binary, c binary"
+#: What buckets tell one another: by kind, to a bucket, from another.
+TOLD = "kind int, bucket long, src long, n0 long, n1 long, n2 long, n3 long, x double, a binary, b binary, c binary"
+SEEN, GRAMS, SPELT, PARENT, KEPT, EXTRA, PAIRS, WORDS, HOT, SUMS, MORE_SUMS = range(11)
+
+
+def told(kind, bucket, src, n0=0, n1=0, n2=0, n3=0, x=0.0, a=b"", b=b"", c=b""):
+    return kind, int(bucket), src, int(n0), int(n1), int(n2), int(n3), float(x), a, b, c
+
+
+class Bucket:
+    """What all stretches sent to one bucket: distinct words with counts, distinct pairs with counts."""
+
+    def __init__(self, folder: str, number: int, words: bool = True, pairs: bool = True):
+        names = [f.split()[0] for f in MESSAGE.split(", ")][1:]
+        t = read_part(folder, "bucket", number, names)
+        rows = sorted(zip(*(t.column(n).to_pylist() for n in names))) if t else []
+        self.asked = [(r[0], r[1]) for r in rows]
+        if words:
+            each = [unpack(r[2], np.uint64, True) for r in rows]
+            self.word_bounds = np.cumsum([0, *map(len, each)])
+            self.words, first, self.word = np.unique(np.concatenate(each) if each else np.empty(0, np.uint64), return_index=True, return_inverse=True)
+            self.raw = np.bincount(self.word, np.concatenate([unpack(r[4], np.uint32) for r in rows]) if rows else None, len(self.words))
+            flat = list(itertools.chain.from_iterable(r[3].split(b" ") for r, e in zip(rows, each) if len(e)))
+            self.text = [flat[i] for i in first.tolist()]
+        if pairs:
+            context = [np.repeat(unpack(r[5], np.uint64, True), unpack(r[6], np.uint32)) for r in rows]
+            self.pair_bounds = np.cumsum([0, *map(len, context)])
+            context, succ, c = (np.concatenate(x) if rows else np.empty(0, k) for x, k in ((context, np.uint64), ([unpack(r[7], np.uint64) for r in rows], np.uint64), ([unpack(r[8], np.uint32) for r in rows], np.uint32)))
+            with np.errstate(over="ignore"):
+                _, first, self.pair = np.unique(mix(context * _PAIR + succ), return_index=True, return_inverse=True)
+            self.c = np.bincount(self.pair, c, len(first))
+            self.succ = succ[first]
+            self.contexts, self.context = np.unique(context[first], return_inverse=True)
+            del succ, c, context
+            self.size = np.bincount(self.context, self.c, len(self.contexts))
+            # the distinct successors, how many contexts each has, and whether it occurs twice or more after one
+            seen = self.c > 0
+            self.next, of = np.unique(self.succ[seen], return_inverse=True)
+            self.n_contexts = np.bincount(of, minlength=len(self.next))
+            self.needed = np.bincount(of, self.c[seen] > 1, len(self.next)) > 0
+
+
+def gram_groups(words: list[bytes], learned: np.ndarray, groups: int):
+    """Distinct grams of the words, how many learned words' places each has, their order by group, and the groups' bounds."""
+    found, counts = [np.empty(0, np.uint64)], [np.empty(0)]
+    for g, word in word_grams(words, ORDER):
+        u, inverse = np.unique(g, return_inverse=True)
+        found.append(u)
+        counts.append(np.bincount(inverse, learned[word], len(u)))
+    grams, inverse = np.unique(np.concatenate(found), return_inverse=True)
+    n = np.bincount(inverse, np.concatenate(counts), len(grams))
+    group = (mix((grams >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    return grams, n, order, np.searchsorted(group[order], np.arange(groups + 1))
+
+
+def spread(values: np.ndarray, shift: np.uint64):
+    """(bucket, slice) of sorted hashes."""
+    owner = values >> shift
+    for b in np.unique(owner):
+        yield int(b), slice(*(np.searchsorted(owner, b, side) for side in ("left", "right")))
+
+
+class Job:
+    """Runs a function of the bucket number in a task for each bucket, and keeps what the buckets tell."""
+
+    def __init__(self, spark, buckets: int):
+        self.spark, self.buckets, self.shift = spark, buckets, np.uint64(64 - (buckets.bit_length() - 1))
+        self.schema = spark_arrow_schema(spark, TOLD)
+
+    def run(self, f, tag: str) -> str:
+        folder, out = fresh_dir(self.spark, tag), self.schema
+
+        def task(batches):
+            for b in batches:
+                for number in b.column(0).to_pylist():
+                    rows = f(number)
+                    while chunk := list(itertools.islice(rows, 256)):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*chunk), out)], schema=out)
+
+        store(self.spark.range(0, self.buckets, 1, self.buckets).mapInArrow(task, TOLD), folder, "kind", "bucket", parts=self.buckets)
+        return folder
+
+    def sums(self, folder: str) -> dict:
+        """Sums by kind and bucket of the few rows that are for the driver: at most two kinds, and the hot contexts."""
+        rows = self.spark.read.schema(TOLD).parquet(folder).where(F.col("kind") >= HOT).groupBy("kind", "bucket").agg(*[F.sum(c) for c in ("n0", "n1", "n2", "n3", "x")]).collect()
+        return {(r[0], r[1]): r[2:] for r in rows}
+
+
+def heard(folder: str, kind: int, bucket: int, names=("src", "n0", "a", "b", "c")) -> list[tuple]:
+    """In a task: what was told to a bucket, by source."""
+    t = read_part(f"{folder}/kind={kind}", "bucket", bucket, list(names))
+    return sorted(zip(*(t.column(n).to_pylist() for n in names))) if t else []
+
+
+def mean_tables(customers, base, rest, discount: float, rng) -> np.ndarray:
+    """Tables of dishes whose other tables are given, averaged over the sweeps that count."""
+    return np.mean([seat(customers, base, rest, discount, rng) for _ in range(SWEEPS - BURN)], 0)
+
+
+def score(docs: DataFrame, scan_again: bool = False, sub_bytes: int = SUB_BYTES, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    ``scan_again``: ``docs`` is a plain read of files, which can be read once more
+    split by split; any other table is copied to the shared folder first.
     """
-    t = np.minimum(customers, 1).astype(np.float64)
-    live = np.flatnonzero(customers > 1)
-    seated = 1
-    while len(live):
-        n = np.minimum(max(1, seated // 32 if seated >= EXACT else 1), customers[live] - seated)
-        new = (strength + discount * (rest[live] + t[live])) * base[live]
-        p = new / (new + np.maximum(seated - discount * t[live], 1e-9))
-        t[live] += rng.binomial(n.astype(np.int64), np.minimum(p, 1.0))
-        seated += max(1, seated // 32 if seated >= EXACT else 1)
-        live = live[customers[live] > seated]
-    return t
-
-
-def discount_of(ones: float, twos: float) -> float:
-    """The usual estimate from the numbers of dishes with one and two customers."""
-    return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
-
-
-@dataclass
-class Level:
-    """Restaurants of one context length: grams are (context, symbol), as big-endian numbers."""
-
-    grams: np.ndarray
-    direct: np.ndarray  # customers that do not come from a longer context
-    context: np.ndarray | None = None  # index into contexts
-    contexts: np.ndarray | None = None
-    parent: np.ndarray | None = None  # index of the gram without its first byte, one level down
-    chance: np.ndarray | None = None  # averaged predictive probability
-    backoff: np.ndarray | None = None  # averaged weight of the parent, by context
-
-
-class Spelling:
-    """The byte-level restaurants, from counts of (ORDER + 1)-byte grams."""
-
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], sweeps: int = SWEEPS, burn: int = BURN, seed: int = 11):
-        """``counts[d]``: grams with a context of d bytes and the customers given to them directly."""
-        self.levels: list[Level] = []
-        above = np.empty(0, np.uint64)
-        made = []
-        for d in range(len(counts) - 1, -1, -1):
-            mine, given = counts[d]
-            low = above & np.uint64((1 << 8 * (d + 1)) - 1)
-            grams = np.unique(np.concatenate([mine, low]))
-            direct = np.zeros(len(grams))
-            direct[np.searchsorted(grams, mine)] = given
-            made.append(Level(grams, direct))
-            above = grams
-        self.levels = made[::-1]
-        for d, lv in enumerate(self.levels):
-            lv.contexts, lv.context = np.unique(lv.grams >> np.uint64(8), return_inverse=True)
-            if d:
-                lv.parent = np.searchsorted(self.levels[d - 1].grams, lv.grams & np.uint64((1 << 8 * d) - 1))
-        self._gibbs(sweeps, burn, np.random.default_rng(seed))
-
-    def _gibbs(self, sweeps: int, burn: int, rng: np.random.Generator) -> None:
-        lv = self.levels
-        seats = [np.minimum(x.direct, 1) for x in lv]
-        custom = [x.direct.copy() for x in lv]
-        disc = [0.5] * len(lv)
-        for d in range(len(lv) - 1, -1, -1):  # to begin with: one table for each dish
-            if d + 1 < len(lv):
-                custom[d] = lv[d].direct + np.bincount(lv[d + 1].parent, seats[d + 1], len(lv[d].grams))
-            seats[d] = np.minimum(custom[d], 1)
-            disc[d] = discount_of(float((custom[d] == 1).sum()), float((custom[d] == 2).sum()))
-        gain = [np.zeros(len(x.grams)) for x in lv]
-        back = [np.zeros(len(x.contexts)) for x in lv]
-        for sweep in range(sweeps):
-            chance, weight = self._predict(custom, seats, disc)
-            for d in range(len(lv) - 1, -1, -1):
-                if d + 1 < len(lv):
-                    custom[d] = lv[d].direct + np.bincount(lv[d + 1].parent, seats[d + 1], len(lv[d].grams))
-                base = chance[d - 1][lv[d].parent] if d else np.full(len(lv[0].grams), 1 / SYMBOLS)
-                total = np.bincount(lv[d].context, seats[d], len(lv[d].contexts))[lv[d].context]
-                seats[d] = tables(custom[d].astype(np.int64), base, total - seats[d], disc[d], STRENGTH, rng)
-            if sweep >= burn:
-                for d, x in enumerate(lv):
-                    size = np.bincount(x.context, custom[d], len(x.contexts))
-                    gain[d] += (custom[d] - disc[d] * seats[d]) / (STRENGTH + size[x.context])
-                    back[d] += (STRENGTH + disc[d] * np.bincount(x.context, seats[d], len(x.contexts))) / (STRENGTH + size)
-        n = max(1, sweeps - burn)
-        for d, x in enumerate(lv):
-            x.backoff = back[d] / n
-            below = lv[d - 1].chance[x.parent] if d else 1 / SYMBOLS
-            x.chance = gain[d] / n + x.backoff[x.context] * below
-
-    def _predict(self, custom, seats, disc):
-        chance, weight = [], []
-        for d, x in enumerate(self.levels):
-            size = np.bincount(x.context, custom[d], len(x.contexts))
-            w = (STRENGTH + disc[d] * np.bincount(x.context, seats[d], len(x.contexts))) / (STRENGTH + size)
-            below = chance[d - 1][x.parent] if d else 1 / SYMBOLS
-            chance.append((custom[d] - disc[d] * seats[d]) / (STRENGTH + size[x.context]) + w[x.context] * below)
-            weight.append(w)
-        return chance, weight
-
-    def symbol(self, grams: np.ndarray) -> np.ndarray:
-        """Averaged predictive probability of each gram's last byte after the bytes before it."""
-        p = np.full(len(grams), 1 / SYMBOLS)
-        for d, x in enumerate(self.levels):
-            if not len(x.grams):
-                continue
-            g = grams & np.uint64((1 << 8 * (d + 1)) - 1)
-            at = np.minimum(np.searchsorted(x.grams, g), len(x.grams) - 1)
-            seen = x.grams[at] == g
-            ctx = g >> np.uint64(8)
-            c = np.minimum(np.searchsorted(x.contexts, ctx), len(x.contexts) - 1)
-            p = np.where(seen, x.chance[at], np.where(x.contexts[c] == ctx, x.backoff[c], 1.0) * p)
-        return p
-
-    def log10(self, words: list[bytes], order: int = ORDER) -> np.ndarray:
-        """log10 probability of each word's bytes and its end."""
-        out = np.zeros(len(words))
-        lo = 0
-        while lo < len(words):  # about a million bytes at a time
-            hi, size = lo, 0
-            while hi < len(words) and size < 1_000_000:
-                size += len(words[hi]) + 1
-                hi += 1
-            grams, start = word_grams(words[lo:hi], order)
-            out[lo:hi] = np.add.reduceat(np.log10(self.symbol(grams)), start)
-            lo = hi
-        return out
-
-
-def word_grams(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each word, and its end (a space): the last ``order`` bytes and it. And where words start."""
-    pad = b" " * order
-    run = np.frombuffer(b"".join(pad + w + b" " for w in words), np.uint8).astype(np.uint64)
-    g = np.zeros(len(run) - order, np.uint64)
-    for k in range(order + 1):
-        g = (g << np.uint64(8)) | run[k : k + len(g)]
-    size = np.array([len(w) + 1 for w in words])
-    first = np.concatenate([[0], np.cumsum(size + order)[:-1]])  # of each word's grams, among all windows
-    start = np.concatenate([[0], np.cumsum(size)[:-1]])
-    return g[np.repeat(first - start, size) + np.arange(size.sum())], start
-
-
-_CONTEXT = np.uint64(0xD1B54A32D192ED03)
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """The text's words and its end, the empty word."""
-    return [*(text or "").encode(errors="replace").lower().split(), b""]
-
-
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    """As token_hashes; the end has a value of its own."""
-    h = np.full(len(words), 0x5EED, np.uint64)
-    some = [i for i, w in enumerate(words) if w]
-    if some:
-        h[some] = token_hashes([b" ".join(words[i] for i in some)], SPACED)[0]
-    return h
-
-
-def group_words(learn: DataFrame, groups: int = GROUPS, frequent: int = FREQUENT) -> dict[bytes, int]:
-    """Frequent words (by number of texts) and their groups: k-means on rows of positive mutual information over all texts."""
-    n_texts, top = frequent_words(learn, frequent)
-    if not top:
-        return {}
-    both = texts_with_both(learn, top)
-    n = np.diag(both)
-    pmi = np.maximum(0, np.log(np.maximum(both, 0.1) * n_texts / np.outer(n, n)))
-    rows = pmi / np.maximum(1e-9, np.linalg.norm(pmi, axis=1, keepdims=True))
-    centre = rows[:1]
-    while len(centre) < min(groups, len(top)):  # farthest first
-        centre = np.vstack([centre, rows[np.argmin((rows @ centre.T).max(1))]])
-    for _ in range(20):
-        label = (rows @ centre.T).argmax(1)
-        centre = np.stack([rows[label == k].sum(0) if (label == k).any() else centre[k] for k in range(len(centre))])
-        centre /= np.maximum(1e-9, np.linalg.norm(centre, axis=1, keepdims=True))
-    return dict(zip(top, label.tolist()))
-
-
-def frequent_words(learn: DataFrame, most: int) -> tuple[int, list[bytes]]:
-    """The number of texts, and the words that are in most of them."""
-
-    def run(batches):
-        out = pa.schema([("word", pa.binary()), ("n", pa.int64())])
-        tally: Counter = Counter()
-
-        def flush():
-            words = list(tally)
-            for lo in range(0, len(words), 50_000):
-                part = words[lo : lo + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([tally[w] for w in part], pa.int64())], schema=out)
-            tally.clear()
-
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                tally.update(set(words_of(text)))
-                if len(tally) > 400_000:
-                    yield from flush()
-        yield from flush()
-
-    n = learn.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = [(bytes(r[0]), r[1]) for r in n.orderBy(F.desc("n"), "word").limit(most + 1).collect()]  # the end is in every text, and first
-    return (found[0][1] if found else 0), [w for w, _ in found if w]
-
-
-def texts_with_both(learn: DataFrame, top: list[bytes]) -> np.ndarray:
-    """The number of texts that have two words, for all pairs of ``top``."""
-
-    def run(batches):
-        place = {w: i for i, w in enumerate(top)}
-        both = np.zeros((len(top), len(top)), np.int64)
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                texts = b.column(0).slice(lo, 512).to_pylist()
-                held = np.zeros((len(texts), len(top)), np.float32)
-                for row, text in zip(held, texts):
-                    row[[place[w] for w in place.keys() & set(words_of(text))]] = 1
-                both += (held.T @ held).astype(np.int64)
-        i, j = np.nonzero(np.triu(both))
-        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(both[i, j])], names=["i", "j", "n"])
-
-    found = learn.select("text").mapInArrow(run, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toArrow()
-    i, j, n = (found.column(k).to_numpy() for k in range(3))
-    both = np.zeros((len(top), len(top)))
-    both[i, j] = both[j, i] = n
-    return both
-
-
-def contexts(ids: np.ndarray) -> np.ndarray:
-    """The context of each word from the words' groups (-1: not frequent); GROUPS where none came before."""
-    out = np.empty(len(ids), np.int64)
-    so_far = np.zeros(GROUPS, np.int64)
-    for lo in range(0, len(ids), 1 << 16):
-        part = ids[lo : lo + (1 << 16)]
-        one = np.zeros((len(part) + 1, GROUPS), np.int64)
-        some = np.flatnonzero(part >= 0)
-        one[some + 1, part[some]] = 1
-        one[0] = so_far
-        total = np.cumsum(one, 0)
-        out[lo : lo + len(part)] = np.where(total[:-1].any(1), total[:-1].argmax(1), GROUPS)
-        so_far = total[-1]
-    return out
-
-
-def count_words(docs: DataFrame, group: dict[bytes, int]) -> DataFrame:
-    """From (block, learns, text): word, c0.. (counts by context over texts that learn), asked (block * 16 + context)."""
-    sent = docs.sparkSession.sparkContext.broadcast(group)
-
-    def run(batches):
-        of = sent.value
-        out = pa.schema([("word", pa.binary()), ("asked", pa.int64()), ("context", pa.int32()), ("c", pa.int64())])
-        tally: list[Counter] = [Counter() for _ in range(GROUPS + 1)]
-        met: list[set] = [set() for _ in range(GROUPS + 1)]
-        where = None
-
-        def flush():
-            for k in range(GROUPS + 1):
-                words = list(met[k] | tally[k].keys())
-                for lo in range(0, len(words), 50_000):
-                    part = words[lo : lo + 50_000]
-                    n = len(part)
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([where * 16 + k] * n, pa.int64()), pa.array([k] * n, pa.int32()), pa.array([tally[k].get(w, 0) for w in part], pa.int64())], schema=out)
-                tally[k].clear()
-                met[k].clear()
-
-        for b in batches:
-            for block, learns, text in zip(*(c.to_pylist() for c in b.columns)):
-                if block != where or sum(map(len, tally)) + sum(map(len, met)) > 400_000:
-                    yield from flush()
-                    where = block
-                words = words_of(text)
-                at = contexts(np.array([of.get(w, -1) for w in words], np.int64))
-                for k in np.unique(at).tolist():
-                    (tally if learns else met)[k].update(compress(words, (at == k).tolist()))
-        yield from flush()
-
-    said = docs.select("block", "learns", "text").mapInArrow(run, "word binary, asked long, context int, c long")
-    by = [F.sum(F.when(F.col("context") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(GROUPS + 1)]
-    return said.groupBy("word").agg(F.sum("c").alias("c"), *by, F.collect_set("asked").alias("asked"))
-
-
-def spelling_counts(words: DataFrame, order: int, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Customers of each restaurant level; the longest grams are cut to about ``most`` by count."""
-
-    def run(batches):
-        out = pa.schema([("gram", pa.int64()), ("c", pa.int64())])
-        for b in batches:
-            words = b.column(0).to_pylist()
-            for lo in range(0, len(words), 50_000):
-                g, c = np.unique(word_grams(words[lo : lo + 50_000], order)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c)], schema=out)
-
-    grams = materialize(words.where("c > 0 AND length(word) > 0").select("word").mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")), "grams")
-    levels = [(np.empty(0, np.uint64), np.empty(0)) for _ in range(order + 1)]
-    rest, d = grams, order
-    while d >= 0:
-        room, least = max(most, 0 if d else 256), 1  # single bytes stay
-        sizes = sorted(((r[0], r[1]) for r in rest.groupBy(F.least("c", F.lit(1000)).alias("c")).count().collect()), reverse=True)
-        for c, n in sizes:  # at most 1000 rows
-            room -= n
-            if room < 0:
-                least = c + 1
-                break
-        if least <= 1000:
-            kept = rest.where(F.col("c") >= least).toArrow()
-            levels[d] = kept.column("gram").to_numpy().view(np.uint64), kept.column("c").to_numpy().astype(np.float64)
-        if least == 1 or d == 0:
-            break
-        down = rest.where(F.col("c") < least) if least <= 1000 else rest  # counts of 1000 and more are one size: where none is kept, all go on
-        rest = down.groupBy((F.col("gram").bitwiseAND(F.lit((1 << 8 * d) - 1))).alias("gram")).agg(F.sum("c").alias("c"))
-        d -= 1
-    return levels
-
-
-@dataclass
-class Totals:
-    """What the word restaurants hold in all: tables of each context; customers and tables of their parent."""
-
-    context_tables: np.ndarray
-    customers: float
-    tables: float
-
-
-COUNTS = [f"c{k}" for k in range(GROUPS + 1)]
-TABLES = [f"t{k}" for k in range(GROUPS + 1)]
-
-
-def seat_words(words: DataFrame, spelling, discount: float, total: Totals, sweeps: int) -> DataFrame:
-    """Adds log_spelling, t0.. (mean tables in each context) and t (mean tables in their parent)."""
-
-    def run(batches):
-        model = spelling.value
-        for b in batches:
-            for lo in range(0, b.num_rows, 20_000):
-                part = b.slice(lo, 20_000)
-                word = part.column(0).to_pylist()
-                log = model.log10(word)
-                seed = int(token_hashes([b" ".join(word[:100])], SPACED)[0].sum(dtype=np.uint64)) if word else 0
-                rng = np.random.default_rng(seed)  # of the rows, so that a task that runs again seats alike
-                c = np.stack([part.column(2 + k).to_numpy(zero_copy_only=False) for k in range(GROUPS + 1)], 1)
-                spelt = np.power(10.0, log)
-                weight = (STRENGTH + discount * total.tables) / (STRENGTH + total.customers)
-                seats = np.minimum(c, 1).astype(np.float64)  # to begin with: one table for each dish
-                mean, mean_up = np.zeros_like(seats), np.zeros(len(word))
-                top = np.minimum(seats.sum(1), 1)
-                for _ in range(sweeps):
-                    up = np.maximum(seats.sum(1) - discount * top, 0) / (STRENGTH + total.customers) + weight * spelt
-                    for k in range(GROUPS + 1):
-                        seats[:, k] = tables(c[:, k], up, np.full(len(word), total.context_tables[k]), discount, STRENGTH, rng)
-                    top = tables(seats.sum(1).astype(np.int64), spelt, np.full(len(word), total.tables), discount, STRENGTH, rng)
-                    mean += seats / sweeps
-                    mean_up += top / sweeps
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(log), *(pa.array(mean[:, k]) for k in range(GROUPS + 1)), pa.array(mean_up)], names=[*names, "log_spelling", *TABLES, "t"])
-
-    names = ["word", "asked", *COUNTS]
-    schema = "word binary, asked array<long>, " + ", ".join(f"{c} long" for c in COUNTS) + ", log_spelling double, " + ", ".join(f"{t} double" for t in TABLES) + ", t double"
-    return words.select(*names).mapInArrow(run, schema)
-
-
-def totals(seated: DataFrame) -> Totals:
-    r = seated.agg(*[F.sum(t) for t in TABLES], F.sum("t")).first()
-    ctx = np.array([float(x or 0) for x in r[:-1]])
-    return Totals(ctx, float(ctx.sum()), float(r[-1] or 0))
-
-
-def score(docs: DataFrame, order: int = ORDER, most: int = MAX_GRAMS, sweeps: int = SWEEPS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    held = fold("doc_id", 10, 0)
-    copy = materialize(docs.select("doc_id", held.alias("held_out"), "text"), "lm-docs")
-    block = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
-    placed = copy.select("doc_id", "held_out", "text", block.alias("block"))
-    group = group_words(copy.where("NOT held_out"))
-    # the end token has a context as well: it is a word like the others, written as no bytes
-    words = materialize(count_words(placed.withColumn("learns", ~F.col("held_out")), group), "lm-words")
-    r = words.agg(*[F.sum(c) for c in COUNTS], *[F.sum((F.col(c) > 0).cast("long")) for c in COUNTS], *[F.sum((F.col("c") == n).cast("long")) for n in (1, 2)], F.sum((F.col("c") > 0).cast("long"))).first()
-    r = [int(x or 0) for x in r]
-    customers, dishes, ones, twos, n_types = np.array(r[: GROUPS + 1]), np.array(r[GROUPS + 1 : 2 * GROUPS + 2]), *r[2 * GROUPS + 2 :]
-    n_all = int(customers.sum())
-    discount = discount_of(ones, twos)
-    spelling = Spelling(spelling_counts(words, order, most), sweeps)
-    sent = spark.sparkContext.broadcast(spelling)
-    first = totals(seat_words(words, sent, discount, Totals(dishes.astype(float), float(dishes.sum()), float(n_types)), 1))
-    seated = materialize(seat_words(words, sent, discount, first, 4), "lm-seats")
-    total = totals(seated)
-    folder = fresh_dir(spark, "lm-answers")
-    up_weight = (STRENGTH + discount * total.tables) / (STRENGTH + total.customers)
-    weight = (STRENGTH + discount * total.context_tables) / (STRENGTH + customers)
-
-    def answers(batches):
-        """(h, block, context, c, p): log10 of each word's averaged predictive probability where it is asked for."""
+    source = docs if scan_again else materialize(docs.select("doc_id", "text"), "lm-docs")
+    placed = source.select("doc_id", fold("doc_id", 10, 0).alias("held_out"), "text", F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("block"))
+
+    def frequent(batches):
+        """(hash, count) of words and text starts with a 4096th of a stretch, and of all as a null hash."""
+        for _, _, rows in stretches(batches, sub_bytes):
+            s = Stretch(rows)
+            n = np.bincount(s.ids)
+            some = np.flatnonzero(n * 4096 >= len(s.ids))
+            h = [*s.words[some].view(np.int64).tolist(), int(BOS), None]
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array([*n[some].tolist(), len(rows), len(s.ids)], pa.int64())], names=["h", "n"])
+
+    with brief_shuffles(spark):
+        often = placed.mapInArrow(frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+        tokens = often.where("h IS NULL").first()
+    tokens = tokens["n"] if tokens else 0
+    buckets = 1 << max(2, min(20, (max(1, tokens) // bucket_tokens).bit_length()))
+    with brief_shuffles(spark):
+        hot = np.sort(np.array([r[0] for r in often.where(F.col("h").isNotNull() & (F.col("n") * 2 * buckets >= tokens)).collect()], np.int64).view(np.uint64))  # at most 2 * buckets, and 4096 a stretch
+    job = Job(spark, buckets)
+    shift, sent_hot = job.shift, spark.sparkContext.broadcast(hot)
+    message = spark_arrow_schema(spark, MESSAGE)
+    asks = fresh_dir(spark, "lm-asks")
+
+    def ask(batches):
+        for block, sub, rows in stretches(batches, sub_bytes):
+            it = ((m[0], block, sub, *m[1:]) for m in Stretch(rows).pair_up(shift, sent_hot.value).messages(shift))
+            while chunk := list(itertools.islice(it, 64)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*chunk), message)], schema=message)
+
+    store(placed.mapInArrow(ask, MESSAGE), asks, "bucket", parts=buckets)
+
+    def first(number):
+        """To the words' owners: their contexts here. To the spelling groups: grams. To the driver: sums."""
+        s = Bucket(asks, number)
+        for b, at in spread(s.next, shift):
+            yield told(SEEN, b, number, a=pack(s.next[at], True), b=pack(s.n_contexts[at].astype(np.uint32)), c=pack(s.needed[at].astype(np.uint8)))
+        grams, n, order, bounds = gram_groups(s.text, s.raw > 0, buckets)
+        for g in range(buckets):
+            at = order[bounds[g] : bounds[g + 1]]
+            if len(at):
+                yield told(GRAMS, g, number, a=pack(grams[at], True), b=pack(n[at].astype(np.uint32)))
+        seen = s.c > 0
+        for k in np.flatnonzero(np.isin(s.contexts, sent_hot.value)).tolist():
+            own = s.context == k
+            yield told(HOT, np.searchsorted(sent_hot.value, s.contexts[k]), number, s.c[own].sum(), (own & seen).sum())
+        yield told(SUMS, 0, number, s.raw.sum(), (s.raw > 0).sum(), (s.raw == 1).sum(), (s.raw == 2).sum())
+        yield told(MORE_SUMS, 0, number, seen.sum(), (s.c == 1).sum(), (s.c == 2).sum())
+
+    one = job.run(first, "lm-first")
+    sums = job.sums(one)
+    n_all, n_types, ones, twos = (int(x) for x in sums[SUMS, 0][:4])
+    n_pairs = int(sums[MORE_SUMS, 0][0])
+    d_word, d_pair = discount_of(ones, twos), discount_of(*(float(x) for x in sums[MORE_SUMS, 0][1:3]))
+    hot_size, hot_seen = (np.array([float(sums[HOT, k][i]) if (HOT, k) in sums else 0.0 for k in range(len(hot))]) for i in (0, 1))
+
+    def group_grams(number):
+        told_here = [(src, unpack(a, np.uint64, True), unpack(b, np.uint32)) for src, _, a, b, _ in heard(one, GRAMS, number)]
+        if not told_here:
+            return [], np.empty(0, np.uint64), np.empty(0), np.empty(0, np.int64)
+        grams, inverse = np.unique(np.concatenate([x[1] for x in told_here]), return_inverse=True)
+        return told_here, grams, np.bincount(inverse, np.concatenate([x[2] for x in told_here]), len(grams)), inverse
+
+    def pairs_of_bytes(batches):
         for b in batches:
-            columns = {n: c for n, c in zip(b.schema.names, b.columns)}
-            flat = lambda n: columns[n].to_numpy(zero_copy_only=False)
-            h = _word_hashes(columns["word"].to_pylist())
-            c, t = np.stack([flat(x) for x in COUNTS], 1), np.stack([flat(x) for x in TABLES], 1)
-            log_base = np.log10(up_weight) + flat("log_spelling")  # logs: a spelling can be below the smallest double
-            up = np.maximum(t.sum(1) - discount * flat("t"), 0) / (STRENGTH + total.customers)
-            with np.errstate(divide="ignore"):
-                log_up = np.logaddexp(np.log(up), log_base * np.log(10))
-                own = np.log(np.maximum(c - discount * t, 0) / (STRENGTH + customers))
-            p = np.logaddexp(own, np.log(weight) + log_up[:, None]) / np.log(10)
-            asked = columns["asked"]
-            where = np.repeat(np.arange(len(h)), np.diff(asked.offsets.to_numpy()))
-            code = asked.flatten().to_numpy(zero_copy_only=False)
-            k = code & 15
-            for lo in range(0, len(code), 100_000):
-                w, kk = where[lo : lo + 100_000], k[lo : lo + 100_000]
-                with np.errstate(over="ignore"):
-                    key = h[w] + kk.astype(np.uint64) * _CONTEXT
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array((code[lo : lo + 100_000] >> 4).astype(np.int32)), pa.array(c.sum(1)[w]), pa.array(p[w, kk].astype(np.float32))], names=["h", "block", "c", "p"])
-
-    asked = seated.mapInArrow(answers, "h long, block int, c long, p float")
-    asked.repartition(F.col("block")).sortWithinPartitions("block").write.partitionBy("block").parquet(folder)
-    frequent = np.array(sorted((int(x), g) for x, g in zip(_word_hashes(list(group)), group.values())), dtype=[("h", np.uint64), ("g", np.int64)])
+            for number in b.column(0).to_pylist():
+                _, grams, n, _ = group_grams(number)
+                low, c = np.unique(np.unique(grams[n > 0] & np.uint64(0xFFFFFF)) & np.uint64(0xFFFF), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(low.astype(np.int64)), pa.array(c.astype(np.int64))], names=["gram", "n"])
+
+    with brief_shuffles(spark):  # at most 65536 rows
+        low = sorted(tuple(r) for r in spark.range(0, buckets, 1, buckets).mapInArrow(pairs_of_bytes, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect())
+    short = Spelling(np.array([r[0] for r in low], np.uint64), np.array([r[1] for r in low], np.float64), 0, 1, lambda g: np.full(len(g), 1 / SYMBOLS), SWEEPS, BURN, 11)
+    sent_short = spark.sparkContext.broadcast(short.symbol(np.arange(1 << 16, dtype=np.uint64)))
+
+    def spell(number):
+        said, grams, n, inverse = group_grams(number)
+        dense = sent_short.value
+        model = Spelling(grams[n > 0], n[n > 0], 2, ORDER, lambda g: dense[(g & np.uint64(0xFFFF)).astype(np.int64)], SWEEPS, BURN, number)
+        chance = model.symbol(grams).astype(np.float32)
+        lo = 0
+        for src, g, _ in said:
+            yield told(SPELT, src, number, a=pack(chance[inverse[lo : lo + len(g)]]))
+            lo += len(g)
+
+    spelt = job.run(spell, "lm-spelt")
+
+    def parents(number):
+        """Spelling and customers of each word are kept; the words' probabilities go to the buckets that need them."""
+        s = Bucket(asks, number, pairs=False)
+        grams, _, order, bounds = gram_groups(s.text, s.raw > 0, buckets)
+        chance = np.ones(len(grams))
+        for g, _, a, _, _ in heard(spelt, SPELT, number):
+            chance[order[bounds[g] : bounds[g + 1]]] = unpack(a, np.float32)
+        log = np.zeros(len(s.words))
+        for g, word in word_grams(s.text, ORDER):
+            log += np.bincount(word, np.log10(chance[np.searchsorted(grams, g)]), len(log))
+        customers = np.zeros(len(s.words))
+        said = [(src, np.searchsorted(s.words, unpack(a, np.uint64, True)), unpack(b, np.uint32), unpack(c, np.uint8)) for src, _, a, b, c in heard(one, SEEN, number)]
+        for _, at, n, _ in said:
+            customers[at] += n
+        base = np.power(10.0, log)
+        t = mean_tables(customers, base, n_types - np.minimum(customers, 1), d_word, np.random.default_rng([1, number]))
+        p = predictive(customers, t, n_pairs, n_types, d_word, base)
+        for src, at, _, need in said:
+            yield told(PARENT, src, number, a=pack(p[at[need > 0]]))
+        yield told(KEPT, number, number, a=pack(log), b=pack(customers))
+        yield told(SUMS, 0, number, x=t.sum())
+
+    two = job.run(parents, "lm-parents")
+    release(spark, spelt)
+    all_word_tables = float(job.sums(two)[SUMS, 0][4] or 0)
+
+    def contexts(number):
+        """Seats the context restaurants. To the words' owners: tables beyond one a dish. To the stretches: their pairs."""
+        s = Bucket(asks, number, words=False)
+        p = np.zeros(len(s.next))
+        place = dict(spread(s.next, shift))
+        for src, _, a, _, _ in heard(two, PARENT, number):
+            at = place[src]
+            p[np.arange(at.start, at.stop)[s.needed[at]]] = unpack(a, np.float64)
+        many = np.flatnonzero(s.c > 1)
+        base, context = p[np.searchsorted(s.next, s.succ[many])], s.context[many]
+        t, mean = np.minimum(s.c, 1.0), np.zeros(len(many))
+        filled = np.bincount(s.context, t, len(s.contexts))
+        is_hot = np.isin(s.contexts, sent_hot.value)
+        which = np.searchsorted(sent_hot.value, s.contexts[is_hot])
+        beyond = np.zeros(len(s.contexts))  # tables of a hot context in other buckets
+        beyond[is_hot] = hot_seen[which] - filled[is_hot]
+        single = filled - np.bincount(context, minlength=len(filled))
+        rng = np.random.default_rng([2, number])
+        for sweep in range(SWEEPS):
+            t[many] = seat(s.c[many], base, (filled + beyond)[context] - t[many], d_pair, rng)
+            filled = single + np.bincount(context, t[many], len(filled))
+            mean += t[many] * (sweep >= BURN) / (SWEEPS - BURN)
+        t[many] = mean
+        filled = np.bincount(s.context, t, len(s.contexts))
+        more = many[mean > 1]
+        word, of = np.unique(s.succ[more], return_inverse=True)
+        extra = np.bincount(of, t[more] - 1, len(word))
+        for b, at in spread(word, shift):
+            yield told(EXTRA, b, number, a=pack(word[at], True), b=pack(extra[at]))
+        size = s.size.copy()
+        size[is_hot] = hot_size[which]
+        weight = ((STRENGTH + d_pair * filled) / (STRENGTH + size)).astype(np.float32)
+        weight[is_hot] = np.nan  # its tables are in several buckets
+        rest = np.maximum(s.c - d_pair * t, 0).astype(np.float32)
+        for k, (block, sub) in enumerate(s.asked):
+            pair = s.pair[s.pair_bounds[k] : s.pair_bounds[k + 1]]
+            context = s.context[pair]
+            context = context[np.concatenate([[True], context[1:] != context[:-1]])] if len(context) else context
+            yield told(PAIRS, block, number, sub, a=pack(rest[pair]), b=pack(size[context]), c=pack(weight[context]))
+        for k, x in zip(which.tolist(), filled[is_hot].tolist()):
+            yield told(HOT, k, number, x=x)
+        yield told(SUMS, 0, number, x=t.sum())
+
+    three = job.run(contexts, "lm-contexts")
+    sums = job.sums(three)
+    customers_all = float(sums[SUMS, 0][4] or 0)
+    hot_weight = np.array([(STRENGTH + d_pair * float(sums[HOT, k][4] if (HOT, k) in sums else 0)) / (STRENGTH + hot_size[k]) for k in range(len(hot))])
+
+    def owners(number):
+        """Seats the word restaurant's dishes again, and tells the stretches of their words."""
+        s = Bucket(asks, number, pairs=False)
+        kept = heard(two, KEPT, number)
+        log, customers = (unpack(kept[0][2 + k], np.float64).copy() for k in (0, 1)) if kept else (np.empty(0), np.empty(0))
+        for _, _, a, b, _ in heard(three, EXTRA, number):
+            customers[np.searchsorted(s.words, unpack(a, np.uint64, True))] += unpack(b, np.float64)
+        t = mean_tables(np.round(customers), np.power(10.0, log), all_word_tables - np.minimum(customers, 1), d_word, np.random.default_rng([3, number]))
+        own = np.maximum(customers - d_word * t, 0) / (STRENGTH + customers_all)
+        with np.errstate(divide="ignore"):  # in logs: a spelling can be below the smallest double
+            down = log * np.log(10) + np.log((STRENGTH + d_word * all_word_tables) / (STRENGTH + customers_all))
+            p = (np.logaddexp(np.log(own), down) / np.log(10)).astype(np.float32)
+        for k, (block, sub) in enumerate(s.asked):
+            word = s.word[s.word_bounds[k] : s.word_bounds[k + 1]]
+            yield told(WORDS, block, number, sub, a=pack(s.raw[word]), b=pack(p[word]))
+
+    four = job.run(owners, "lm-owners")
+    for folder in (asks, one, two):
+        release(spark, folder)
     norm = float(np.log10(n_all + 0.1 * (n_types + 1)))
-    end_hash = _word_hashes([b""])[0]
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = spark_arrow_schema(spark, schema)
 
     def run(batches):
-        where, h, c, p = None, None, None, None
-        for b in batches:
-            blocks = b.column(3).to_pylist()
-            lo = 0
-            while lo < b.num_rows:
-                hi = lo + 1
-                while hi < b.num_rows and hi - lo < 256 and blocks[hi] == blocks[lo]:
-                    hi += 1
-                if blocks[lo] != where:
-                    where = blocks[lo]
-                    h, c, p = _answers(folder, where)
-                texts = [(t or "").encode(errors="replace").lower() for t in b.column(2).slice(lo, hi - lo).to_pylist()]
-                tok, bounds = token_hashes(texts, SPACED)
-                n = np.diff(bounds)
-                tok, bounds = np.insert(tok, bounds[1:], end_hash), bounds + np.arange(len(bounds))
-                at = np.minimum(np.searchsorted(frequent["h"], tok), max(0, len(frequent) - 1))
-                ids = np.where(frequent["h"][at] == tok, frequent["g"][at], -1) if len(frequent) else np.full(len(tok), -1)
-                ctx = np.concatenate([contexts(ids[x:y]) for x, y in zip(bounds[:-1], bounds[1:])])
-                with np.errstate(over="ignore"):
-                    at = np.searchsorted(h, tok + ctx.astype(np.uint64) * _CONTEXT)
-                known, base, own = (np.add.reduceat(x, bounds[:-1]) for x in ((c[at] > 0).astype(np.int64), np.log10(c[at] + 0.1) - norm, p[at]))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(n + 1), pa.array(known), pa.array(np.full(len(n), n_all, np.int64)), pa.array(base), pa.array(own)],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-                lo = hi
-
-    return placed.select("doc_id", "held_out", "text", "block").mapInArrow(run, schema)
-
-
-def _answers(folder: str, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words that one block of documents asked for, sorted by hash."""
-    found = read_part(folder, "block", block, ["h", "c", "p"])
-    if found is None:
-        return np.zeros(1, np.uint64), np.zeros(1), np.zeros(1)
-    h = found.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    return h[order], found.column("c").to_numpy()[order].astype(np.float64), found.column("p").to_numpy()[order].astype(np.float64)
+        where, pairs, words = None, {}, {}
+        for block, sub, rows in stretches(batches, sub_bytes):
+            if block != where:
+                where, pairs, words = block, {}, {}
+                for found, folder, k in ((pairs, three, PAIRS), (words, four, WORDS)):
+                    for r in heard(folder, k, block):
+                        found.setdefault(r[1], []).append(r[2:])
+            s = Stretch(rows).pair_up(shift, sent_hot.value)
+            of = np.cumsum(s.new) - 1  # the context of each pair
+            asked, said = pairs.pop(sub, []), words.pop(sub, [])
+            rest, size, weight = (np.concatenate([unpack(r[k], t) for r in asked] or [np.empty(0)]) for k, t in ((0, np.float32), (1, np.float64), (2, np.float32)))
+            raw, log = (np.concatenate([unpack(r[k], t) for r in said] or [np.empty(0)]) for k, t in ((0, np.float64), (1, np.float32)))
+            if len(rest) != len(s.succ) or len(size) != s.new.sum() or len(raw) != len(s.words):
+                raise RuntimeError("a split of the documents was not the same when it was read again")
+            weight = weight.astype(np.float64)
+            some = np.flatnonzero(np.isnan(weight))
+            weight[some] = hot_weight[np.searchsorted(sent_hot.value, s.context[s.new][some])]
+            at = of[s.pair]
+            with np.errstate(divide="ignore"):
+                own = np.log(rest[s.pair] / (STRENGTH + size[at]))
+                p = np.logaddexp(own, np.log(weight[at]) + log[s.ids] * np.log(10)) / np.log(10)
+            c = raw[s.ids]
+            begin = s.bounds[:-1]
+            known, base, mine = (np.add.reduceat(x, begin) for x in ((c > 0).astype(np.int64), np.log10(c + 0.1) - norm, p))
+            columns = [[r[0] for r in rows], [r[1] for r in rows], np.diff(s.bounds), known, np.full(len(rows), n_all), base, mine]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, out)], schema=out)
+
+    return placed.mapInArrow(run, schema)

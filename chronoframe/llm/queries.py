@@ -50,7 +50,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pitman_yor.score(table(spark, sf_dir, "documents"))
+    return pitman_yor.score(table(spark, sf_dir, "documents"), scan_again=True)
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 A token is a run of ASCII letters and digits and non-ASCII bytes of the lower-cased
 text. Its hash is a polynomial in a random value per byte, taken from prefix sums
-modulo 2**64 and normalised by the inverse power at its start, then mixed.
+modulo 2**64 and normalised by the inverse power at its start, then mixed. Bytes
+are taken ``SEGMENT`` at a time, and a token longer than that is summed up segment
+by segment, so its length does not matter.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ SPACED = np.ones(256, bool)
 SPACED[[32, *range(9, 14)]] = False
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-SEGMENT = 1 << 22
+SEGMENT = 1 << 20
 _powers: list[np.ndarray] = []
 
 
@@ -38,15 +40,55 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _hash(data: bytes, part: np.ndarray = _TOKEN) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of the tokens of one segment, which ends with a space."""
-    buf = np.frombuffer(data, np.uint8)
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], part[buf]]).view(np.int8)))
+def _segment(buf: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the tokens that lie wholly in ``buf``."""
+    inside = np.zeros(len(buf) + 2, np.int8)
+    inside[1:-1] = part[buf]
+    edge = np.flatnonzero(np.diff(inside))
     start, end = edge[::2], edge[1::2]
     power, inverse = _power_tables(len(buf))
     with np.errstate(over="ignore"):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[buf] * power[: len(buf)])])
-        return mix((total[end] - total[start]) * inverse[start]), start
+        return mix((total[end] - total[start]) * inverse[start]), start, end
+
+
+def _long(buf: np.ndarray) -> int:
+    """The hash of one token, segment by segment."""
+    power, _ = _power_tables(SEGMENT)
+    step, total = pow(_BASE, SEGMENT, 1 << 64), 0
+    with np.errstate(over="ignore"):
+        for k, lo in enumerate(range(0, len(buf), SEGMENT)):
+            some = buf[lo : lo + SEGMENT]
+            total += int((_BYTE[some] * power[: len(some)]).sum(dtype=np.uint64)) * pow(step, k, 1 << 64)
+    return int(mix(np.array([total % (1 << 64)], np.uint64))[0])
+
+
+def scan(data: bytes, part: np.ndarray = _TOKEN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of all tokens of ``data``, of any length."""
+    buf = np.frombuffer(data, np.uint8)
+    found, at = [], 0
+    while at < len(buf):
+        end = min(len(buf), at + SEGMENT)
+        cut = end
+        if end < len(buf):  # after the last byte that is in no token
+            gaps = np.flatnonzero(~part[buf[at:end]])
+            cut = at + int(gaps[-1]) + 1 if len(gaps) else at
+        if cut > at:
+            h, s, e = _segment(buf[at:cut], part)
+            found.append((h, s + at, e + at))
+            at = cut
+            continue
+        while end < len(buf):  # a token from here on that goes beyond the segment
+            gaps = np.flatnonzero(~part[buf[end : end + SEGMENT]])
+            if len(gaps):
+                end += int(gaps[0])
+                break
+            end = min(len(buf), end + SEGMENT)
+        found.append((np.array([_long(buf[at:end])], np.uint64), np.array([at]), np.array([end])))
+        at = end
+    if not found:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def token_hashes(texts: list[str | bytes | None], part: np.ndarray = _TOKEN) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +101,7 @@ def token_hashes(texts: list[str | bytes | None], part: np.ndarray = _TOKEN) ->
     def flush():
         nonlocal group, size
         if group:
-            h, start = _hash(b"".join(group), part)
+            h, start, _ = scan(b"".join(group), part)
             ends = np.cumsum([len(g) for g in group])
             found.append(h)
             counts.extend(np.diff(np.searchsorted(start, ends), prepend=0).tolist())
@@ -67,25 +109,10 @@ def token_hashes(texts: list[str | bytes | None], part: np.ndarray = _TOKEN) ->
 
     for t in texts:
         data = (t if isinstance(t, bytes) else (t or "").lower().encode(errors="replace")) + b" "
-        if len(data) > SEGMENT:
+        group.append(data)
+        size += len(data)
+        if size > 2 * SEGMENT:
             flush()
-            n, at = 0, 0
-            while at < len(data):  # cut after a byte that is in no token; a longer token is cut where it is
-                end = min(len(data), at + SEGMENT)
-                cut = end
-                while cut > at and part[data[cut - 1]]:
-                    cut -= 1
-                cut = cut if cut > at else end
-                h, _ = _hash(data[at:cut] + b" ", part)
-                found.append(h)
-                n += len(h)
-                at = cut
-            counts.append(n)
-        else:
-            group.append(data)
-            size += len(data)
-            if size > SEGMENT:
-                flush()
     flush()
     bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
     return (np.concatenate(found) if found else np.empty(0, np.uint64)), bounds

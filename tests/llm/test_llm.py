@@ -132,31 +132,6 @@ def test_pitman_yor(spark, odd, empty):
     assert pitman_yor.score(odd).count() == len(ODD) and pitman_yor.score(empty).count() == 0
 
 
-def test_groups_are_fit_on_all_training_rows(spark):
-    rows = [(i, " ".join(f"{'ab'[i % 2]}{(i + k) % 40}" for k in range(20))) for i in range(1600)]
-    rows += [(2000 + i, f"late{i % 3} later") for i in range(1700)]
-    learn = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    n, top = pitman_yor.frequent_words(learn, 3)
-    assert n == 3300 and top == [b"later", b"late0", b"late1"]
-    assert pitman_yor.texts_with_both(learn, top).tolist() == [[1700, 567, 567], [567, 567, 0], [567, 0, 567]]
-    assert set(pitman_yor.group_words(learn, 2, 3)) == set(top)
-
-
-def test_spelling_is_a_distribution():
-    grams, start = pitman_yor.word_grams([b"abc", b"abd", b"b"], 2)
-    u, c = np.unique(grams, return_counts=True)
-    m = pitman_yor.Spelling([(np.empty(0, np.uint64), np.empty(0))] * 2 + [(u, c.astype(float))])
-    for context in (b"ab", b"  ", b"zz"):
-        g = np.array([context[0] << 16 | context[1] << 8 | s for s in range(256)], np.uint64)
-        assert 0.99 < m.symbol(g).sum() <= 1.0001
-
-
-def test_grams_of_a_level_that_keeps_none_go_on(spark):
-    words = spark.createDataFrame([(f"abc{i}".encode(), 1) for i in range(1200)], "word binary, c long")
-    levels = pitman_yor.spelling_counts(words, 2, 2)
-    assert sum(c.sum() for _, c in levels) == sum(len(f"abc{i}") + 1 for i in range(1200))
-
-
 def test_jaccard(spark, odd, empty):
     base_text = [f"t{i}" for i in range(100)]
     near = base_text[:50] + ["x"] + base_text[51:]
