@@ -38,6 +38,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +50,8 @@ ORDER, SWEEPS, BURN = 6, 8, 3
 SUB_BYTES, BUCKET_TOKENS = 12 << 20, 1_500_000
 BOS, END = np.uint64(0xB05), np.uint64(0x5EED << 20)
 _PAIR = np.uint64(0xD1B54A32D192ED03)
+#: Successors are known by these bits of their hash.
+KEY = np.uint64(~0xFFFF & (1 << 64) - 1)
 
 
 def pack(a: np.ndarray, rising: bool = False) -> bytes:
@@ -103,31 +106,39 @@ class Stretch:
         pairs, pair = np.unique(before * w + self.ids, return_inverse=True)
         context, succ = np.divmod(pairs, w)
         hashes = np.append(self.words, BOS)[context]
-        bucket = np.where(np.isin(hashes, hot), mix(hashes ^ mix(self.words[succ])), hashes) >> shift
-        order = np.argsort(bucket, kind="stable")
+        other = np.isin(hashes, np.append(hot, BOS))
+        next_ = self.words & KEY
+        bucket = np.where(np.isin(hashes, hot), mix(hashes ^ mix(next_[succ])), hashes) >> shift
+        order = np.argsort((bucket << np.uint64(1)) | other, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        self.pair, self.bucket, self.context, self.succ = rank[pair], bucket[order], hashes[order], self.words[succ[order]]
+        self.pair, self.bucket, self.context, self.succ = rank[pair], bucket[order], hashes[order], next_[succ[order]]
         self.new = np.ones(len(order), bool)  # where a context begins
         self.new[1:] = (self.context[1:] != self.context[:-1]) | (self.bucket[1:] != self.bucket[:-1])
         return self
 
-    def messages(self, shift: np.uint64):
-        """(bucket, words, their bytes, counts, contexts, successors of each, successors, counts); counts in texts that learn."""
+    def messages(self, shift: np.uint64, hot: np.ndarray):
+        """(bucket, words, their bytes, counts, successors of each, other contexts, successors of each, successors, counts); counts in texts that learn."""
         raw = np.bincount(self.ids[self.learns], minlength=len(self.words)).astype(np.uint32)
         c = np.bincount(self.pair[self.learns], minlength=len(self.succ)).astype(np.uint32)
         at = np.flatnonzero(self.new)
         size = np.diff(np.append(at, len(self.new))).astype(np.uint32)
         owner = self.words >> shift
+        special = np.append(hot, BOS)
+        shrink = zstandard.ZstdCompressor(level=1).compress
         for b in np.union1d(owner, self.bucket):
             w = slice(*(np.searchsorted(owner, b, side) for side in ("left", "right")))
             p = slice(*(np.searchsorted(self.bucket, b, side) for side in ("left", "right")))
             g = slice(*np.searchsorted(at, [p.start, p.stop]))
-            text = b" ".join(self.data[self.start[i] : self.end[i]] for i in self.first[w].tolist())
-            yield int(b), pack(self.words[w], True), text, pack(raw[w]), pack(self.context[at[g]], True), pack(size[g]), pack(self.succ[p]), pack(c[p])
+            words, context, sizes = self.words[w], self.context[at[g]], size[g]
+            n = len(context) - int(np.isin(context, special).sum())  # the usual ones, which are words of the bucket, come first
+            usual = np.zeros(len(words), np.uint32)
+            usual[np.searchsorted(words, context[:n])] = sizes[:n]
+            text = b" ".join([self.data[i:j] for i, j in zip(self.start[self.first[w]].tolist(), self.end[self.first[w]].tolist())])
+            yield int(b), pack(words, True), shrink(text), pack(raw[w]), pack(usual), pack(context[n:]), pack(sizes[n:]), pack(self.succ[p]), pack(c[p])
 
 
-MESSAGE = "bucket long, block long, sub int, words binary, text binary, raw binary, context binary, size binary, succ binary, c binary"
+MESSAGE = "bucket long, block long, sub int, words binary, text binary, raw binary, usual binary, context binary, size binary, succ binary, c binary"
 #: What buckets tell one another: by kind, to a bucket, from another.
 TOLD = "kind int, bucket long, src long, n0 long, n1 long, n2 long, n3 long, x double, a binary, b binary, c binary"
 SEEN, GRAMS, SPELT, PARENT, KEPT, EXTRA, PAIRS, WORDS, HOT, SUMS, MORE_SUMS = range(11)
@@ -150,12 +161,12 @@ class Bucket:
             self.word_bounds = np.cumsum([0, *map(len, each)])
             self.words, first, self.word = np.unique(np.concatenate(each) if each else np.empty(0, np.uint64), return_index=True, return_inverse=True)
             self.raw = np.bincount(self.word, np.concatenate([unpack(r[4], np.uint32) for r in rows]) if rows else None, len(self.words))
-            flat = list(itertools.chain.from_iterable(r[3].split(b" ") for r, e in zip(rows, each) if len(e)))
+            flat = list(itertools.chain.from_iterable(zstandard.decompress(r[3]).split(b" ") for r, e in zip(rows, each) if len(e)))
             self.text = [flat[i] for i in first.tolist()]
         if pairs:
-            context = [np.repeat(unpack(r[5], np.uint64, True), unpack(r[6], np.uint32)) for r in rows]
+            context = [np.repeat(np.concatenate([unpack(r[2], np.uint64, True), unpack(r[6], np.uint64)]), np.concatenate([unpack(r[5], np.uint32), unpack(r[7], np.uint32)])) for r in rows]
             self.pair_bounds = np.cumsum([0, *map(len, context)])
-            context, succ, c = (np.concatenate(x) if rows else np.empty(0, k) for x, k in ((context, np.uint64), ([unpack(r[7], np.uint64) for r in rows], np.uint64), ([unpack(r[8], np.uint32) for r in rows], np.uint32)))
+            context, succ, c = (np.concatenate(x) if rows else np.empty(0, k) for x, k in ((context, np.uint64), ([unpack(r[8], np.uint64) for r in rows], np.uint64), ([unpack(r[9], np.uint32) for r in rows], np.uint32)))
             with np.errstate(over="ignore"):
                 _, first, self.pair = np.unique(mix(context * _PAIR + succ), return_index=True, return_inverse=True)
             self.c = np.bincount(self.pair, c, len(first))
@@ -247,13 +258,11 @@ def score(docs: DataFrame, scan_again: bool = False, sub_bytes: int = SUB_BYTES,
             h = [*s.words[some].view(np.int64).tolist(), int(BOS), None]
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array([*n[some].tolist(), len(rows), len(s.ids)], pa.int64())], names=["h", "n"])
 
-    with brief_shuffles(spark):
-        often = placed.mapInArrow(frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-        tokens = often.where("h IS NULL").first()
+    often = materialize(placed.mapInArrow(frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-often")
+    tokens = often.where("h IS NULL").first()
     tokens = tokens["n"] if tokens else 0
     buckets = 1 << max(2, min(20, (max(1, tokens) // bucket_tokens).bit_length()))
-    with brief_shuffles(spark):
-        hot = np.sort(np.array([r[0] for r in often.where(F.col("h").isNotNull() & (F.col("n") * 2 * buckets >= tokens)).collect()], np.int64).view(np.uint64))  # at most 2 * buckets, and 4096 a stretch
+    hot = np.sort(np.array([r[0] for r in often.where(F.col("h").isNotNull() & (F.col("n") * 2 * buckets >= tokens)).collect()], np.int64).view(np.uint64))  # at most 2 * buckets, and 4096 a stretch
     job = Job(spark, buckets)
     shift, sent_hot = job.shift, spark.sparkContext.broadcast(hot)
     message = spark_arrow_schema(spark, MESSAGE)
@@ -261,7 +270,7 @@ def score(docs: DataFrame, scan_again: bool = False, sub_bytes: int = SUB_BYTES,
 
     def ask(batches):
         for block, sub, rows in stretches(batches, sub_bytes):
-            it = ((m[0], block, sub, *m[1:]) for m in Stretch(rows).pair_up(shift, sent_hot.value).messages(shift))
+            it = ((m[0], block, sub, *m[1:]) for m in Stretch(rows).pair_up(shift, sent_hot.value).messages(shift, sent_hot.value))
             while chunk := list(itertools.islice(it, 64)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*chunk), message)], schema=message)
 
@@ -333,7 +342,7 @@ def score(docs: DataFrame, scan_again: bool = False, sub_bytes: int = SUB_BYTES,
         for g, word in word_grams(s.text, ORDER):
             log += np.bincount(word, np.log10(chance[np.searchsorted(grams, g)]), len(log))
         customers = np.zeros(len(s.words))
-        said = [(src, np.searchsorted(s.words, unpack(a, np.uint64, True)), unpack(b, np.uint32), unpack(c, np.uint8)) for src, _, a, b, c in heard(one, SEEN, number)]
+        said = [(src, np.searchsorted(s.words & KEY, unpack(a, np.uint64, True)), unpack(b, np.uint32), unpack(c, np.uint8)) for src, _, a, b, c in heard(one, SEEN, number)]
         for _, at, n, _ in said:
             customers[at] += n
         base = np.power(10.0, log)
@@ -402,7 +411,7 @@ def score(docs: DataFrame, scan_again: bool = False, sub_bytes: int = SUB_BYTES,
         kept = heard(two, KEPT, number)
         log, customers = (unpack(kept[0][2 + k], np.float64).copy() for k in (0, 1)) if kept else (np.empty(0), np.empty(0))
         for _, _, a, b, _ in heard(three, EXTRA, number):
-            customers[np.searchsorted(s.words, unpack(a, np.uint64, True))] += unpack(b, np.float64)
+            customers[np.searchsorted(s.words & KEY, unpack(a, np.uint64, True))] += unpack(b, np.float64)
         t = mean_tables(np.round(customers), np.power(10.0, log), all_word_tables - np.minimum(customers, 1), d_word, np.random.default_rng([3, number]))
         own = np.maximum(customers - d_word * t, 0) / (STRENGTH + customers_all)
         with np.errstate(divide="ignore"):  # in logs: a spelling can be below the smallest double

@@ -7,9 +7,9 @@ that of the rule at any count, by whichever way is quickest: the first ``STEPS``
 customers one by one, for all dishes at once; then as many as there are so far at
 a time, with a random number each, where who opens a table is found by repetition
 (tables opened earlier only make later ones likelier, so the least solution is the
-one that seating in turn gives); after ``MANY`` customers the next one who opens a
-table is found by inverting the probability that none before does, a ratio of
-gamma functions.
+one that seating in turn gives); where new tables are ``RARE`` after ``MANY``
+customers, the next one who opens a table is found by inverting the probability
+that none before does, a ratio of gamma functions.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-STRENGTH, STEPS, MANY, SYMBOLS = 1.0, 48, 1 << 16, 257
+STRENGTH, STEPS, MANY, RARE, SYMBOLS = 1.0, 48, 1 << 16, 2000, 257
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -42,47 +42,54 @@ def seat(customers: np.ndarray, base: np.ndarray, rest: np.ndarray, discount: fl
         t[live] += rng.random(len(live)) * (new + n - discount * t[live]) < new
         n += 1
         live = live[customers[live] > n]
-    while len(live) and n < MANY:
-        take = np.minimum(n, customers[live] - n).astype(np.int64)
-        dish = np.repeat(np.arange(len(live)), take)
-        first = np.cumsum(take) - take
-        nth = n + np.arange(len(dish)) - first[dish]  # customers before this one
-        u, before, had = rng.random(len(dish)), rest[live][dish], t[live]
-        own, opened = base[live][dish], np.zeros(len(dish), np.int64)
-        while True:
-            tables = had[dish] + opened
-            new = (strength + discount * (before + tables)) * own
-            opens = u * (new + nth - discount * tables) < new
-            total = np.cumsum(opens)
-            now = total - opens - (total - opens)[first][dish]  # by earlier customers of the dish
-            if (now == opened).all():
-                break
-            opened = now
-        t[live] += np.bincount(dish, opens, len(live))
-        n *= 2
-        live = live[customers[live] > n]
     at = np.full(len(live), float(n))  # customers seated so far
     while len(live):
         new = (strength + discount * (rest[live] + t[live])) * base[live]
-        a, last = at - discount * t[live], customers[live] - discount * t[live]
-        # P(no new table among the customers up to m) = G(m) G(a + new) / (G(a) G(m + new)), m counted like a
-        begin = log_gamma(a + new) - log_gamma(a)
-        u = np.log(rng.random(len(live)))
-        none = lambda m: log_gamma(m) - log_gamma(m + new) + begin  # noqa: E731, B023
-        opens = none(last) < u
-        live, a, last, new, begin, u, at = (x[opens] for x in (live, a, last, new, begin, u, at))
-        lo, hi = np.zeros(len(live)), customers[live] - at  # whole numbers; none(a + lo) >= u > none(a + hi)
-        while (wide := hi - lo > 1).any():
-            mid = np.floor((lo + hi) / 2)
-            below = none(a + mid) < u
-            hi, lo = np.where(wide & below, mid, hi), np.where(wide & ~below, mid, lo)
-        at = at + hi
-        t[live] += 1
+        rare = (at >= MANY) & (new * RARE < at)
+        for some, way in ((~rare, _by_repetition), (rare, _by_inversion)):
+            if some.any():
+                k = live[some]
+                t[k], at[some] = way(customers[k], base[k], rest[k], t[k], at[some], discount, strength, rng)
         more = at < customers[live]
         live, at = live[more], at[more]
     return t
 
 
+def _by_repetition(customers, base, rest, t, at, discount, strength, rng):
+    """Seats as many customers more as there are (at most ``MANY``): tables and customers then."""
+    take = np.minimum(np.minimum(at, MANY), customers - at).astype(np.int64)
+    dish = np.repeat(np.arange(len(take)), take)
+    first = np.cumsum(take) - take
+    nth = at[dish] + np.arange(len(dish)) - first[dish]  # customers before this one
+    u, before, own = rng.random(len(dish)), rest[dish], base[dish]
+    opened = np.zeros(len(dish), np.int64)
+    while True:
+        tables = t[dish] + opened
+        new = (strength + discount * (before + tables)) * own
+        opens = u * (new + nth - discount * tables) < new
+        total = np.cumsum(opens) - opens
+        now = total - total[first][dish]  # by earlier customers of the dish
+        if (now == opened).all():
+            return t + np.bincount(dish, opens, len(take)), at + take
+        opened = now
+
+
+def _by_inversion(customers, base, rest, t, at, discount, strength, rng):
+    """Seats customers up to the next one who opens a table: tables and customers then."""
+    new = (strength + discount * (rest + t)) * base
+    a, last = at - discount * t, customers - discount * t
+    # P(no new table among the customers up to m) = G(m) G(a + new) / (G(a) G(m + new)), m counted like a
+    begin, u = log_gamma(a + new) - log_gamma(a), np.log(rng.random(len(t)))
+    none = lambda m: log_gamma(m) - log_gamma(m + new) + begin
+    opens = none(last) < u
+    lo, hi = np.zeros(len(t)), customers - at  # whole numbers; none(a + lo) >= u, and > none(a + hi) if one opens
+    while (wide := hi - lo > 1).any():
+        mid = np.floor((lo + hi) / 2)
+        below = none(a + mid) < u
+        hi, lo = np.where(wide & below, mid, hi), np.where(wide & ~below, mid, lo)
+    return t + opens, np.where(opens, at + hi, customers)
+
+
 def discount_of(ones: float, twos: float) -> float:
     """The usual estimate from the numbers of dishes with one and two customers."""
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
