@@ -47,7 +47,7 @@ from .restaurants import STRENGTH, SYMBOLS, Spelling, discount_of, predictive, s
 from .tokens import SPACED, mix, scan
 
 ORDER, SWEEPS, BURN = 6, 8, 3
-SUB_BYTES, BUCKET_TOKENS = 12 << 20, 1_500_000
+SUB_BYTES, BUCKET_TOKENS = 8 << 20, 1_500_000
 BOS, END = np.uint64(0xB05), np.uint64(0x5EED << 20)
 _PAIR = np.uint64(0xD1B54A32D192ED03)
 #: Successors are known by these bits of their hash.

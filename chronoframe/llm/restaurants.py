@@ -46,8 +46,11 @@ def seat(customers: np.ndarray, base: np.ndarray, rest: np.ndarray, discount: fl
     while len(live):
         new = (strength + discount * (rest[live] + t[live])) * base[live]
         rare = (at >= MANY) & (new * RARE < at)
-        for some, way in ((~rare, _by_repetition), (rare, _by_inversion)):
-            if some.any():
+        many = np.flatnonzero(~rare)
+        take = np.cumsum(np.minimum(np.minimum(at, MANY), customers[live] - at)[many])  # some dishes at a time, for memory
+        parts = np.split(many, np.flatnonzero(np.diff(take // (8 * MANY))) + 1) if len(many) else []
+        for some, way in (*((x, _by_repetition) for x in parts), (np.flatnonzero(rare), _by_inversion)):
+            if len(some):
                 k = live[some]
                 t[k], at[some] = way(customers[k], base[k], rest[k], t[k], at[some], discount, strength, rng)
         more = at < customers[live]
