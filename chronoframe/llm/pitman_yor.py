@@ -252,11 +252,11 @@ def score(docs: DataFrame, scan_again: bool = False, sub_bytes: int = SUB_BYTES,
     def frequent(batches):
         """(hash, count) of words and text starts with a 4096th of a stretch, and of all as a null hash."""
         for _, _, rows in stretches(batches, sub_bytes):
-            s = Stretch(rows)
-            n = np.bincount(s.ids)
-            some = np.flatnonzero(n * 4096 >= len(s.ids))
-            h = [*s.words[some].view(np.int64).tolist(), int(BOS), None]
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array([*n[some].tolist(), len(rows), len(s.ids)], pa.int64())], names=["h", "n"])
+            words, n = np.unique(scan(b" ".join(r[2] for r in rows), SPACED)[0], return_counts=True)
+            total = int(n.sum()) + len(rows)
+            some = np.flatnonzero(n * 4096 >= total)
+            h = [*words[some].view(np.int64).tolist(), int(BOS), int(END), None]
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array([*n[some].tolist(), len(rows), len(rows), total], pa.int64())], names=["h", "n"])
 
     often = materialize(placed.mapInArrow(frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-often")
     tokens = often.where("h IS NULL").first()
