@@ -13,17 +13,20 @@ columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterable
+from bisect import bisect_left, insort
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import Memo, map_rows, materialize
+from .base import Memo, fresh_dir, map_rows, materialize, read_part, spark_arrow_schema, store
 
 CAP, END_ID = 4096, 1
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -43,7 +46,6 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.model = self.tok.model
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
@@ -109,134 +111,149 @@ def lower_bound(hist: dict[int, int], cap: int) -> int:
     mass = np.concatenate([[0], np.cumsum(size * count)])
     number = np.concatenate([[0], np.cumsum(count)])
     half = np.searchsorted(size, cap // 2, "right")
-    best = -(-int(mass[-1]) // cap)
-    for a in [0, *size[:half].tolist()]:
-        big = max(int(np.searchsorted(size, cap - a, "right")), int(half))
-        small = int(np.searchsorted(size, a, "left"))
-        n_big, n_mid = int(number[-1] - number[big]), int(number[big] - number[half])
-        room = n_mid * cap - int(mass[big] - mass[half])
-        best = max(best, n_big + n_mid + max(0, -(-(int(mass[half] - mass[small]) - room) // cap)))
-    return best
-
-
-def fillings(sizes: np.ndarray, counts: np.ndarray, room: int, width: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, least waste first, at most ``width``.
-
-    A filling is dominated when its items fit into the items of another, so a
-    pair counts only if its sum exceeds the largest single, the partner is the
-    largest that fits, and likewise for more items: each last item is the largest
-    that fits, and whatever room remains is filled by best fit.
-    """
-    avail = sizes[(counts > 0) & (sizes <= room)]
-    if not len(avail):
-        return [()]
-    have = dict(zip(sizes.tolist(), counts.tolist()))
-
-    def complete(chosen: list[int]) -> tuple[int, ...]:
-        used: dict[int, int] = {}
-        for s in chosen:
-            used[s] = used.get(s, 0) + 1
-        left = room - sum(chosen)
-        while True:  # best fit for what is left
-            k = int(np.searchsorted(avail, left, "right")) - 1
-            while k >= 0 and used.get(int(avail[k]), 0) >= have[int(avail[k])]:
-                k -= 1
-            if k < 0:
-                return tuple(sorted(chosen, reverse=True))
-            s = int(avail[k])
-            chosen.append(s)
-            used[s] = used.get(s, 0) + 1
-            left -= s
-
-    found = {complete([int(avail[-1])])}
-    k = np.searchsorted(avail, room - avail, "right") - 1
-    ok = k >= 0
-    a, b = avail[ok], avail[k[ok]]
-    a, b = a[a >= b], b[a >= b]
-    keep = (a + b > avail[-1]) & ((a != b) | (np.array([have[x] for x in a.tolist()], np.int64) > 1))
-    a, b = a[keep], b[keep]
-    for i in np.argsort(room - a - b, kind="stable")[:width]:
-        found.add(complete([int(a[i]), int(b[i])]))
-    if all(sum(f) < room for f in found):
-        for first in avail[::-1][: 2 * width].tolist():
-            rest = room - first
-            sub = avail[avail <= min(first, rest)]
-            if not len(sub):
-                continue
-            k = np.searchsorted(sub, rest - sub, "right") - 1
-            ok = k >= 0
-            if not ok.any():
-                continue
-            b, c = sub[ok], sub[k[ok]]
-            i = int(np.argmax(b + c))
-            chosen = [int(first), int(b[i]), int(c[i])]
-            if all(chosen.count(s) <= have[s] for s in chosen):
-                found.add(complete(chosen))
-            if first + b[i] + c[i] == room and len(found) > width:
+    a = np.concatenate([[0], size[:half]])
+    big = np.maximum(np.searchsorted(size, cap - a, "right"), half)
+    small = np.searchsorted(size, a, "left")
+    room = (number[big] - number[half]) * cap - (mass[big] - mass[half])
+    best = number[-1] - number[half] + np.maximum(0, -(-(mass[half] - mass[small] - room) // cap))
+    return max(-(-int(mass[-1]) // cap), int(best.max()))
+
+
+Plan = list[tuple[tuple[int, ...], int]]
+
+
+def best_fit(hist: dict[int, int], cap: int) -> Plan:
+    """Best-fit decreasing: patterns and how often each is used. Equal sequences are filled together."""
+    open_: dict[int, list[list]] = {}  # room left: [pattern, how many]
+    rooms: list[int] = []  # the keys of open_, rising
+
+    def put(room: int, pattern: tuple, times: int) -> None:
+        if times:
+            if room not in open_:
+                open_[room] = []
+                insort(rooms, room)
+            open_[room].append([pattern, times])
+
+    for s in sorted(hist, reverse=True):
+        left = hist[s]
+        while left:
+            at = bisect_left(rooms, s)
+            if at == len(rooms):
+                each = cap // s
+                put(cap - each * s, (s,) * each, left // each)
+                put(cap - left % each * s, (s,) * (left % each), min(1, left % each))
                 break
-    return sorted(found, key=lambda f: (room - sum(f), len(f), tuple(-x for x in f)))[:width]
-
-
-def solve(hist: dict[int, int], cap: int = CAP, node_budget: int = 4000, width: int = 8) -> list[tuple[tuple[int, ...], int]]:
+            room = rooms[at]
+            pattern, times = open_[room].pop()
+            if not open_[room]:
+                del open_[room], rooms[at]
+            each = room // s
+            full = min(times, left // each)
+            put(room - each * s, pattern + (s,) * each, full)
+            left -= full * each
+            if full < times and left:  # fewer than a sequence takes
+                put(room - left * s, pattern + (s,) * left, 1)
+                full, left = full + 1, 0
+            put(room, pattern, times - full)
+    return [(pattern, times) for room in rooms for pattern, times in open_[room]]
+
+
+def dominated(filling: tuple[int, ...], slack: int, spare: list[int]) -> bool:
+    """Whether a spare item can take the place of some of the filling's items that fit into it.
+
+    ``spare``: the rising sizes of which an item is left. Sums of items are bits of a number.
+    """
+    inside, at, sums = filling[::-1], 0, 1
+    window = (1 << slack + 1) - 1
+    for x in spare:
+        while at < len(inside) and inside[at] < x:
+            sums |= sums << inside[at]
+            at += 1
+        if (sums >> x - slack if x >= slack else sums << slack - x) & window:
+            return True
+    return False
+
+
+def fillings(hist: dict[int, int], room: int) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of ``room``, those that waste least first."""
+    sizes = sorted((s for s in hist if hist[s] and s <= room), reverse=True)
+    top = (1 << room + 1) - 1
+    reach = [1]  # sums that the sizes from there on can make, as bits; the last is of none
+    for s in reversed(sizes):
+        sums, n, k = reach[-1], min(hist[s], room // s), 1
+        while n:
+            k = min(k, n)
+            sums |= sums << s * k & top
+            n, k = n - k, 2 * k
+        reach.append(sums)
+    reach.reverse()
+
+    def exactly(i: int, total: int, chosen: tuple) -> Iterator[tuple[int, ...]]:
+        while i < len(sizes) and total and reach[i] >> total & 1:
+            s = sizes[i]
+            if s <= total:
+                for k in range(min(hist[s], total // s), 0, -1):
+                    yield from exactly(i + 1, total - k * s, chosen + (s,) * k)
+            i += 1
+        if not total:
+            yield chosen
+
+    for total in range(room, -1, -1):
+        if reach[0] >> total & 1:
+            for f in exactly(0, total, ()):
+                used = {s: f.count(s) for s in set(f)}
+                if not dominated(f, room - total, [s for s in reversed(sizes) if hist[s] > used.get(s, 0)]):
+                    yield f
+
+
+def solve(hist: dict[int, int], cap: int = CAP, nodes: int = 2000) -> Plan:
     """Patterns and how often each is used; together they hold every item once.
 
-    Depth-first branch and bound: the largest item left opens a sequence, its
-    undominated fillings are the branches, the wasted ids so far bound them, and
-    the first descent (best fit throughout) is the incumbent. With many items a
-    branch uses its pattern as often as the counts allow. ``node_budget`` ends
-    the search; the incumbent is then the answer.
+    Bin completion, depth first: the largest item left opens a sequence, its
+    undominated fillings are the branches, each used as often as the counts allow
+    and then once. A branch is cut where the waste so far, or the lower bound of
+    what is left, rules out fewer sequences than the incumbent has; best fit gives
+    the first incumbent, and completes each node to the next ones. The search
+    ends with proof or after ``nodes`` nodes.
     """
     hist = {int(s): int(n) for s, n in hist.items() if n > 0}
-    if not hist:
-        return []
-    sizes = np.array(sorted(hist), np.int64)
-    start = np.array([hist[s] for s in sizes.tolist()], np.int64)
-    place = {s: k for k, s in enumerate(sizes.tolist())}
-    total, goal = int((sizes * start).sum()), lower_bound(hist, cap)
-    many = int(start.sum()) > 200
-    best: list = [None, 1 << 62]
-
-    def branches(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-        top = int(np.flatnonzero(counts)[-1])
-        left = counts.copy()
-        left[top] -= 1
-        out = []
-        for f in fillings(sizes, left, cap - int(sizes[top]), width if not many else 4):
-            items = (int(sizes[top]), *f)
-            times = min(int(counts[place[s]]) // items.count(s) for s in set(items)) if many else 1
-            out.append((items, times))
-        return out
-
-    nodes = 0
-    stack = [(start, branches(start), 0, 0, ())]  # counts, branches to try, bins, waste, linked path
-    while stack:
-        counts, todo, bins, waste, path = stack.pop()
-        if not todo:
+    count = lambda plan: sum(n for _, n in plan)
+    best = best_fit(hist, cap)
+    total, goal, most = sum(s * n for s, n in hist.items()), lower_bound(hist, cap), count(best)
+
+    def branches(left: dict[int, int]) -> Iterator[tuple[tuple[int, ...], int]]:
+        top = max(left)
+        rest = left | {top: left[top] - 1}
+        for f in fillings(rest, cap - top):
+            items = (top, *f)
+            times = min(left[s] // items.count(s) for s in set(items))
+            yield items, times
+            if times > 1:
+                yield items, 1
+
+    stack = [(hist, branches(hist), 0, 0, None)] if hist and most > goal else []  # left, branches, sequences, waste, linked path
+    while stack and nodes and most > goal:
+        left, todo, n, waste, path = stack[-1]
+        items, times = next(todo, ((), 0))
+        if not times:
+            stack.pop()
             continue
-        (items, times), rest = todo[0], todo[1:]
-        stack.append((counts, rest, bins, waste, path))
-        nodes += 1
-        now = counts.copy()
-        for s in items:
-            now[place[s]] -= times
-        n, w = bins + times, waste + times * (cap - sum(items))
-        if -(-(total + w) // cap) >= best[1]:
+        nodes -= 1
+        now = dict(left)
+        for s in set(items):
+            now[s] -= times * items.count(s)
+            if not now[s]:
+                del now[s]
+        n, waste, path = n + times, waste + times * (cap - sum(items)), ((items, times), path)
+        if -(-(total + waste) // cap) >= most or n + lower_bound(now, cap) >= most:
             continue
-        way = ((items, times), path)
-        if not now.any():
-            if n < best[1]:
-                best[:] = [way, n]
-            if n <= goal:
-                break
-        else:
-            stack.append((now, branches(now), n, w, way))
-        if nodes > node_budget and best[0] is not None:
-            break
-    out, way = [], best[0]
-    while way:
-        out.append(way[0])
-        way = way[1]
-    return out[::-1]
+        rest = best_fit(now, cap)
+        if n + count(rest) < most:
+            best, most, way = rest, n + count(rest), path
+            while way:
+                best, way = [way[0], *best], way[1]
+        stack.append((now, branches(now), n, waste, path))
+    return best
 
 
 def deal(plan: Iterable[tuple[tuple[int, ...], int]]) -> np.ndarray:
@@ -254,35 +271,68 @@ def deal(plan: Iterable[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pack_pieces(parts: DataFrame, cap: int = CAP, rows_per_salt: int = 2000) -> DataFrame:
-    """Add sequence_id and offset to rows that have ``doc_id``, ``piece`` and ``length``."""
-    spark = parts.sparkSession
-    hist = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}  # at most cap rows
+def pack_pieces(parts: DataFrame, cap: int = CAP) -> DataFrame:
+    """Add sequence_id and offset to rows that have a ``length``.
+
+    A row's rank among those of its length is that of its split's first one, which
+    a table of counts by split and length gives, and its place in the split: the
+    rows themselves are not shuffled.
+    """
+    spark, columns = parts.sparkSession, parts.columns
+    rows = materialize(parts, "pieces").select(*columns, F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("_split"))
+
+    def by_split(batches):
+        for b in batches:
+            split = b.column(b.num_columns - 1).to_numpy()
+            for lo, hi in _runs(split):
+                yield split[lo], b.slice(lo, hi - lo)
+
+    def count(batches):
+        for split, own in itertools.groupby(by_split(batches), lambda x: x[0]):
+            n = np.zeros(cap + 1, np.int64)
+            for _, b in own:
+                n += np.bincount(b.column("length").to_numpy(), minlength=cap + 1)
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), split)), pa.array(some), pa.array(n[some])], names=["split", "length", "n"])
+
+    counts = materialize(rows.select("length", "_split").mapInArrow(count, "split long, length long, n long"), "lengths")
+    hist = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most cap rows
     dealt = spark.sparkContext.broadcast(deal(solve(hist, cap)))
-    salts = max(1, sum(hist.values()) // rows_per_salt)
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(salts)))
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    first = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")).select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
-    ranked = salted.withColumn("_rank", F.row_number().over(within) - 1).join(first, ["length", "_salt"])
-    columns = parts.columns
-
-    def place(frames):
-        rows = dealt.value
-        keys = (rows[:, 0] << 40) | rows[:, 1]
-        for pdf in frames:
-            length, rank = pdf["length"].to_numpy(np.int64), pdf.pop("_rank").to_numpy(np.int64)
-            at = rows[np.searchsorted(keys, (length << 40) | rank, "right") - 1]
-            nth = rank - at[:, 1]
-            pdf["sequence_id"] = at[:, 3] + nth // at[:, 2]
-            pdf["offset"] = at[:, 4] + nth % at[:, 2] * length
-            yield pdf
-
-    ranked = ranked.select(*columns, (F.col("_first") + F.col("_rank")).alias("_rank"))
+    before = Window.partitionBy("length").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    firsts = fresh_dir(spark, "ranks")
+    store(counts.select("split", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), firsts, "split", parts=int(spark.conf.get("spark.sql.shuffle.partitions")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long"
-    return ranked.mapInPandas(place, schema)
+    out = spark_arrow_schema(spark, schema)
+
+    def place(batches):
+        table = dealt.value
+        keys = (table[:, 0] << 44) | table[:, 1]
+        for split, own in itertools.groupby(by_split(batches), lambda x: x[0]):
+            said = read_part(firsts, "split", split, ["length", "first"])
+            next_ = np.zeros(cap + 1, np.int64)
+            next_[said.column("length").to_numpy()] = said.column("first").to_numpy()
+            for _, b in own:
+                length = b.column("length").to_numpy().astype(np.int64)
+                order = np.argsort(length, kind="stable")
+                new = np.concatenate([[True], length[order][1:] != length[order][:-1]])
+                rank = np.empty(len(length), np.int64)
+                rank[order] = np.arange(len(length)) - np.maximum.accumulate(np.where(new, np.arange(len(length)), 0))
+                rank += next_[length]
+                next_ += np.bincount(length, minlength=cap + 1)
+                at = table[np.searchsorted(keys, (length << 44) | rank, "right") - 1]
+                nth = rank - at[:, 1]
+                made = [pa.array(at[:, 3] + nth // at[:, 2]), pa.array(at[:, 4] + nth % at[:, 2] * length)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], schema=out)
+
+    return rows.mapInArrow(place, schema)
+
+
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of the runs of equal values."""
+    cut = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+    return ((a, b) for a, b in zip(cut, cut[1:]) if b > a)
 
 
 def pack(docs: DataFrame, tokenizer: str, cap: int = CAP, end_id: int = END_ID) -> DataFrame:
     """Each piece of each document with its sequence and its place there."""
-    return pack_pieces(materialize(pieces(docs, tokenizer, cap, end_id), "pieces"), cap)
+    return pack_pieces(pieces(docs, tokenizer, cap, end_id), cap)
