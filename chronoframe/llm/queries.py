@@ -46,7 +46,7 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    return warc.round_trip(table(spark, sf_dir, "pages"), scan_again=True)
 
 
 def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

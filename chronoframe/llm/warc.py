@@ -9,6 +9,7 @@ Reader: each member and record is checked (gzip checksum, version line, header,
 length, end of record, block and payload digest). After a failed check it looks
 for the next member that decompresses to a version line, or in plain files for
 the next version line, goes on from there and logs the bytes in between as a gap.
+It holds a record and about a chunk of the file at a time.
 
 Files are written under a name of the task's attempt, and only names that a
 successful attempt has returned are read, so lost executors leave nothing behind
@@ -22,6 +23,7 @@ are all responses; no pages give no files; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import fresh_dir, materialize
+from .base import fresh_dir, materialize, read_part, store
 
 REVISIT_BYTES, FILE_BYTES, DATE = 1000, 16 << 20, "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 _ID = "urn:page:"
 
 
@@ -90,26 +93,44 @@ class Record:
         return self.headers.get("warc-payload-digest", "").removeprefix("sha1:")
 
 
-def parse(data: bytes, at: int) -> tuple[Record, int] | None:
+class Source:
+    """Bytes from anywhere in a file (or a bytes object), about ``CHUNK`` held at a time."""
+
+    CHUNK = 1 << 20
+
+    def __init__(self, data, size: int | None = None):
+        self.file = None if isinstance(data, bytes) else data
+        self.held, self.at = (data, 0) if self.file is None else (b"", 0)
+        self.size = len(data) if self.file is None else size
+
+    def get(self, at: int, n: int) -> bytes:
+        """``n`` bytes from ``at`` on, fewer at the end."""
+        lo = at - self.at
+        if self.file is not None and not 0 <= lo <= lo + min(n, self.size - at) <= len(self.held):
+            self.file.seek(at)
+            self.held, self.at, lo = self.file.read(max(n, self.CHUNK)), at, 0
+        return self.held[lo : lo + n]
+
+
+def parse(src: Source, at: int) -> tuple[Record, int] | None:
     """The record that begins at ``at`` and its end, or None if a check fails."""
-    if not _VERSION.match(data, at):
-        return None
-    close = data.find(b"\r\n\r\n", at, at + 65536)
-    if close < 0:
+    head, colons, _ = src.get(at, 65536).partition(b"\r\n\r\n")
+    if not colons or not _VERSION.match(head + b"\r\n"):
         return None
     headers = {}
-    for line in data[at:close].split(b"\r\n")[1:]:
+    for line in head.split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             return None
         headers[name.decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
     length = headers.get("content-length", "")
-    if not length.isdigit():
+    if not (length.isascii() and length.isdigit() and len(length) < 19):
         return None
-    begin, end = close + 4, close + 4 + int(length)
-    if data[end : end + 4] != b"\r\n\r\n":
+    begin = at + len(head) + 4
+    end = begin + int(length)
+    if end + 4 > src.size or src.get(end, 4) != b"\r\n\r\n":  # before the block itself is read
         return None
-    block = data[begin:end]
+    block = src.get(begin, end - begin)
     if "warc-block-digest" in headers and headers["warc-block-digest"] != "sha1:" + hashlib.sha1(block).hexdigest():
         return None
     http, _, payload = block.partition(b"\r\n\r\n")
@@ -120,55 +141,75 @@ def parse(data: bytes, at: int) -> tuple[Record, int] | None:
     return out, end + 4
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
+def _inflate(src: Source, at: int) -> tuple[bytes, int] | None:
     """A whole gzip member and its end; None if it is broken or cut."""
-    z = zlib.decompressobj(31)
+    z, out, step = zlib.decompressobj(31), [], 1 << 12
     try:
-        out = z.decompress(memoryview(data)[at:])
+        while not z.eof:
+            some = src.get(at, step)
+            if not some:
+                return None
+            out.append(z.decompress(some))
+            at, step = at + len(some), min(2 * step, Source.CHUNK)
     except zlib.error:
         return None
-    return (out, len(data) - len(z.unused_data)) if z.eof else None
-
-
-def salvage(data: bytes) -> Iterator[tuple[Record | None, tuple[int, int] | None]]:
-    """(record, None) for each good record, (None, (from, to)) for each gap in the file's bytes."""
-    at = 0
-    while at < len(data):
-        packed = data[at : at + 3] == b"\x1f\x8b\x08"
-        if packed:
-            got = _inflate(data, at)
-            good = bool(got)
-            if got:
-                inside = 0
-                while inside < len(got[0]):
-                    r = parse(got[0], inside)
-                    if not r:
-                        good = False
-                        break
-                    yield Record(r[0].headers, r[0].http, r[0].payload, at), None
-                    inside = r[1]
-                if good:
-                    at = got[1]
-                    continue
-        else:
-            r = parse(data, at)
-            if r:
-                yield r[0], None
-                at = r[1]
-                continue
-        begin, at = at, at + 1
-        while True:  # the next member that holds a record, or the next version line
-            zipped = data.find(b"\x1f\x8b\x08", at)
-            plain = _VERSION.search(data, at)
-            at = min([x for x in (zipped, plain.start() if plain else -1) if x >= 0], default=len(data))
-            if at == len(data) or at != zipped:
-                break
+    return b"".join(out), at - len(z.unused_data)
+
+
+def _member_records(data: bytes, at: int) -> tuple[list[Record], bool]:
+    """The records of a member, and whether all of it is good."""
+    src, inside, found = Source(data), 0, []
+    while inside < len(data):
+        r = parse(src, inside)
+        if not r:
+            return found, False
+        found.append(Record(r[0].headers, r[0].http, r[0].payload, at))
+        inside = r[1]
+    return found, True
+
+
+def _next(src: Source, at: int) -> int:
+    """Where the next member that holds a record, or the next version line, begins; the file's end without one.
+
+    The file is searched a chunk at a time, so a false start costs what it is, not
+    what follows it.
+    """
+    while at < src.size:
+        some = src.get(at, Source.CHUNK)
+        for m in _START.finditer(some):
+            here = at + m.start()
+            if m[0][0] != 0x1F:
+                return here
             try:
-                if _VERSION.match(zlib.decompressobj(31).decompress(memoryview(data)[at : at + 4096], 64)):
-                    break
+                if _VERSION.match(zlib.decompressobj(31).decompress(src.get(here, 4096), 64)):
+                    return here
             except zlib.error:
                 pass
-            at += 1
+        if len(some) < Source.CHUNK:
+            break
+        at += len(some) - 16  # a start can lie across chunks
+    return src.size
+
+
+def salvage(data, size: int | None = None) -> Iterator[tuple[Record | None, tuple[int, int] | None]]:
+    """(record, None) for each good record, (None, (from, to)) for each gap in the file's bytes.
+
+    ``data``: bytes, or a file that can seek and its size.
+    """
+    src, at = Source(data, size), 0
+    while at < src.size:
+        if src.get(at, 3) == b"\x1f\x8b\x08":
+            got = _inflate(src, at)
+            found, good = _member_records(got[0], at) if got else ([], False)
+            yield from ((r, None) for r in found)
+            if good:
+                at = got[1]
+                continue
+        elif r := parse(src, at):
+            yield r[0], None
+            at = r[1]
+            continue
+        begin, at = at, _next(src, at + 1)
         yield None, (begin, at)
 
 
@@ -178,16 +219,26 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def roles(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, digest, top (the page_id that holds the payload, null for small payloads)."""
-    row = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    row = row.withColumns({"size": F.octet_length("payload"), "digest": F.sha1("payload")})
-    top = row.where(F.col("size") >= REVISIT_BYTES).groupBy("digest", "size").agg(F.max("page_id").alias("top"))
-    return row.join(top, ["digest", "size"], "left")
+def tops(rows: DataFrame) -> DataFrame:
+    """From (page_id, html, _split): split, digest, top for payloads that occur more than once; the payloads stay where they are."""
+    body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    known = rows.select("page_id", F.col("_split").alias("split"), F.sha1(body).alias("digest"), F.octet_length(body).alias("size")).where(F.col("size") >= REVISIT_BYTES)
+    seen = materialize(known.groupBy("split", "digest").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")), "warc-seen")
+    top = seen.groupBy("digest").agg(F.max("top").alias("top"), F.sum("n").alias("n")).where("n > 1").select("digest", "top")
+    return seen.select("split", "digest").join(top, "digest")
+
 
+def write(pages: DataFrame, folder: str, scan_again: bool = False) -> DataFrame:
+    """Write the archives; the files and their record counts.
 
-def write(pages: DataFrame, folder: str) -> DataFrame:
-    """Write the archives; the files and their record counts."""
+    ``scan_again``: ``pages`` is a plain read of files, which can be read once more
+    split by split; any other table is copied to the shared folder first.
+    """
+    spark = pages.sparkSession
+    source = pages if scan_again else materialize(pages.select("page_id", "url", "html"), "warc-pages")
+    rows = source.select("page_id", "url", "html", F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("_split"))
+    told = fresh_dir(spark, "warc-tops")
+    store(tops(rows), told, "split", parts=int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches):
         from pyspark import TaskContext
@@ -195,29 +246,35 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         task = TaskContext.get()
         fs, base = _filesystem(folder)
         fs.create_dir(base, recursive=True)
-        parts, size, n, made = [], 0, 0, 0
+        parts, size, n, made, where, top = [], 0, 0, 0, None, {}
 
         def close():
             name = f"{base}/pages-{task.partitionId():06d}-{task.taskAttemptId()}-{made:05d}.warc.gz"
-            with fs.open_output_stream(name) as out:
+            with fs.open_output_stream(name, compression=None) as out:
                 for p in parts:
                     out.write(p)
             return pa.RecordBatch.from_pydict({"path": [name], "records": [n], "bytes": [size]})
 
         for b in batches:
-            for page_id, url, payload, digest, top in zip(*(c.to_pylist() for c in b.columns)):
-                again = top is not None and page_id != top
-                data = member(record(page_id, url, payload, digest, top, again))
-                parts.append(data)
-                size += len(data)
-                n += 1
-                if size >= FILE_BYTES:
-                    yield close()
-                    parts, size, n, made = [], 0, 0, made + 1
+            for lo in range(0, b.num_rows, 256):
+                for page_id, url, html, split in zip(*(c.to_pylist() for c in b.slice(lo, 256).columns)):
+                    if split != where:
+                        said = read_part(told, "split", split, ["digest", "top"])
+                        where, top = split, dict(zip(*(c.to_pylist() for c in said.columns))) if said else {}
+                    payload = (html or "").encode()
+                    digest = hashlib.sha1(payload).hexdigest()
+                    first = top.get(digest)
+                    data = member(record(page_id, url, payload, digest, first, first is not None and page_id != first))
+                    parts.append(data)
+                    size += len(data)
+                    n += 1
+                    if size >= FILE_BYTES:
+                        yield close()
+                        parts, size, n, made = [], 0, 0, made + 1
         if parts:
             yield close()
 
-    return materialize(roles(pages).select("page_id", "url", "payload", "digest", "top").mapInArrow(run, "path string, records long, bytes long"), "warc-files")
+    return materialize(rows.mapInArrow(run, "path string, records long, bytes long"), "warc-files")
 
 
 READ = "path string, at long, page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, gap_from long, gap_to long"
@@ -226,32 +283,29 @@ READ = "path string, at long, page_id string, url string, payload_bytes long, pa
 def read(files: DataFrame, folder: str) -> DataFrame:
     """A row for each record, and for each gap (page_id null, gap_from and gap_to set)."""
     names = [f.split()[0] for f in READ.split(", ")]
+    kinds = [pa.int64() if f.split()[1] == "long" else pa.string() for f in READ.split(", ")]
 
     def run(batches):
         fs, _ = _filesystem(folder)
         for b in batches:
             for path in b.column(0).to_pylist():
-                with fs.open_input_stream(path) as f:
-                    data = f.read()
-                rows = []
-                for r, gap in salvage(data):
-                    if r:
-                        rows.append((path, r.at, r.page_id, r.headers.get("warc-target-uri"), r.payload_bytes, r.digest, r.headers.get("warc-type"), r.refers_to, None, None))
-                    else:
-                        rows.append((path, gap[0], None, None, None, None, None, None, *gap))
-                columns = list(zip(*rows)) if rows else [[]] * len(names)
-                kinds = [pa.int64() if f.split()[1] == "long" else pa.string() for f in READ.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+                with fs.open_input_file(path) as f:
+                    rows = (
+                        (path, r.at, r.page_id, r.headers.get("warc-target-uri"), r.payload_bytes, r.digest, r.headers.get("warc-type"), r.refers_to, None, None) if r else (path, gap[0], *[None] * 6, *gap)
+                        for r, gap in salvage(f, f.size())
+                    )
+                    while chunk := list(itertools.islice(rows, 1024)):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*chunk), kinds)], names=names)
 
     n = max(1, min(10_000, files.count()))  # a given number, so that the few small rows are not merged into one task
     spread = files.select("path").repartition(n, "path")
     return spread.mapInArrow(run, READ)
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
+def round_trip(pages: DataFrame, scan_again: bool = False) -> DataFrame:
     """Write the pages, read the archives back: a row a page."""
     folder = fresh_dir(pages.sparkSession, "warc")
-    found = read(write(pages, folder), folder).where("gap_from IS NULL")
+    found = read(write(pages, folder, scan_again), folder).where("gap_from IS NULL")
     kind = pages.schema["page_id"].dataType.simpleString()
     return found.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
