@@ -1,12 +1,13 @@
 """Main text of HTML pages by two-pass block rules.
 
-Pass one decides blocks on their own: by where they stand (menus, footers, forms,
-asides, elements whose class or role names a part that is not the article), by
-link density, and by length and stop-word density. Headings and other short
-blocks, and long ones without stop words or links, stay undecided. Pass two gives
-each undecided block the label of its nearest decided neighbour in its region
-(inside or outside the article element); a region's edge counts as good inside an
-article and as bad outside.
+Pass one decides blocks on their own: bad in elements that are not the article
+(menus, footers, forms, asides, or by class or role) and where most of the text is
+links; good where length and stop-word density speak of prose. Headings, short
+blocks, and longer ones with few stop words stay undecided. Pass two gives each of
+them the label of its nearest decided neighbour in its container, a heading that
+of what follows. Where nothing in the container is decided, prose under a heading
+is good, and other blocks are if both sides are. That a block is in an ``article``
+or ``main`` decides nothing, but that a ``header`` there is not the page's.
 
 Cases: null and empty html, and pages without a good block, give an empty text;
 unclosed elements and comments run to the end of the page; null urls stay null;
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -52,22 +55,25 @@ BAD_WORDS = frozenset(
 FRAME_WORDS = frozenset("article body content container has layout main no page post site with without wrap wrapper".split())
 BLOCK_TAGS = frozenset(
     """
-    address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer
+    address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer
     form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td
     tfoot th thead title tr ul
     """.split()
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SHORT, LONG, LINKS, FEW_STOPS, MANY_STOPS = 70, 200, 0.5, 0.1, 0.25
+#: What a step from one container to another counts for, more than any number of blocks.
+FAR = 1 << 40
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = HEADINGS | frozenset("p blockquote pre li dd dt figcaption".split())
+#: Blocks that are no containers of others.
+FLAT = HEADINGS | frozenset("p li dt dd tr td th option button pre legend caption figcaption summary address".split())
+#: Elements whose content is no text of the page.
+RAW = frozenset("script style template iframe svg textarea select canvas audio video".split())
 
-_MARKUP = re.compile(
-    r"""<!--.*?(?:-->|\Z)
-    |<(script|style|noscript|template|iframe|svg|math|textarea|select|button|object|canvas|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)
-    |<[!?][^>]*>
-    |<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^>"'])*)>
-    |<(?P<close2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)>""",
-    re.S | re.I | re.X,
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile("[>\"']")
+_CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -78,7 +84,7 @@ class Block:
     parts: list[str] = field(default_factory=list)
     tag: str = ""
     bad: bool = False
-    article: bool = False
+    region: int = 0  # its container
     linked: int = 0
     text: str = ""
     label: str = ""
@@ -105,50 +111,91 @@ def _bad_attrs(tag: str, attrs: str) -> bool:
     return False
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """("", text, "") for text, else ("<" or "/", element, attributes). Every character is passed a fixed number of times.
+
+    A tag ends at the first > outside quotes; a quote that is never closed is
+    none. What has no end at all (a tag, a comment, a script) goes to the page's end.
+    """
+    at, never = 0, set()  # quotes of which there is no other
+    while True:
+        lt = page.find("<", at)
+        if lt < 0:
+            break
+        m = _TAG.match(page, lt)
+        if not m and page[lt + 1 : lt + 2] not in ("!", "?"):
+            yield "", page[at : lt + 1], ""  # a mere sign
+            at = lt + 1
+            continue
+        if lt > at:
+            yield "", page[at:lt], ""
+        if not m:
+            mark = "-->" if page.startswith("<!--", lt) else ">"
+            end = page.find(mark, lt + (4 if mark == "-->" else 2))
+            at = end + len(mark) if end >= 0 else len(page)
+            continue
+        here = m.end()
+        while True:
+            s = _STOP.search(page, here)
+            if not s or s[0] == ">":
+                break
+            end = page.find(s[0], s.end()) if s[0] not in never else -1
+            if end < 0:
+                never.add(s[0])
+            here = end + 1 if end >= 0 else s.end()
+        if not s:
+            at = len(page)
+            break
+        tag, at = m[2].lower(), s.end()
+        yield "/" if m[1] else "<", tag, page[m.end() : s.start()]
+        if tag in RAW and not m[1]:
+            end = _CLOSE[tag].search(page, at)
+            at = end.end() if end else len(page)
+            yield "/", tag, ""
+    if at < len(page):
+        yield "", page[at:], ""
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, with what is known of where they stand."""
     out: list[Block] = []
-    open_: list[tuple[str, bool, bool]] = []  # element, whether it is bad, whether it is in an article
+    open_: list[tuple[str, bool, bool, int]] = []  # element, whether it is bad, whether it is in an article, its number
+    count: Counter = Counter()  # of open elements
     now = Block()
-    links, breaks, at = 0, 0, 0
-
-    def text(piece: str) -> None:
-        nonlocal breaks
-        if piece:
-            said = entities.unescape(piece)
-            now.parts.append(said)
-            if not said.isspace():
-                breaks = 0
-                if links:
-                    now.linked += len(" ".join(said.split()))
+    links, breaks, number = 0, 0, 0
 
     def turn(tag: str, bad: bool) -> None:
         nonlocal now, breaks
         now.text = " ".join("".join(now.parts).split())
         if now.text:
             out.append(now)
-        inside = open_[-1] if open_ else ("", False, False)
-        now, breaks = Block(tag=tag, bad=bad or inside[1], article=inside[2]), 0
-
-    for m in _MARKUP.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"] or m["tag2"]
-        if not tag:
-            continue
-        tag = tag.lower()
-        closing, attrs = m["close"] or m["close2"], m["attrs"] or m["attrs2"] or ""
-        if tag == "a":
-            links = 0 if closing else 1
+        inside = open_[-1] if open_ else ("", False, False, 0)
+        now, breaks = Block(tag=tag, bad=bad or inside[1], region=inside[3]), 0
+
+    for kind, tag, attrs in tokens(page):
+        if not kind:
+            said = entities.unescape(tag)
+            now.parts.append(said)
+            if not said.isspace():
+                breaks = 0
+                if links:
+                    now.linked += len(" ".join(said.split()))
+        elif tag in RAW:
+            pass
+        elif tag == "a":
+            links = kind == "<"
         elif tag == "br":
             breaks += 1
             now.parts.append(" ")
             if breaks > 1:
                 turn(now.tag, now.bad)
-        elif closing:
-            if any(t == tag for t, _, _ in open_):
-                while open_.pop()[0] != tag:
-                    pass
+        elif kind == "/":
+            if count[tag]:
+                while True:
+                    last = open_.pop()[0]
+                    count[last] -= 1
+                    if last == tag:
+                        break
             if tag in BLOCK_TAGS:
                 links = 0
                 turn("", False)
@@ -156,66 +203,63 @@ def blocks(page: str) -> list[Block]:
             if tag == "hr":
                 turn("", False)
         else:
-            inside = open_[-1] if open_ else ("", False, False)
+            inside = open_[-1] if open_ else ("", False, False, 0)
             bad = _bad_attrs(tag, attrs) or tag in BAD_TAGS or (tag == "header" and not inside[2])
-            if tag in BLOCK_TAGS:
+            block = tag in BLOCK_TAGS
+            if bad and not block or block and tag not in FLAT:
+                number += 1
+                open_.append((tag, bad or inside[1], inside[2] or tag in ("article", "main"), number))
+                count[tag] += 1
+            if block:
                 links = 0
-                if tag not in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-                    open_.append((tag, bad or inside[1], inside[2] or tag in ("article", "main")))
+            if block or bad:
                 turn(tag, bad)
-            elif bad:
-                open_.append((tag, True, inside[2]))
-                turn(tag, True)
-    text(page[at:])
     turn("", False)
     return out
 
 
 def classify(b: Block) -> str:
-    """good, bad, or what is left to the neighbours: maybe (leans to good) or unsure."""
-    if b.bad:
-        return "bad"
-    density = b.linked / len(b.text)
-    if density > LINKS:
+    """good, bad, or unsure, which leaves it to the neighbours."""
+    if b.bad or b.linked > LINKS * len(b.text):
         return "bad"
-    if "©" in b.text and len(b.text) < LONG and not b.article:
+    if len(b.text) < LONG and b.text.lower().startswith(("©", "copyright", "(c)")):
         return "bad"
-    if b.tag in ("h1", "h2", "h3", "h4", "h5", "h6") or len(b.text) < SHORT:
+    if b.tag in HEADINGS or len(b.text) < SHORT:
         return "unsure"
     words = _WORD.findall(b.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if stops >= MANY_STOPS or (stops >= FEW_STOPS and len(b.text) >= LONG):
-        return "good"
-    return "maybe" if stops >= FEW_STOPS or b.article else "unsure"
+    return "good" if stops >= MANY_STOPS or (stops >= FEW_STOPS and len(b.text) >= LONG) else "unsure"
 
 
 def settle(found: list[Block]) -> None:
     """The labels of all blocks, in place."""
     for b in found:
         b.label = classify(b)
-    firm = [b.label in ("good", "bad") for b in found]
+    firm = [b.label != "unsure" for b in found]
+    titled = {b.region for b in found if b.tag in HEADINGS and not b.bad}
     n = len(found)
     before, after = [(0, "")] * n, [(0, "")] * n  # distance and label of the nearest decided neighbour
     for order, side in ((range(n), before), (range(n - 1, -1, -1), after)):
-        last = None
+        far, label, last = 2 * FAR, "bad", None
         for i in order:
-            if last is not None and found[last].article != found[i].article:
-                last = None
-            side[i] = (n + 1, "good" if found[i].article else "bad") if last is None else (abs(i - last), found[last].label)
+            if last is not None:
+                far += 1 if found[i].region == found[last].region else FAR
+            side[i] = far, label
             if firm[i]:
-                last = i
+                far, label = 0, found[i].label
+            last = i
     for i, b in enumerate(found):
         if firm[i]:
             continue
         (p, left), (q, right) = before[i], after[i]
-        if left == right:
-            b.label = left
-        elif b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        if b.tag in HEADINGS and q < FAR:
             b.label = right  # a heading goes with what follows
-        elif b.article or b.label == "maybe":
-            b.label = "good"
+        elif min(p, q) < FAR:
+            b.label = left if p < q else right if q < p else "good" if "good" in (left, right) else "bad"
+        elif b.region in titled and b.tag in PROSE:
+            b.label = "good"  # nothing is decided in a container with a heading: it is a short article
         else:
-            b.label = left if p < q else right if q < p else "bad"
+            b.label = "good" if left == right == "good" else "bad"
 
 
 def main_text(page: str | None) -> str:
