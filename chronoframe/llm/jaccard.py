@@ -3,18 +3,21 @@
 1. Every text becomes its set of hashed word n-grams. Rows with equal sets form a
    class of copies; from there on only one representative of each is carried.
 2. Representatives get band hashes of a MinHash signature; bands and rows follow
-   from the similarity and the target recall. Representatives that share a band
-   hash are tied to the least one there, and the ties' connected components are
-   the candidate groups: all pairs that any band suggests lie inside one.
-3. All pairs of a candidate group are verified on the full sets. A group is cut
-   into blocks of at most about ``BLOCK`` representatives and each task takes a
-   pair of blocks, so no group has to fit one task; a task returns counts of links
+   from the similarity and the target recall. Pairs that share a band hash are the
+   candidates.
+3. Candidates are verified on the full sets. Representatives tied by bands (to the
+   least one of each band group) form components, found without a driver. A
+   component of up to ``BLOCK`` sets is one task. In a larger one each band group
+   is a task, cut into blocks whose pairs are tasks if it is larger than that, and
+   a pair counts in the first band that it shares. A task returns counts of links
    and a spanning forest, never the pairs.
 4. Components of the verified links are the classes.
 
 Cases: texts without tokens (null, empty) link to nothing; a text with fewer
 tokens than ``n`` is one n-gram of what it has; rows that repeat a doc_id are
-separate documents; other columns are ignored.
+separate documents, but of rows with equal doc_id and text ``keep_one`` keeps one at
+most; a null doc_id comes last; other columns are ignored (``classes``) or pass
+through whatever their names (``keep_one``).
 """
 
 from __future__ import annotations
@@ -24,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import fresh_dir, map_rows, materialize, read_part
+from .base import free_name, fresh_dir, map_rows, materialize, read_part, spark_arrow_schema, store
 from .graph import components
 from .tokens import mix, token_hashes
 
-N, THRESHOLD, RECALL, MOST_HASHES, BLOCK = 5, 0.8, 0.9999, 128, 500
+N, THRESHOLD, RECALL, MOST_HASHES, BLOCK, BLOCK_GRAMS = 5, 0.8, 0.9999, 128, 500, 4_000_000
 _STEP = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(64)], np.uint64)
 
 
@@ -103,36 +106,40 @@ def prepare(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
 
 def carry(sets: DataFrame, dealt: DataFrame) -> DataFrame:
-    """The sets of the rows that ``dealt`` (uid, task, side, copies) names, once for each time it does.
+    """The sets of the rows that ``dealt`` (uid, task, side, band, copies) names, once for each time it does.
 
     The rows' numbers begin with the number of the file they are in. So ``dealt``
     is written by file, each task that reads a file of sets takes what it is asked
     for, and no other set is moved.
     """
-    folder = fresh_dir(sets.sparkSession, "dealt")
-    dealt.withColumn("file", F.shiftright("uid", 33)).repartition(F.col("file")).write.partitionBy("file").parquet(folder)
-    out = pa.schema([("task", pa.int64()), ("side", pa.int32()), ("uid", pa.int64()), ("copies", pa.int64()), ("grams", pa.binary())])
+    spark = sets.sparkSession
+    folder = fresh_dir(spark, "dealt")
+    store(dealt.withColumn("file", F.shiftright("uid", 33)), folder, "file", parts=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    out = spark_arrow_schema(spark, CARRIED)
 
     def run(batches):
         where, asked = None, {}
         for b in batches:
             rows: list[tuple] = []
-            for uid, grams in zip(b.column(0).to_pylist(), b.column(1)):
+            for k, uid in enumerate(b.column(0).to_pylist()):
                 if uid >> 33 != where:
                     where, asked = uid >> 33, {}
-                    said = read_part(folder, "file", where, ["uid", "task", "side", "copies"])
-                    for u, task, side, copies in zip(*(c.to_pylist() for c in said.columns)) if said else ():
-                        asked.setdefault(u, []).append((task, side, u, copies))
-                rows += [(*r, grams.as_py()) for r in asked.get(uid, ())]
+                    said = read_part(folder, "file", where, ["uid", "task", "side", "band", "copies"])
+                    for u, task, side, band, copies in zip(*(c.to_pylist() for c in said.columns)) if said else ():
+                        asked.setdefault(u, []).append((task, side, band, u, copies))
+                if mine := asked.get(uid):
+                    grams, bands = b.column(1)[k].as_py(), b.column(2)[k].as_py()
+                    rows += [(*r, grams, bands) for r in mine]
                 if len(rows) >= 512:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
-    return sets.select("uid", "grams").mapInArrow(run, "task long, side int, uid long, copies long, grams binary")
+    return sets.select("uid", "grams", "bands").mapInArrow(run, CARRIED)
 
 
+CARRIED = "task long, side int, band int, uid long, copies long, grams binary, bands array<long>"
 KEY = ["set_a", "set_b", "size"]
 
 
@@ -177,15 +184,26 @@ def forest(link: np.ndarray) -> np.ndarray:
     return root
 
 
-def verify(groups: DataFrame, threshold: float) -> DataFrame:
-    """From rows (task, side, uid, copies, grams): (uid, links, root), a row for each uid and task.
+def shared(bands: np.ndarray, i: np.ndarray, j: np.ndarray, band: int) -> np.ndarray:
+    """Which pairs share a band; with ``band`` >= 0 that it is the first that they share."""
+    out = np.zeros(len(i), bool)
+    for lo in range(0, len(i), 50_000):
+        same = bands[i[lo : lo + 50_000]] == bands[j[lo : lo + 50_000]]
+        out[lo : lo + 50_000] = same.any(1) & ((band < 0) | (same.argmax(1) == band))
+    return out
+
+
+def verify(carried: DataFrame, threshold: float) -> DataFrame:
+    """From the rows of ``carry``: (uid, links, root), a row for each uid and task.
 
     ``side`` is 0 where a block meets itself, else 1 and 2 for the two blocks.
     Tasks' rows come together by a shuffle and a sort, and are taken one task at a time.
     """
 
-    def one(side: np.ndarray, uid: np.ndarray, copies: np.ndarray, grams: list[bytes]):
-        sets = [np.frombuffer(g, np.uint64) for g in grams]
+    def one(held: list[tuple]):
+        side, uid, copies = (np.array([r[k] for r in held]) for k in (1, 3, 4))
+        sets = [np.frombuffer(r[5], np.uint64) for r in held]
+        bands, band = np.array([r[6] for r in held]), held[0][2]
         if side[0] == 0:
             link = linked(sets, sets, threshold)
             np.fill_diagonal(link, False)
@@ -196,8 +214,9 @@ def verify(groups: DataFrame, threshold: float) -> DataFrame:
                 cross = linked([sets[i] for i in left], [sets[i] for i in right], threshold)
                 link[np.ix_(left, right)] = cross
                 link[np.ix_(right, left)] = cross.T
-        root = uid[forest(link)]
-        return link.astype(np.float64) @ copies, root
+        i, j = np.nonzero(link)
+        link[i, j] = shared(bands, i, j, band)
+        return uid, link.astype(np.float64) @ copies, uid[forest(link)]
 
     out = pa.schema([("uid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
@@ -205,57 +224,84 @@ def verify(groups: DataFrame, threshold: float) -> DataFrame:
         held: list[tuple] = []
 
         def done():
-            held.sort(key=lambda r: r[2])
-            side, uid, copies = (np.array([r[k] for r in held]) for k in (1, 2, 3))
-            links, root = one(side, uid, copies, [r[4] for r in held])
+            held.sort(key=lambda r: r[3])
+            uid, links, root = one(held)
             return pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(links.astype(np.int64)), pa.array(root.astype(np.int64))], schema=out)
 
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if held and held[0][0] != row[0]:
-                    yield done()
-                    held = []
-                held.append(row)
+            for lo in range(0, b.num_rows, 256):
+                for row in zip(*(c.to_pylist() for c in b.slice(lo, 256).columns)):
+                    if held and held[0][0] != row[0]:
+                        yield done()
+                        held = []
+                    held.append(row)
         if held:
             yield done()
 
-    dealt = groups.select("task", "side", "uid", "copies", "grams").repartition(F.col("task")).sortWithinPartitions("task")
+    dealt = carried.repartition(F.col("task")).sortWithinPartitions("task")
     return dealt.mapInArrow(run, "uid long, links long, root long")
 
 
-def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES, block: int = BLOCK) -> DataFrame:
-    """Per row of ``docs``: doc_id, text_hash, uid, class_id (least doc_id of its class), first (whether it is the class's first row), n_links."""
+def deal(reps: DataFrame, banded: DataFrame, block: int, grams: int) -> DataFrame:
+    """(uid, task, side, band, copies): which representatives each task compares.
+
+    ``reps``: uid, size, copies. ``banded``: uid, k (number of the band), band; of
+    bands that several representatives share.
+    """
+    low = banded.groupBy("band").agg(F.min("uid").alias("v"))
+    group = materialize(components(banded.join(low, "band").select(F.col("uid").alias("u"), "v")), "groups")
+    member = materialize(group.join(reps, F.col("node") == F.col("uid")).select("uid", "root", "size", "copies"), "members")
+    total = member.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams"))
+    known = member.join(total, "root").withColumn("small", (F.col("n") <= block) & (F.col("grams") <= grams))
+    whole = known.where("small").select("uid", F.xxhash64("root", F.lit(0)).alias("task"), F.lit(0).alias("side"), F.lit(-1).alias("band"), "copies")
+    large = materialize(banded.join(known.where("NOT small").select("uid", "size", "copies"), "uid"), "large")
+    counts = large.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams"))
+    cut = counts.select("band", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("grams") / grams)).cast("int").alias("blocks"))
+    mine = large.join(cut, "band").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    each = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "uid",
+        F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("task"),
+        F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
+        F.col("k").alias("band"),
+        "copies",
+    )
+    return whole.union(each)
+
+
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES, block: int = BLOCK, grams: int = BLOCK_GRAMS) -> DataFrame:
+    """Per row of ``docs``: doc_id, text_hash, class_id (least doc_id of its class), first (whether it is the class's first row, by doc_id and text hash), n_links."""
     bands, rows = choose_bands(threshold, recall, most)
     sets = prepare(docs, n, bands, rows)
     full = sets.where("size > 0")
-    rep = materialize(full.groupBy(*KEY).agg(F.min("uid").alias("rep"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")), "reps")
-    banded = full.join(rep.select(F.col("rep").alias("uid")), "uid").select("uid", F.explode("bands").alias("band"))
-    met = banded.groupBy("band").agg(F.min("uid").alias("v"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "v")
-    ties = banded.join(met, "band").where("uid <> v").select(F.col("uid").alias("u"), "v")
-    group = materialize(components(ties), "groups")
-    size = group.groupBy("root").agg(F.count(F.lit(1)).alias("c")).withColumn("blocks", F.ceil(F.col("c") / block).cast("int"))
-    member = group.join(size, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.col("node").alias("uid"),
-        F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("task"),
-        F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
-    )
-    weighed = dealt.join(rep.select(F.col("rep").alias("uid"), "copies"), "uid")
-    found = materialize(verify(carry(full, weighed), threshold), "links")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    rep = materialize(full.groupBy(*KEY).agg(F.min("uid").alias("rep"), F.min(order).alias("least"), F.count(F.lit(1)).alias("copies")), "reps")
+    banded = full.join(rep.select(F.col("rep").alias("uid")), "uid").select("uid", F.posexplode("bands").alias("k", "band"))
+    met = banded.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
+    several = materialize(banded.join(met, "band"), "banded")
+    dealt = deal(rep.select(F.col("rep").alias("uid"), "size", "copies"), several, block, grams)
+    found = materialize(verify(carry(full, dealt), threshold), "links")
     links = found.groupBy("uid").agg(F.sum("links").alias("links"))
     tied = components(found.where("uid <> root").select(F.col("uid").alias("u"), F.col("root").alias("v")))
-    known = rep.join(tied, F.col("rep") == F.col("node"), "left").join(links, F.col("rep") == F.col("uid"), "left").select(*KEY, "rep", "least_id", "copies", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    top = known.groupBy("root").agg(F.min("least_id").alias("class_id"), F.min("rep").alias("first_uid"))
-    known = known.join(top, "root").select(*KEY, "class_id", "first_uid", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    paired = sets.select("doc_id", "text_hash", "uid", *KEY).join(known, KEY, "left")
-    return paired.select("doc_id", "text_hash", "uid", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("first_uid") == F.col("uid"), F.lit(True)).alias("first"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    known = rep.join(tied, F.col("rep") == F.col("node"), "left").join(links, F.col("rep") == F.col("uid"), "left").select(*KEY, "least", "copies", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    known = materialize(known, "known")
+    top = known.groupBy("root").agg(F.min("least").alias("top"))
+    known = materialize(known.join(top, "root").select(*KEY, "top", (F.col("links") + F.col("copies") - 1).alias("n_links")), "classes")
+    paired = sets.select("doc_id", "text_hash", *KEY, order.alias("own")).join(known, KEY, "left")
+    return paired.select("doc_id", "text_hash", F.coalesce(F.col("top.doc_id"), "doc_id").alias("class_id"), F.coalesce(F.col("top") == F.col("own"), F.lit(True)).alias("first"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The first row of every class; equal rows of one doc_id go or stay together."""
-    found = materialize(classes(docs, **how), "classes")
-    go = found.groupBy("doc_id", "text_hash").agg(F.max("first").alias("_stays")).where("NOT _stays").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"))
-    return docs.join(go, F.xxhash64("text").eqNullSafe(F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """Of each class the row with the least doc_id (then text hash), and every row without tokens."""
+    found = materialize(classes(docs, **how), "first-rows")
+    rows = found.groupBy("doc_id", "text_hash").agg(F.min("first").alias("stays"), F.count(F.lit(1)).alias("n"), F.max(F.col("n_links") > 0).alias("linked"))
+    key, text = free_name(docs.columns, "_id"), free_name(docs.columns, "_h")
+    named = lambda df: df.select(F.col("doc_id").alias(key), F.col("text_hash").alias(text))
+    again = materialize(named(rows.where("stays AND linked AND n > 1")), "equal-rows")
+    same = F.xxhash64("text").eqNullSafe(F.col(text)) & docs["doc_id"].eqNullSafe(F.col(key))
+    out = docs.join(named(rows.where("NOT stays")), same, "left_anti")
+    if again.isEmpty():
+        return out
+    return out.join(again, same, "left_anti").union(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 #: The definition in SQL: every pair that shares an n-gram, then components by recursion.
