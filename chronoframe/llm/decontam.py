@@ -7,34 +7,37 @@ and around each hit the two token sequences are compared along their diagonal.
 Of all stretches with the share of equal tokens the one with most of them counts
 as contamination if they are enough; what is around it does not matter.
 
-The benchmark side is sent to the tasks in chunks of at most ``chunk_hashes``
-hashes, whatever its size: a larger benchmark means more passes over the
-documents, never a larger broadcast. Documents are not shuffled.
+Scale: benchmark hashes and hits are tables and meet in a shuffled join. Before it
+document hashes go through a bit for each of 2 ** ``BITS`` groups of hashes, the
+only thing that is broadcast (half a megabyte, whatever the benchmark's size);
+most positions end there. Documents are not shuffled: what a split's documents are
+suspected of is written by split, and each split is read again to be compared.
 
 A token is a run of letters and digits, whatever its case (``tokens``).
 
 Cases: null and empty texts never match; items with fewer than ``MIN_ITEM``
 tokens can't be told from chance and are skipped; an item shorter than a mask's
-span is matched by the tokens it has; repeated items give a row each; repeated
+span is matched by the masks that fit; repeated items give a row each; repeated
 doc_ids are separate documents; an empty benchmark matches nothing; extra
-columns pass through ``clean`` untouched.
+columns pass through ``clean`` untouched, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import map_rows
+from .base import fresh_dir, map_rows, materialize, read_part, spark_arrow_schema, store
 from .tokens import token_hashes
 
 #: 1: the token counts, 0: it is ignored. Six tokens each, spans of 8 to 13.
 MASKS = ("11101011", "1101100101", "11001010011", "1010010011011", "111111")
-MIN_ITEM = 6
+MIN_ITEM, BITS = 6, 22
 _MULT = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) for k in range(64)], np.uint64)
 
 
@@ -67,109 +70,119 @@ def stretch(same: np.ndarray, share: float) -> tuple[int, int, int]:
     return (begin + int(inside[0]), begin + int(inside[-1]) + 1, len(inside)) if len(inside) else (0, 0, 0)
 
 
-class Index:
-    """Seeds of some benchmark items, sorted for lookup."""
-
-    def __init__(self, items: list[tuple[object, np.ndarray]], masks: tuple[str, ...]):
-        self.items, self.masks = items, masks
-        hashes, where = [], []
-        for k, (_, tok) in enumerate(items):
-            for mask in masks:
-                h = seeds(tok, mask)
-                hashes.append(h)
-                where.append(np.stack([np.full(len(h), k), np.arange(len(h))], 1))
-        h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hash = h[order]
-        self.where = (np.concatenate(where) if where else np.empty((0, 2), np.int64))[order].astype(np.int64)
-        # a bit for each hash: nearly all positions of the documents end there
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[self.hash >> np.uint64(42)] = True
-
-    def find(self, texts: list[str | None], min_equal: int, share: float) -> list[list[tuple]]:
-        """For each text (item_id, doc_from, doc_to, item_from, item_to, equal) on the best diagonal of each item."""
-        run, bounds = token_hashes(texts)  # a seed across two texts fails on either diagonal
-        diagonals: dict[int, set] = {}
-        for mask in self.masks:
-            h = seeds(run, mask)
-            at = np.flatnonzero(self.bits[h >> np.uint64(42)])
-            h = h[at]
-            lo, hi = np.searchsorted(self.hash, h), np.searchsorted(self.hash, h, "right")
-            real = lo < hi
-            at, lo, hi = at[real], lo[real], hi[real]
-            doc = np.searchsorted(bounds, at, "right") - 1
-            for d, p, a, b in zip(doc.tolist(), (at - bounds[doc]).tolist(), lo.tolist(), hi.tolist()):
-                diagonals.setdefault(d, set()).update((k, p - q) for k, q in self.where[a:b].tolist())
-        return [self._verify(run[bounds[d] : bounds[d + 1]], diagonals[d], min_equal, share) if d in diagonals else [] for d in range(len(texts))]
-
-    def _verify(self, tok: np.ndarray, diagonals: set, min_equal: int, share: float) -> list[tuple]:
-        best: dict[int, tuple] = {}
-        for k, d in sorted(diagonals):
-            item_id, item = self.items[k]
-            p0, q0 = max(0, d), max(0, -d)
-            n = min(len(tok) - p0, len(item) - q0)
-            if n <= 0:
-                continue
-            a, b, equal = stretch(tok[p0 : p0 + n] == item[q0 : q0 + n], share)
-            need = min(min_equal, max(MIN_ITEM, int(np.ceil(share * len(item)))))
-            if equal >= need and equal > best.get(k, (0,) * 6)[5]:
-                best[k] = (item_id, p0 + a, p0 + b, q0 + a, q0 + b, equal)
-        return list(best.values())
-
-
-def indexes(bench: DataFrame, masks: tuple[str, ...] = MASKS, chunk_hashes: int = 500_000):
-    """The benchmark as indexes of bounded size, one after another."""
-    items, n = [], 0
-    for r in bench.select("item_id", "text").toLocalIterator():
-        tok = tokens(r[1])
-        if len(tok) >= MIN_ITEM:
-            items.append((r[0], tok))
-            n += len(masks) * len(tok)
-        if n >= chunk_hashes:
-            yield Index(items, masks)
-            items, n = [], 0
-    if items:
-        yield Index(items, masks)
-
-
-def _scan(docs: DataFrame, index: Index, columns: list[str], schema: str, emit: Callable, min_equal: int, share: float) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(index)
+def items(bench: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
+    """number, item_id, tokens, and the item's hashes and their places."""
 
     def make():
-        ix = sent.value
-
-        def rows(texts, *columns):
-            found = ix.find(texts, min_equal, share)
-            for row, hits in zip(zip(*columns), found):
-                yield from emit(row, hits)
+        def rows(ids, texts):
+            for item_id, text in zip(ids, texts):
+                tok = tokens(text)
+                if len(tok) >= MIN_ITEM:
+                    h = [seeds(tok, m) for m in masks]
+                    yield item_id, tok.tobytes(), np.concatenate(h).view(np.int64).tolist(), np.concatenate([np.arange(len(x)) for x in h]).tolist()
 
         return rows
 
-    return map_rows(docs.select(F.col("text").alias("_text"), *columns), make, schema)
+    kind = bench.schema["item_id"].dataType.simpleString()
+    made = map_rows(bench.select("item_id", "text"), make, f"item_id {kind}, tokens binary, seeds array<long>, places array<int>", 64)
+    return materialize(made.withColumn("number", F.monotonically_increasing_id()), "items")
+
 
+def suspects(rows: DataFrame, known: DataFrame, masks: tuple[str, ...] = MASKS) -> str:
+    """Folder by split of (nth, number, item_id, tokens, diagonals): what each document of (text, _split) is to be compared with."""
+    spark = rows.sparkSession
+    seed = known.select("number", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("number", F.col("s.seeds").alias("seed"), F.col("s.places").alias("place"))
+    groups = [r[0] for r in seed.select(F.shiftrightunsigned("seed", 64 - BITS)).distinct().collect()]  # at most 2 ** BITS
+    bits = np.zeros(1 << BITS, bool)
+    bits[groups] = True
+    sent = spark.sparkContext.broadcast(np.packbits(bits))
 
-def find(docs: DataFrame, bench: DataFrame, min_equal: int = 13, share: float = 0.8) -> DataFrame:
-    """A row for each document and benchmark item that overlap: token spans, equal tokens."""
+    def hits(batches):
+        bits = np.unpackbits(sent.value).astype(bool)
+        for split, lo, texts in numbered(batches):
+            run, bounds = token_hashes([t for t, *_ in texts])  # a seed across two texts fails on either diagonal
+            for mask in masks:
+                h = seeds(run, mask)
+                at = np.flatnonzero(bits[h >> np.uint64(64 - BITS)])
+                doc = np.searchsorted(bounds, at, "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.full(len(at), split)), pa.array(lo + doc), pa.array((at - bounds[doc]).astype(np.int32))], names=["seed", "split", "nth", "pos"])
+
+    found = rows.select("text", "_split").mapInArrow(hits, "seed long, split long, nth long, pos int").join(seed, "seed")
+    each = found.select("split", "nth", "number", (F.col("pos") - F.col("place")).alias("diagonal")).distinct()
+    one = each.groupBy("split", "nth", "number").agg(F.sort_array(F.collect_list("diagonal")).alias("diagonals"))
+    folder = fresh_dir(spark, "suspects")
+    store(one.join(known.select("number", "item_id", "tokens"), "number"), folder, "split", parts=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return folder
+
+
+def numbered(batches):
+    """(split, number of the first row in it, rows) from batches whose last column is the split; some rows at a time."""
+    where, nth = None, 0
+    for b in batches:
+        for lo in range(0, b.num_rows, 512):
+            for split, own in itertools.groupby(zip(*(c.to_pylist() for c in b.slice(lo, 512).columns)), lambda r: r[-1]):
+                rows = list(own)
+                if split != where:
+                    where, nth = split, 0
+                yield split, nth, rows
+                nth += len(rows)
+
+
+def overlap(tok: np.ndarray, item: np.ndarray, diagonals: list[int], min_equal: int, share: float) -> tuple | None:
+    """(doc_from, doc_to, item_from, item_to, equal) of the best stretch of the diagonals, if it is enough."""
+    need = min(min_equal, max(MIN_ITEM, int(np.ceil(share * len(item)))))
+    best = None
+    for d in diagonals:
+        p0, q0 = max(0, d), max(0, -d)
+        n = min(len(tok) - p0, len(item) - q0)
+        if n > 0:
+            a, b, equal = stretch(tok[p0 : p0 + n] == item[q0 : q0 + n], share)
+            if equal >= need and (best is None or equal > best[4]):
+                best = p0 + a, p0 + b, q0 + a, q0 + b, equal
+    return best
+
+
+def _compare(docs: DataFrame, bench: DataFrame, columns: list[str], schema: str, emit, min_equal: int, share: float, scan_again: bool) -> DataFrame:
+    """Rows that ``emit`` makes of each document's columns and the (item_id, overlap) found in it."""
+    source = docs if scan_again else materialize(docs, "decontam-docs")
+    rows = source.select("text", *[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(columns)], F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("_split"))
+    folder, out = suspects(rows, items(bench)), spark_arrow_schema(docs.sparkSession, schema)
+
+    def run(batches):
+        where, told = None, {}
+        for split, lo, some in numbered(batches):
+            if split != where:
+                where, told = split, {}
+                said = read_part(folder, "split", split, ["nth", "number", "item_id", "tokens", "diagonals"])
+                for nth, *r in sorted(zip(*(c.to_pylist() for c in said.columns)), key=lambda r: r[:2]) if said else ():
+                    told.setdefault(nth, []).append(r)
+            made = []
+            for nth, (text, *row, _) in enumerate(some, lo):
+                hits = []
+                if nth in told:
+                    tok = tokens(text)
+                    pairs = ((r[1], overlap(tok, np.frombuffer(r[2], np.uint64), r[3], min_equal, share)) for r in told[nth])
+                    hits = [(i, o) for i, o in pairs if o]
+                made += emit(row, hits)
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), out)], schema=out)
+
+    return rows.mapInArrow(run, schema)
+
+
+def find(docs: DataFrame, bench: DataFrame, min_equal: int = 13, share: float = 0.8, scan_again: bool = False) -> DataFrame:
+    """A row for each document and benchmark item that overlap: token spans, equal tokens.
+
+    ``scan_again``: ``docs`` is a plain read of files, which can be read once more
+    split by split; any other table is copied to the shared folder first.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {bench.schema['item_id'].dataType.simpleString()}, doc_from int, doc_to int, item_from int, item_to int, equal int"
-    out = docs.sparkSession.createDataFrame([], schema)
-    for index in indexes(bench):
-        out = out.union(_scan(docs, index, ["doc_id"], schema, _pairs, min_equal, share))
-    return out
-
-
-def _pairs(row, found):
-    return [(row[0], *f) for f in found]
-
-
-def _spare(row, found):
-    return [] if found else [tuple(row)]
+    columns = docs if scan_again else docs.select("doc_id", "text")
+    return _compare(columns, bench, ["doc_id"], schema, lambda row, hits: [(row[0], i, *o) for i, o in hits], min_equal, share, scan_again)
 
 
-def clean(docs: DataFrame, bench: DataFrame, min_equal: int = 13, share: float = 0.8) -> DataFrame:
+def clean(docs: DataFrame, bench: DataFrame, min_equal: int = 13, share: float = 0.8, scan_again: bool = False) -> DataFrame:
     """The documents that overlap no benchmark item, with all their columns."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs
-    for index in indexes(bench):
-        out = _scan(out, index, docs.columns, schema, _spare, min_equal, share)
-    return out
+    return _compare(docs, bench, docs.columns, schema, lambda row, hits: [] if hits else [tuple(row)], min_equal, share, scan_again)
