@@ -82,6 +82,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_split(df: DataFrame, *columns) -> DataFrame:
+    """``columns`` and ``_split``, a number for the part of a file that a row is in.
+
+    A split is read in one task and in the same order each time, so that what is
+    found out about its rows can be laid beside it. A plain read of files serves
+    as it is; any other table is copied to the shared folder first.
+    """
+    if df._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        df = materialize(df, "copy")
+    return df.select(*columns, F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("_split"))
+
+
 def free_name(taken: list[str], name: str) -> str:
     """``name``, with underscores in front until no column has it (in any case of letters)."""
     low = {t.lower() for t in taken}

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import fresh_dir, map_rows, materialize, read_part, spark_arrow_schema, store
+from .base import by_split, fresh_dir, map_rows, materialize, read_part, spark_arrow_schema, store
 from .tokens import token_hashes
 
 #: 1: the token counts, 0: it is ignored. Six tokens each, spans of 8 to 13.
@@ -142,10 +142,9 @@ def overlap(tok: np.ndarray, item: np.ndarray, diagonals: list[int], min_equal:
     return best
 
 
-def _compare(docs: DataFrame, bench: DataFrame, columns: list[str], schema: str, emit, min_equal: int, share: float, scan_again: bool) -> DataFrame:
+def _compare(docs: DataFrame, bench: DataFrame, columns: list[str], schema: str, emit, min_equal: int, share: float) -> DataFrame:
     """Rows that ``emit`` makes of each document's columns and the (item_id, overlap) found in it."""
-    source = docs if scan_again else materialize(docs, "decontam-docs")
-    rows = source.select("text", *[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(columns)], F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("_split"))
+    rows = by_split(docs, "text", *[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(columns)])
     folder, out = suspects(rows, items(bench)), spark_arrow_schema(docs.sparkSession, schema)
 
     def run(batches):
@@ -170,19 +169,14 @@ def _compare(docs: DataFrame, bench: DataFrame, columns: list[str], schema: str,
     return rows.mapInArrow(run, schema)
 
 
-def find(docs: DataFrame, bench: DataFrame, min_equal: int = 13, share: float = 0.8, scan_again: bool = False) -> DataFrame:
-    """A row for each document and benchmark item that overlap: token spans, equal tokens.
-
-    ``scan_again``: ``docs`` is a plain read of files, which can be read once more
-    split by split; any other table is copied to the shared folder first.
-    """
+def find(docs: DataFrame, bench: DataFrame, min_equal: int = 13, share: float = 0.8) -> DataFrame:
+    """A row for each document and benchmark item that overlap: token spans, equal tokens."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {bench.schema['item_id'].dataType.simpleString()}, doc_from int, doc_to int, item_from int, item_to int, equal int"
-    columns = docs if scan_again else docs.select("doc_id", "text")
-    return _compare(columns, bench, ["doc_id"], schema, lambda row, hits: [(row[0], i, *o) for i, o in hits], min_equal, share, scan_again)
+    return _compare(docs, bench, ["doc_id"], schema, lambda row, hits: [(row[0], i, *o) for i, o in hits], min_equal, share)
 
 
-def clean(docs: DataFrame, bench: DataFrame, min_equal: int = 13, share: float = 0.8, scan_again: bool = False) -> DataFrame:
+def clean(docs: DataFrame, bench: DataFrame, min_equal: int = 13, share: float = 0.8) -> DataFrame:
     """The documents that overlap no benchmark item, with all their columns."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return _compare(docs, bench, docs.columns, schema, lambda row, hits: [] if hits else [tuple(row)], min_equal, share, scan_again)
+    return _compare(docs, bench, docs.columns, schema, lambda row, hits: [] if hits else [tuple(row)], min_equal, share)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .base import spark_arrow_schema
 from .tokens import mix, token_hashes
 
-K, CHUNK = 128, 64
+K, CHUNK, TERMS = 128, 64, 30_000
 
 
 def _gamma_quantiles() -> np.ndarray:
@@ -73,20 +73,20 @@ def fingerprints(texts: list[str | None], k: int = K) -> np.ndarray:
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tok[1:] != tok[:-1])])
     start = np.flatnonzero(new)
     doc, tok, weight = doc[start], tok[start], np.diff(np.append(start, len(tok)))
-    with np.errstate(over="ignore"):
-        pair, first, inverse = np.unique(tok + weight.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), return_index=True, return_inverse=True)
-    made = keys(tok[first], weight[first], k)
     begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     end = np.append(begin[1:], len(doc))
     lo = 0
-    while lo < len(begin):  # some texts at a time: the rows of their terms are gathered
+    while lo < len(begin):  # texts of about ``TERMS`` terms in all at a time, which share the draws of equal terms
         hi = lo + 1
-        while hi < len(begin) and end[hi] - begin[lo] <= 20_000:
+        while hi < len(begin) and end[hi] - begin[lo] <= TERMS:
             hi += 1
-        if end[lo] - begin[lo] > 20_000:
-            least = np.min([made[inverse[a : min(end[lo], a + 20_000)]].min(0) for a in range(begin[lo], end[lo], 20_000)], 0)[None]
-        else:
-            least = np.minimum.reduceat(made[inverse[begin[lo] : end[hi - 1]]], begin[lo:hi] - begin[lo], axis=0)
+        for at in range(begin[lo], end[hi - 1], TERMS):  # more than once only for a text with more terms
+            some = slice(at, min(end[hi - 1], at + TERMS))
+            with np.errstate(over="ignore"):
+                _, first, inverse = np.unique(tok[some] + weight[some].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), return_index=True, return_inverse=True)
+            made = keys(tok[some][first], weight[some][first], k)[inverse]
+            part = np.minimum.reduceat(made, begin[lo:hi] - begin[lo], axis=0) if hi - lo > 1 else made.min(0)[None]
+            least = part if at == begin[lo] else np.minimum(least, part)
         out[doc[begin[lo:hi]]] = (least & np.uint64(0xFFFF)).astype(np.uint16)
         lo = hi
     return out

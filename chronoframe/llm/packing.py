@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import Memo, fresh_dir, map_rows, materialize, read_part, spark_arrow_schema, store
+from .base import Memo, by_split, fresh_dir, map_rows, materialize, read_part, spark_arrow_schema, store
 
 CAP, END_ID = 4096, 1
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -279,16 +279,16 @@ def pack_pieces(parts: DataFrame, cap: int = CAP) -> DataFrame:
     rows themselves are not shuffled.
     """
     spark, columns = parts.sparkSession, parts.columns
-    rows = materialize(parts, "pieces").select(*columns, F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("_split"))
+    rows = by_split(parts, *[F.col(f"`{c}`") for c in columns])
 
-    def by_split(batches):
+    def stretches(batches):
         for b in batches:
             split = b.column(b.num_columns - 1).to_numpy()
             for lo, hi in _runs(split):
                 yield split[lo], b.slice(lo, hi - lo)
 
     def count(batches):
-        for split, own in itertools.groupby(by_split(batches), lambda x: x[0]):
+        for split, own in itertools.groupby(stretches(batches), lambda x: x[0]):
             n = np.zeros(cap + 1, np.int64)
             for _, b in own:
                 n += np.bincount(b.column("length").to_numpy(), minlength=cap + 1)
@@ -307,7 +307,7 @@ def pack_pieces(parts: DataFrame, cap: int = CAP) -> DataFrame:
     def place(batches):
         table = dealt.value
         keys = (table[:, 0] << 44) | table[:, 1]
-        for split, own in itertools.groupby(by_split(batches), lambda x: x[0]):
+        for split, own in itertools.groupby(stretches(batches), lambda x: x[0]):
             said = read_part(firsts, "split", split, ["length", "first"])
             next_ = np.zeros(cap + 1, np.int64)
             next_[said.column("length").to_numpy()] = said.column("first").to_numpy()

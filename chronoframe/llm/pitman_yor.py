@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import brief_shuffles, fold, fresh_dir, materialize, read_part, release, spark_arrow_schema, store
+from .base import brief_shuffles, by_split, fold, fresh_dir, materialize, read_part, release, spark_arrow_schema, store
 from .restaurants import STRENGTH, SYMBOLS, Spelling, discount_of, predictive, seat, word_grams
 from .tokens import SPACED, mix, scan
 
@@ -67,7 +67,7 @@ def unpack(data: bytes, kind, rising: bool = False) -> np.ndarray:
 
 
 def stretches(batches, most: int):
-    """(block, number in it, rows (doc_id, held_out, lower-cased bytes)) from columns doc_id, held_out, text, block."""
+    """(split, number in it, rows (doc_id, held_out, lower-cased bytes)) from columns doc_id, held_out, text, _split."""
     rows, size, where, sub = [], 0, None, 0
     for b in batches:
         for lo in range(0, b.num_rows, 256):
@@ -239,15 +239,10 @@ def mean_tables(customers, base, rest, discount: float, rng) -> np.ndarray:
     return np.mean([seat(customers, base, rest, discount, rng) for _ in range(SWEEPS - BURN)], 0)
 
 
-def score(docs: DataFrame, scan_again: bool = False, sub_bytes: int = SUB_BYTES, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
-
-    ``scan_again``: ``docs`` is a plain read of files, which can be read once more
-    split by split; any other table is copied to the shared folder first.
-    """
+def score(docs: DataFrame, sub_bytes: int = SUB_BYTES, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    source = docs if scan_again else materialize(docs.select("doc_id", "text"), "lm-docs")
-    placed = source.select("doc_id", fold("doc_id", 10, 0).alias("held_out"), "text", F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("block"))
+    placed = by_split(docs, "doc_id", fold("doc_id", 10, 0).alias("held_out"), "text")
 
     def frequent(batches):
         """(hash, count) of words and text starts with a 4096th of a stretch, and of all as a null hash."""

@@ -7,24 +7,26 @@ scores it; a document's score is that of its most toxic window, since one insult
 in twenty thousand words would vanish in the document's mean. Vectors and softmax
 are trained together in numpy.
 
-Only the fit uses a sample: at most ``max_pos`` + ``max_neg`` labelled rows and
-``max_windows`` windows of each. Scoring reads every whole text.
+Only the fit uses a sample, of at most ``max_pos`` + ``max_neg`` labelled rows, with
+their whole texts. Scoring reads every whole text.
 
 Cases: null and empty texts (no words) get the score of an empty window; null
 labels are not learned from; several labels of one doc_id count as several rows;
-with no labelled rows every score is 0; other columns are ignored.
+with no labelled rows every score is 0; other columns are ignored, or pass through
+``score`` by ``keep`` (where ``score`` is taken, the new column gets underscores in front).
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Memo, fold, map_rows, word_of
+from .base import Memo, fold, free_name, map_rows, word_of
 
 BUCKETS, DIM, WINDOW, THRESHOLD = 1 << 17, 8, 8, 0.3
 
@@ -55,7 +57,7 @@ def windows(logits: np.ndarray, size: int = WINDOW) -> np.ndarray:
     return np.add.reduceat(logits, starts) / np.diff(np.append(starts, len(logits)))
 
 
-def fit(texts: list[str], labels: list[int], steps: int = 500, batch: int = 512, seed: int = 7, max_windows: int = 1024, rate: float = 0.02, decay: float = 1e-5) -> Model:
+def fit(texts: list[str], labels: list[int], steps: int = 500, batch: int = 512, seed: int = 7, rate: float = 0.02, decay: float = 1e-5) -> Model:
     """Train on windows for about ``steps`` batches.
 
     Every window of a toxic document starts out toxic; after the first tenth of
@@ -66,13 +68,11 @@ def fit(texts: list[str], labels: list[int], steps: int = 500, batch: int = 512,
         return Model(np.zeros(BUCKETS, np.float32), 60.0 if labels and labels[0] else -60.0)
     rng = np.random.default_rng(seed)
     vocab: dict[str, int] = {}
-    starts, sizes, toks, owner = [], [], [], []
+    starts, sizes, toks, owner = (array("q") for _ in range(4))
     at = 0
     for d, text in enumerate(texts):
         words = [w for w in map(word_of, text.split()) if w]
         cuts = list(range(0, len(words), WINDOW))
-        if len(cuts) > max_windows:
-            cuts = sorted(rng.choice(cuts, max_windows, replace=False).tolist())
         for c in cuts:
             win = [vocab.setdefault(w, len(vocab)) for w in words[c : c + WINDOW]]
             toks.extend(win)
@@ -80,10 +80,12 @@ def fit(texts: list[str], labels: list[int], steps: int = 500, batch: int = 512,
             sizes.append(len(win))
             owner.append(d)
             at += len(win)
-    lists = [grams(w) for w in vocab]
-    ptr = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-    flat = np.fromiter((g for x in lists for g in x), np.int64, ptr[-1])
-    del lists, vocab
+    buckets, ends = array("i"), array("q", [0])
+    for w in vocab:
+        buckets.extend(grams(w))
+        ends.append(len(buckets))
+    ptr, flat = np.array(ends), np.array(buckets)
+    del buckets, ends, vocab
     tok, start, size, own, y = np.array(toks), np.array(starts), np.array(sizes), np.array(owner), np.array(labels)
     first = np.searchsorted(own, np.arange(len(texts) + 1))
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
@@ -157,6 +159,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_pos: int, max_neg: int
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, threshold: float | None = None) -> DataFrame:
     """``keep`` columns (doc_id by default) and score; with ``threshold`` only rows scored below it."""
     keep = keep or ["doc_id"]
+    name = free_name(keep, "score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -175,8 +178,8 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, threshol
 
         return rows
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
-    return map_rows(docs.select(F.col("text").alias("_text"), *keep), make, schema)
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", `{name}` double"
+    return map_rows(docs.select(F.col("text").alias("_text"), *[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(keep)]), make, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_pos: int = 2000, max_neg: int = 3000) -> Model:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import fresh_dir, materialize, read_part, store
+from .base import by_split, fresh_dir, materialize, read_part, store
 
 REVISIT_BYTES, FILE_BYTES, DATE = 1000, 16 << 20, "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -228,15 +228,10 @@ def tops(rows: DataFrame) -> DataFrame:
     return seen.select("split", "digest").join(top, "digest")
 
 
-def write(pages: DataFrame, folder: str, scan_again: bool = False) -> DataFrame:
-    """Write the archives; the files and their record counts.
-
-    ``scan_again``: ``pages`` is a plain read of files, which can be read once more
-    split by split; any other table is copied to the shared folder first.
-    """
+def write(pages: DataFrame, folder: str) -> DataFrame:
+    """Write the archives; the files and their record counts."""
     spark = pages.sparkSession
-    source = pages if scan_again else materialize(pages.select("page_id", "url", "html"), "warc-pages")
-    rows = source.select("page_id", "url", "html", F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("_split"))
+    rows = by_split(pages, "page_id", "url", "html")
     told = fresh_dir(spark, "warc-tops")
     store(tops(rows), told, "split", parts=int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -302,10 +297,10 @@ def read(files: DataFrame, folder: str) -> DataFrame:
     return spread.mapInArrow(run, READ)
 
 
-def round_trip(pages: DataFrame, scan_again: bool = False) -> DataFrame:
+def round_trip(pages: DataFrame) -> DataFrame:
     """Write the pages, read the archives back: a row a page."""
     folder = fresh_dir(pages.sparkSession, "warc")
-    found = read(write(pages, folder, scan_again), folder).where("gap_from IS NULL")
+    found = read(write(pages, folder), folder).where("gap_from IS NULL")
     kind = pages.schema["page_id"].dataType.simpleString()
     return found.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
