@@ -4,6 +4,11 @@ Toxic documents go; lines of recurring templates go from all but their first
 document; one document of each near-duplicate class stays; documents that overlap
 a benchmark item go; what is left is packed into sequences. Every stage but the
 last returns the columns of ``documents`` (n_chars follows the text).
+
+Cases, of every stage: null and empty texts stay (and are packed as an end id);
+rows with a null or repeated doc_id are documents of their own, but equal rows of
+one near-duplicate class are one; extra columns pass through whatever their names;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -12,20 +17,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoframe.llm import decontam, jaccard, lines, packing, toxicity
-from chronoframe.llm.base import materialize, table
+from chronoframe.llm.base import free_name, materialize, table
 from chronoframe.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the threshold; the model learns from labelled documents of its input."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, docs.columns, toxicity.THRESHOLD).select(*docs.columns)
+    scored = toxicity.score(docs, model, docs.columns, toxicity.THRESHOLD)
+    return scored.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their recurring lines; one that has lost lines and keeps no word goes."""
-    done = lines.drop_lines(docs).where("n_dropped = 0 OR text rlike '[\\\\p{L}\\\\p{N}]'")
-    return done.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Documents without their recurring lines.
+
+    One that would lose more than four fifths of its characters is a copy as a
+    whole and not a document that quotes others: it stays as it is, and the next
+    stage, whose similarity is the same, judges it.
+    """
+    dropped = free_name(docs.columns, "n_dropped")
+    done = lines.drop_lines(docs, n_dropped=dropped, n_lines=free_name([*docs.columns, dropped], "n_lines"), most=(4, 5))
+    if "n_chars" in docs.columns:
+        size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        done = done.withColumn("n_chars", F.when(F.col(dropped) > 0, size).otherwise(F.col("n_chars")))
+    return done.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
