@@ -1,25 +1,28 @@
 """The engine: statements, writes and reads over Parquet tables in a folder.
 
 Every measurement is a Parquet table in wide form, partitioned by shard, under
-``base/database/measurement``. Writes append; a read takes the last write of each
-(time, series). Deletes, retention and compaction write the table's new content
-beside it and swap folders.
+``base/database/measurement/generation``. Writes append. A read goes to the shards
+that the time bounds allow, with the conditions on time and tags (the key) before
+anything else, and takes the last write of each (time, series) in the shards that
+were written more than once. Deletes, retention and compaction write a new
+generation, which the catalog, replaced as a whole, then points to.
 """
 
 from __future__ import annotations
 
 import json
 import time
-import uuid
 from collections.abc import Callable
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import promql, render
 from .catalog import Catalog, CatalogError, Policy
-from .model import Measurement, infer, widen
+from .model import Measurement, infer, points, value_struct, widen
 from .operators import filters, lifecycle
+from .operators.downsample import Rule, apply_rule
 from .ql.binder import DEFAULT_LIMIT, bind
 from .ql.parser import Command, QueryError, Select, parse
 from .sources import lineprotocol, prometheus
@@ -62,7 +65,9 @@ class QueryRequest:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, base: str, clock: Callable[[], int] = time.time_ns):
+    def __init__(self, spark: SparkSession, base: str, clock: Callable[[], int] = time.time_ns, compression: str = "snappy", bloom: int = 0):
+        """``compression``: a Parquet codec. ``bloom``: how many series a file's Bloom filter expects; 0 for none."""
+        self.compression, self.bloom = compression, bloom
         self.spark, self.base, self.clock, self.files = spark, base.rstrip("/"), clock, Files(spark)
         saved = self.files.read(f"{self.base}/_catalog.json")
         self.catalog = Catalog.load(saved) if saved else Catalog()
@@ -92,9 +97,10 @@ class Engine:
         self.catalog.learn(db, m.name, list(m.tags), {k: m.field_type(k) for k in m.fields})
 
     def path(self, database: str, measurement: str) -> str:
-        return f"{self.base}/{database}/{measurement}"
+        return f"{self.base}/{database}/{measurement}/g{self.catalog.measurement(database, measurement)['generation']}"
 
-    def measurement(self, name: str, database: str | None = None) -> Measurement:
+    def measurement(self, name: str, database: str | None = None, where=None) -> Measurement:
+        """The rows of a measurement that the part of ``where`` on time and tags allows."""
         db = self._database(database)
         if (db, name) in self.external:
             return self.external[db, name]
@@ -103,11 +109,23 @@ class Engine:
         column = {k: f"{k}_field" if k in tags or k in ("time_ns", "series_key", "ingest_seq") else k for k in fields}
         schema = ", ".join(["time_ns bigint", "series_key string", "ingest_seq bigint", *[f"`{t}` string" for t in tags], *[f"`{column[k]}` {v}" for k, v in fields.items()], "shard_id bigint"])
         path = self.path(db, name)
-        if self.files.exists(path):
-            df = self._read(path, schema)
-        else:
-            df = self.spark.createDataFrame([], schema)
-        return Measurement(name, lifecycle.last_write_wins(df, ["time_ns", "series_key"]), "time_ns", {t: f"`{t}`" for t in tags}, {k: f"`{c}`" for k, c in column.items()})
+        df = self._read(path, schema) if self.files.exists(path) else self.spark.createDataFrame([], schema)
+        m = Measurement(name, df, "time_ns", {t: f"`{t}`" for t in tags}, {k: f"`{c}`" for k, c in column.items()})
+        now = self.clock()
+        low, high = filters.time_bounds(where, now)
+        wide = self.catalog.database(db).shard_duration * 10**9
+        shards = {int(s): n for s, n in known["writes"].items() if (low is None or int(s) >= low // wide) and (high is None or int(s) <= high // wide)}
+        if low is not None or high is not None:
+            m = m.where(F.col("shard_id").isin(list(shards)) if shards else F.lit(False))
+        keys = filters.on_keys(where, {"time", *tags} - set(fields))
+        if keys is not None:
+            m = m.where(filters.condition(m, keys, now))
+        again = sorted(s for s, n in shards.items() if n > 1)
+        if again:
+            twice = F.col("shard_id").isin(again)
+            rows = lifecycle.last_write_wins(m.df.where(twice), ["shard_id", "time_ns", "series_key"])
+            m = Measurement(name, rows if len(again) == len(shards) else rows.union(m.df.where(~twice)), m.time, m.tags, m.fields)
+        return m
 
     def _read(self, path: str, schema: str) -> DataFrame:
         """Files written before a field changed its type are cast to the type it has now."""
@@ -120,25 +138,35 @@ class Engine:
 
     # --- writes
 
+    def _write(self, rows: DataFrame, folder: str, mode: str = "errorifexists") -> None:
+        """By shard, with the engine's compression, and Bloom filters on the series."""
+        w = rows.write.mode(mode).option("compression", self.compression)
+        if self.bloom:
+            w = w.option("parquet.bloom.filter.enabled#series_key", "true").option("parquet.bloom.filter.expected.ndv#series_key", str(self.bloom))
+        w.partitionBy("shard_id").parquet(folder)
+
     def write(self, points: DataFrame, database: str | None = None) -> int:
         """Append points (the ingest form); the number of points."""
         db = self._database(database)
         self.batch = max(self.clock(), self.batch + 1)  # later writes win, and within this one later rows
-        points = lifecycle.last_write_wins(points).withColumn("ingest_seq", F.lit(self.batch).cast("bigint")).persist()
+        batch = lifecycle.last_write_wins(points).withColumn("ingest_seq", F.lit(self.batch).cast("bigint")).persist()
         try:
-            names = [r[0] for r in points.select("measurement").distinct().collect()]
+            names = [r[0] for r in batch.select("measurement").distinct().collect()]
             for name in names:
-                own = points.where(F.col("measurement") == name)
+                own = batch.where(F.col("measurement") == name)
                 tags, fields, _ = infer(own)
                 self.catalog.learn(db, name, tags, fields)
                 known = self.catalog.measurement(db, name)
                 wide = widen(own, name, known["tags"], known["fields"]).df
                 kinds = json.dumps([known["tags"], known["fields"]], sort_keys=True)
                 folder = f"v{len(known['tags'])}_{len(known['fields'])}_{abs(hash_text(kinds)):x}"
-                lifecycle.with_shard(wide, self.catalog.database(db).shard_duration).write.mode("append").partitionBy("shard_id").parquet(f"{self.path(db, name)}/{folder}")
-            n = points.count()
+                rows = lifecycle.with_shard(wide, self.catalog.database(db).shard_duration)
+                self._write(rows, f"{self.path(db, name)}/{folder}", "append")
+                for r in rows.select("shard_id").distinct().collect():  # a row a shard
+                    known["writes"][str(r[0])] = known["writes"].get(str(r[0]), 0) + 1
+            n = batch.count()
         finally:
-            points.unpersist()
+            batch.unpersist()
         self._save()
         return n
 
@@ -170,7 +198,7 @@ class Engine:
         """Any statement. SELECT and SHOW give their rows, the others one row ``status``."""
         q = parse(text)
         if isinstance(q, Select):
-            return bind(q, self.measurement(q.measurement, database), self.clock(), default_limit)
+            return bind(q, self.measurement(q.measurement, database, q.where), self.clock(), default_limit)
         return self._command(q, database)
 
     def execute(self, r: QueryRequest) -> DataFrame:
@@ -230,7 +258,7 @@ class Engine:
             db = self._database(database)
             self.catalog.measurement(db, a["name"])
             del self.catalog.database(db).measurements[a["name"]]
-            self.files.delete(self.path(db, a["name"]))
+            self.files.delete(f"{self.base}/{db}/{a['name']}")
         elif c.kind in ("drop_series", "delete"):
             db = self._database(database)
             for name in [a["measurement"]] if a["measurement"] else list(self.catalog.database(db).measurements):
@@ -275,19 +303,21 @@ class Engine:
     # --- maintenance
 
     def _replace(self, database: str, name: str, df: DataFrame) -> None:
-        path, new = self.path(database, name), f"{self.path(database, '_new')}-{uuid.uuid4().hex}"
-        df.write.partitionBy("shard_id").parquet(f"{new}/v0")
-        old = f"{new}-old"
-        self.files.rename(path, old)
-        self.files.rename(new, path)
+        """A new generation; until the catalog is written, the old one is the table."""
+        old, known = self.path(database, name), self.catalog.measurement(database, name)
+        number = known["generation"] + 1
+        self.files.delete(f"{self.base}/{database}/{name}/g{number}")  # of a replacement that failed
+        self._write(df, f"{self.base}/{database}/{name}/g{number}/v0")
+        known["generation"], known["writes"] = number, {f.partition("=")[2]: 1 for f in self.files.folders(f"{self.base}/{database}/{name}/g{number}/v0") if "=" in f}
+        self._save()
         self.files.delete(old)
 
     def delete(self, name: str, where=None, database: str | None = None) -> None:
         """Remove the rows for which the condition holds; all of them without one."""
         db = self._database(database)
-        m = self.measurement(name, db)
         if not self.files.exists(self.path(db, name)):
             return
+        m = self.measurement(name, db)
         condition = F.lit(True) if where is None else filters.condition(m, where, self.clock())
         self._replace(db, name, lifecycle.delete_where(m.df, condition))
 
@@ -312,7 +342,7 @@ class Engine:
         manifest = {"name": name, "measurements": {}}
         for m in self.catalog.database(database).measurements:
             df = self.measurement(m, database).df
-            df.write.partitionBy("shard_id").parquet(f"{root}/{name}/{m}/v0")
+            self._write(df, f"{root}/{name}/{m}/v0")
             stored = self.spark.read.parquet(f"{root}/{name}/{m}/v0")
             manifest["measurements"][m] = {"rows": stored.count(), "checksum": table_checksum(stored), **self.catalog.measurement(database, m)}
         self.files.write(f"{root}/{name}/manifest.json", json.dumps(manifest))
@@ -334,14 +364,12 @@ class Engine:
         manifest = json.loads(self.files.read(f"{root}/manifest.json"))
         if database not in self.catalog.databases:
             self.catalog.create_database(database)
-        self.catalog.database(database).measurements.clear()
+        for m in set(self.catalog.database(database).measurements) - set(manifest["measurements"]):
+            del self.catalog.database(database).measurements[m]
         for m, x in manifest["measurements"].items():
-            self.catalog.learn(database, m, x["tags"], x["fields"])
-            new = f"{self.base}/_restore-{uuid.uuid4().hex}"
-            self.spark.read.parquet(f"{root}/{m}/v0").write.partitionBy("shard_id").parquet(f"{new}/v0")
-            if self.files.exists(self.path(database, m)):
-                self.files.delete(self.path(database, m))
-            self.files.rename(new, self.path(database, m))
+            known = self.catalog.learn(database, m, [], {})
+            known["tags"], known["fields"] = x["tags"], x["fields"]
+            self._replace(database, m, self.spark.read.parquet(f"{root}/{m}/v0"))
         self._save()
 
     def backup(self, database: str, folder: str, since_ns: int | None = None) -> None:
@@ -349,8 +377,52 @@ class Engine:
         for m in self.catalog.database(database).measurements:
             df = self.measurement(m, database).df
             df = df if since_ns is None else df.where(F.col("ingest_seq") >= since_ns)
-            df.write.mode("overwrite").partitionBy("shard_id").parquet(f"{folder}/{m}")
-        self.files.write(f"{folder}/manifest.json", json.dumps({"database": database, "since": since_ns, "catalog": self.catalog.dump()}))
+            self._write(df, f"{folder}/{m}", "overwrite")
+        known = self.catalog.database(database)
+        self.files.write(f"{folder}/manifest.json", json.dumps({"database": database, "since": since_ns, "policies": {n: asdict(p) for n, p in known.policies.items()}, "default": known.default, "measurements": known.measurements}))
+
+    def restore_backup(self, folder: str, database: str | None = None) -> None:
+        """A full backup as a database, or an incremental one on top of what there is (its rows are later writes)."""
+        manifest = json.loads(self.files.read(f"{folder}/manifest.json"))
+        db = database or manifest["database"]
+        if db not in self.catalog.databases:
+            self.catalog.create_database(db)
+            for p in manifest["policies"].values():
+                self.catalog.put_policy(db, Policy(**p), p["name"] == manifest["default"])
+        for m, x in manifest["measurements"].items():
+            df = self.spark.read.parquet(f"{folder}/{m}")
+            if manifest["since"] is not None and m in self.catalog.database(db).measurements:
+                self.catalog.learn(db, m, x["tags"], x["fields"])
+                old = self.measurement(m, db).df
+                df = lifecycle.last_write_wins(old.unionByName(df, allowMissingColumns=True), ["shard_id", "time_ns", "series_key"])
+            else:
+                known = self.catalog.learn(db, m, [], {})
+                known["tags"], known["fields"] = x["tags"], x["fields"]
+            self._replace(db, m, df)
+
+    def add_rule(self, rule: Rule, database: str | None = None) -> None:
+        """A downsampling rule of a database; one of the same name is replaced."""
+        self.catalog.database(self._database(database)).rules[rule.name] = asdict(rule)
+        self._save()
+
+    def drop_rule(self, name: str, database: str | None = None) -> None:
+        self.catalog.database(self._database(database)).rules.pop(name)
+        self._save()
+
+    def run_rules(self, field: str, database: str | None = None) -> None:
+        """Every rule's target measurement, written from a field of its source; rows past the rule's retention are left out."""
+        db = self._database(database)
+        for r in list(self.catalog.database(db).rules.values()):
+            rule = Rule(**r)
+            m = self.measurement(rule.source, db)
+            made = apply_rule(m.df.select(m.time_ns().alias("time"), m.value(field).alias("value")), rule)
+            made = lifecycle.unexpired(made, rule.retention, self.clock(), "time")
+            self.write(points(made, F.lit(rule.target), F.col("time"), F.create_map(F.lit("rule"), F.lit(rule.name)), F.create_map(F.lit("value"), value_struct("i", F.col("value"))), F.lit(db)), db)
+
+    def list_tables(self) -> DataFrame:
+        """database, measurement and fields of every table, as a flight endpoint lists them."""
+        rows = [(d.name, n, sorted(x["fields"])) for d in self.catalog.databases.values() for n, x in d.measurements.items()]
+        return self._rows(rows, "database string, measurement string, fields array<string>")
 
     def stats(self) -> dict[str, int]:
         out = {"databases": len(self.catalog.databases), "measurements": 0, "series": 0, "points": 0, "tag_keys": 0, "field_keys": 0}

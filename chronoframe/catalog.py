@@ -26,7 +26,9 @@ class Database:
     name: str
     policies: dict[str, Policy] = field(default_factory=dict)
     default: str | None = None
-    measurements: dict[str, dict] = field(default_factory=dict)  # name: {"tags": [...], "fields": {...}}
+    rules: dict[str, dict] = field(default_factory=dict)
+    #: name: tags, fields (name: type), generation (the table's folder), writes (shard: how many since it had one row a key)
+    measurements: dict[str, dict] = field(default_factory=dict)
 
     @property
     def shard_duration(self) -> int:
@@ -61,7 +63,7 @@ class Catalog:
 
     def learn(self, database: str, measurement: str, tags: list[str], fields: dict[str, str]) -> dict:
         """Add keys; a number field that has been of another number type becomes double, any other mix string."""
-        known = self.database(database).measurements.setdefault(measurement, {"tags": [], "fields": {}})
+        known = self.database(database).measurements.setdefault(measurement, {"tags": [], "fields": {}, "generation": 0, "writes": {}})
         known["tags"] = sorted({*known["tags"], *tags})
         for name, kind in fields.items():
             old = known["fields"].get(name, kind)
@@ -82,5 +84,5 @@ class Catalog:
     def load(cls, text: str) -> Catalog:
         out = cls()
         for n, d in json.loads(text).items():
-            out.databases[n] = Database(n, {k: Policy(**p) for k, p in d["policies"].items()}, d["default"], d["measurements"])
+            out.databases[n] = Database(n, {k: Policy(**p) for k, p in d["policies"].items()}, d["default"], d.get("rules", {}), d["measurements"])
         return out

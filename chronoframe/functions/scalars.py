@@ -13,9 +13,9 @@ UNIT_NS = {
     "ns": 1, "u": 1_000, "us": 1_000, "µ": 1_000, "ms": 1_000_000,
     "s": 10**9, "sec": 10**9, "second": 10**9, "seconds": 10**9,
     "m": 60 * 10**9, "min": 60 * 10**9, "minute": 60 * 10**9, "minutes": 60 * 10**9,
-    "h": 3600 * 10**9, "hour": 3600 * 10**9, "hours": 3600 * 10**9,
+    "h": 3600 * 10**9, "hr": 3600 * 10**9, "hour": 3600 * 10**9, "hours": 3600 * 10**9,
     "d": 86400 * 10**9, "day": 86400 * 10**9, "days": 86400 * 10**9,
-    "w": 604800 * 10**9, "week": 604800 * 10**9, "weeks": 604800 * 10**9,
+    "w": 604800 * 10**9, "wk": 604800 * 10**9, "week": 604800 * 10**9, "weeks": 604800 * 10**9,
 }
 # Log severities by number.
 SEVERITY = {1: "TRACE", 2: "DEBUG", 3: "INFO", 4: "WARN", 5: "ERROR", 6: "FATAL"}

@@ -71,3 +71,28 @@ def series_bitmap(ids: DataFrame, column: str = "id") -> DataFrame:
 
 def bitmap_cardinality(bitmaps: DataFrame) -> DataFrame:
     return bitmaps.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("cardinality"))
+
+
+def bitmap_ids(bitmaps: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:
+    """The series numbers (``id``) of bitmaps, in [low, high) where given; whole buckets outside are left out first."""
+    size = 32768  # bits of a bucket
+    if low is not None:
+        bitmaps = bitmaps.where(F.col("bucket") >= F.bitmap_bucket_number(F.lit(low + 1)))
+    if high is not None:
+        bitmaps = bitmaps.where(F.col("bucket") <= F.bitmap_bucket_number(F.lit(high)))
+    byte = bitmaps.select("bucket", F.posexplode(F.sequence(F.lit(0), F.length("bits") - 1)).alias("at", "_"), "bits").select("bucket", "at", F.conv(F.hex(F.expr("substring(bits, at + 1, 1)")), 16, 10).cast("int").alias("byte")).where("byte <> 0")
+    bit = byte.select("bucket", "at", "byte", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit")).where("(byte >> bit) & 1 = 1")
+    ids = bit.select(((F.col("bucket") - 1) * size + F.col("at") * 8 + F.col("bit")).alias("id"))
+    return ids.where((F.lit(low).isNull() | (F.col("id") >= F.lit(low))) & (F.lit(high).isNull() | (F.col("id") < F.lit(high))))
+
+
+def bitmap_contains(bitmaps: DataFrame, number: int) -> DataFrame:
+    """One row ``contains``: whether a series number is in the bitmaps."""
+    return bitmap_ids(bitmaps, number, number + 1).agg((F.count(F.lit(1)) > 0).alias("contains"))
+
+
+def bitmap_remove(bitmaps: DataFrame, gone: DataFrame, column: str = "id") -> DataFrame:
+    """The bitmaps without some series numbers; only buckets that hold one are built anew."""
+    marks = gone.select(F.bitmap_bucket_number(F.col(column) + 1).alias("bucket")).distinct()
+    left = bitmap_ids(bitmaps.join(marks, "bucket", "left_semi")).join(gone.select(F.col(column).alias("id")), "id", "left_anti")
+    return bitmaps.join(marks, "bucket", "left_anti").union(series_bitmap(left))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from enum import IntEnum
 
 from pyspark.sql import DataFrame
@@ -26,6 +27,30 @@ class Interval(IntEnum):
         return cls(seconds) if seconds in cls._value2member_map_ else None
 
 
+@dataclass(frozen=True)
+class Rule:
+    """What becomes of a measurement: its field in buckets of ``interval`` seconds, by one aggregate, kept for ``retention`` seconds (0: for ever)."""
+
+    name: str
+    source: str
+    target: str
+    interval: int
+    aggregate: str = "mean"
+    retention: int = 0
+
+    def __post_init__(self):
+        if Interval.of(self.interval) is None or self.aggregate not in AGGREGATES:
+            raise ValueError(f"bad rule {self.name}: {self.interval} s, {self.aggregate}")
+
+
+AGGREGATES = ("sum", "min", "max", "mean", "first", "last", "count")
+
+
+def apply_rule(df: DataFrame, rule: Rule, value: str = "value", time: str = "time", unit: int = 10**9) -> DataFrame:
+    """(time, value) of the rule's target; ``unit`` time units are a second."""
+    return downsample_all(df, rule.interval * unit, value, time).select("time", F.col(rule.aggregate).alias("value"))
+
+
 def aggregates(df: DataFrame, value: str = "value", time: str = "time", keys: list | None = None) -> DataFrame:
     """sum, min, max, mean (integer, truncated), first, last, count; zeros where there is nothing."""
     v = F.col(value).cast("bigint")

@@ -68,6 +68,31 @@ def compare(m: Measurement, c: Compare, now_ns: int) -> Column:
     return found & ~F.isnan(col) if kind in ("float", "double") and c.op in (">", ">=") else found
 
 
+def _names(tree) -> set[str]:
+    if isinstance(tree, Compare):
+        return {tree.name}
+    return _names(tree.inner) if isinstance(tree, Not) else _names(tree.left) | _names(tree.right)
+
+
+def on_keys(tree, keys: set[str]):
+    """The conjuncts of a condition that look at ``keys`` alone; None without any."""
+    if isinstance(tree, Both):
+        left, right = on_keys(tree.left, keys), on_keys(tree.right, keys)
+        return Both(left, right) if left is not None and right is not None else left if right is None else right
+    return tree if tree is not None and _names(tree) <= keys else None
+
+
+def time_bounds(tree, now_ns: int) -> tuple[int | None, int | None]:
+    """The least and the greatest time (both included) that the conjuncts of a condition allow; None where there is no bound."""
+    if isinstance(tree, Both):
+        (a, b), (c, d) = time_bounds(tree.left, now_ns), time_bounds(tree.right, now_ns)
+        return max((x for x in (a, c) if x is not None), default=None), min((x for x in (b, d) if x is not None), default=None)
+    if isinstance(tree, Compare) and tree.name == "time":
+        t = time_literal(tree.value, now_ns)
+        return {"=": (t, t), ">": (t + 1, None), ">=": (t, None), "<": (None, t - 1), "<=": (None, t)}.get(tree.op, (None, None))
+    return None, None
+
+
 def condition(m: Measurement, tree, now_ns: int, strict: bool = False) -> Column:
     """``strict`` below NOT: a null must count as false before it is negated."""
     if isinstance(tree, Both):

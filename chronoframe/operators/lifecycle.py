@@ -110,3 +110,16 @@ def overlap_ratio(a_min: Column, a_max: Column, b_min: Column, b_max: Column) ->
 def compact(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """One row a key, sorted by series and time inside each partition, ready to be written."""
     return last_write_wins(df, keys).repartition("shard_id").sortWithinPartitions("series_key", "time_ns") if "shard_id" in df.columns else last_write_wins(df, keys).sortWithinPartitions("time_ns")
+
+
+def migrate_shard(shards: DataFrame, shard: int, node: int) -> DataFrame:
+    """The shard table (shard_id, node, status) with one shard on another node, being migrated."""
+    here = F.col("shard_id") == shard
+    return shards.withColumns({"node": F.when(here, F.lit(node)).otherwise(F.col("node")), "status": F.when(here, "migrating").otherwise(F.col("status"))})
+
+
+def set_status(shards: DataFrame, shard: int, status: str) -> DataFrame:
+    """The shard table with a new status of one shard: active, closed, migrating or deleted."""
+    if status not in ("active", "closed", "migrating", "deleted"):
+        raise ValueError(f"unknown status {status!r}")
+    return shards.withColumn("status", F.when(F.col("shard_id") == shard, status).otherwise(F.col("status")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,7 @@ def series_page(df: DataFrame, key: str, limit: int | None, offset: int = 0) ->
 
 
 def latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The last row of each key in ``order``, all columns."""
-    rank = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return df.withColumn("_rank", F.row_number().over(rank)).where("_rank = 1").drop("_rank")
+    """The last row of each key in ``order``, all columns; a maximum that is aggregated before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(*order)).alias("_row"))
+    return last.select(*[F.col(f"`{c}`") if c in keys else F.col("_row")[c].alias(c) for c in df.columns])

@@ -175,7 +175,7 @@ def _(spark, sf):
     return query("SELECT COUNT(value), SUM(event_id), MIN(value), MAX(value) FROM events GROUP BY event_type", m, NOW)
 
 
-@register("points_to_wide", f"SELECT {TIME} AS time, event_type, value, event_id FROM events WHERE event_id < 500")
+@register("points_to_wide", f"SELECT {TIME} AS time, event_type, value, event_id FROM events")
 def _(spark, sf):
     m = widen(event_points(spark, sf), "events", ["event_type"], {"value": "double", "event_id": "bigint"})
     return query("SELECT event_type, value, event_id FROM events", m, NOW)
@@ -379,8 +379,12 @@ def _(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import stored  # noqa: F401 (registers its own)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import stored  # noqa: F401
+
     return dict(SQL)

@@ -9,21 +9,29 @@ from pyspark.sql import DataFrame
 from .functions.scalars import field_text
 
 
-def influx_json(df: DataFrame, name: str, most: int = 10_000, zero_when_empty: bool = False) -> str:
-    """Series JSON of at most ``most`` rows; an empty aggregate shows as 0."""
-    rows = df.limit(most).collect()
+def _rows(df: DataFrame, most: int | None) -> tuple[list, bool]:
+    """All rows, or the first ``most``, and whether there are more."""
+    rows = df.collect() if most is None else df.limit(most + 1).collect()
+    return (rows, False) if most is None else (rows[:most], len(rows) > most)
+
+
+def influx_json(df: DataFrame, name: str, most: int | None = None, zero_when_empty: bool = False) -> str:
+    """Series JSON; with ``most`` rows at most, marked ``partial`` if there are more. An empty aggregate shows as 0."""
+    rows, partial = _rows(df, most)
     empty = lambda v: "0" if v is None and zero_when_empty else field_text(v)
-    return json.dumps({"results": [{"series": [{"name": name, "columns": df.columns, "values": [[empty(v) for v in r] for r in rows]}]}]})
+    series = {"name": name, "columns": df.columns, "values": [[empty(v) for v in r] for r in rows]} | ({"partial": True} if partial else {})
+    return json.dumps({"results": [{"series": [series]}]})
 
 
 def prometheus_vector(labels: dict[str, str], time_s: float, value: float) -> str:
     return json.dumps({"status": "success", "data": {"resultType": "vector", "result": [{"metric": labels, "value": [time_s, field_text(float(value))]}]}})
 
 
-def prometheus_matrix(labels: dict[str, str], df: DataFrame, most: int = 11_000) -> str:
-    """(time in ms, value) rows as a matrix of one series."""
-    rows = df.select("time", "value").orderBy("time").limit(most).collect()
-    return json.dumps({"status": "success", "data": {"resultType": "matrix", "result": [{"metric": labels, "values": [[t / 1000, field_text(v)] for t, v in rows]}]}})
+def prometheus_matrix(labels: dict[str, str], df: DataFrame, most: int | None = None) -> str:
+    """(time in ms, value) rows as a matrix of one series; with ``most`` steps at most, and a warning if there are more."""
+    rows, partial = _rows(df.select("time", "value").orderBy("time"), most)
+    out = {"status": "success", "data": {"resultType": "matrix", "result": [{"metric": labels, "values": [[t / 1000, field_text(v)] for t, v in rows]}]}}
+    return json.dumps(out | ({"warnings": [f"only the first {most} steps"]} if partial else {}))
 
 
 def metrics_text(stats: dict[str, int]) -> str:

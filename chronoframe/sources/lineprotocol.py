@@ -23,7 +23,7 @@ def _kind(v: Column) -> Column:
         .when(v.rlike(r"^\+?\d+[uU]$"), "u")
         .when(low.isin("t", "true", "f", "false"), "b")
         .when(low.rlike(NUMBER), "f")
-        .when(v.rlike(r'^"[\s\S]*"$') & (F.length(v) >= 2), "s")
+        .when((v.rlike(r'^"[\s\S]*"$') | v.rlike(r"^'[\s\S]*'$")) & (F.length(v) >= 2), "s")
     )
 
 
@@ -86,7 +86,8 @@ def parse(lines: DataFrame, column: str = "value", default_tags: dict[str, str]
         "fields": F.when(good, F.map_from_entries(F.transform("typed", lambda e: F.struct(e["k"], final(e))))),
         "time_ns": F.when(good, F.coalesce(scalars.from_precision(F.col("time_ns"), precision), F.lit(default_time))),
     })
-    return df.select(F.lit(database).alias("database"), "measurement", "time_ns", "tags", "fields", scalars.series_key(F.col("tags")).alias("series_key"), F.monotonically_increasing_id().alias("ingest_seq"), "line", "error")
+    # a filter on an error that isn't deterministic stays above: below, the optimiser would write the whole parser into it
+    return df.select(F.lit(database).alias("database"), "measurement", "time_ns", "tags", "fields", scalars.series_key(F.col("tags")).alias("series_key"), F.monotonically_increasing_id().alias("ingest_seq"), "line", F.when(F.monotonically_increasing_id() >= 0, F.col("error")).alias("error"))
 
 
 def good(parsed: DataFrame) -> DataFrame:

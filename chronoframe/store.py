@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 
 class Files:
     def __init__(self, spark: SparkSession):
-        self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self.jvm, self.conf, self.gateway = spark._jvm, spark._jsc.hadoopConfiguration(), spark.sparkContext._gateway
 
     def _at(self, path: str):
         p = self.jvm.org.apache.hadoop.fs.Path(path)
@@ -42,11 +42,13 @@ class Files:
             stream.close()
 
     def write(self, path: str, text: str) -> None:
-        """Written beside and renamed, so a reader sees the old text or the new."""
+        """Written beside and renamed over it, so a reader sees the old text or the new."""
         fs, p = self._at(path)
         other = self.jvm.org.apache.hadoop.fs.Path(path + ".new")
         stream = fs.create(other, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        fs.delete(p, False)
-        fs.rename(other, p)
+        kind = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        over = self.gateway.new_array(kind, 1)
+        over[0] = kind.OVERWRITE
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.conf).rename(fs.makeQualified(other), fs.makeQualified(p), over)
