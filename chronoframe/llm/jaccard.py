@@ -31,7 +31,7 @@ from .base import free_name, fresh_dir, map_rows, materialize, read_part, spark_
 from .graph import components
 from .tokens import mix, token_hashes
 
-N, THRESHOLD, RECALL, MOST_HASHES, BLOCK, BLOCK_GRAMS = 5, 0.8, 0.9999, 128, 500, 4_000_000
+N, THRESHOLD, RECALL, MOST_HASHES, BLOCK, BLOCK_GRAMS = 5, 0.8, 0.9999, 128, 500, 1_000_000
 _STEP = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(64)], np.uint64)
 
 
