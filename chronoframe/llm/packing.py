@@ -19,6 +19,7 @@ import re
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .base import Memo, by_split, fresh_dir, map_rows, materialize, read_part, spark_arrow_schema, store
 
-CAP, END_ID = 4096, 1
+CAP, END_ID, OPEN = 4096, 1, 50
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
@@ -51,7 +52,7 @@ class WordIds:
         rest = [b for b in range(256) if b not in plain]
         self.bytes_as = {**{b: b for b in plain}, **{b: 256 + k for k, b in enumerate(rest)}}
         self.words = Memo(self._word, 300_000)
-        self.chunks = Memo(self._chunk, 300_000)
+        self.chunks = Memo(self._chunk, 800_000)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -77,13 +78,23 @@ class WordIds:
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
+_known: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One for all tasks of a worker, which know the words of those before them."""
+    if path not in _known:
+        _known[path] = WordIds(path)
+    return _known[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str, cap: int = CAP, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and the ids as little-endian bytes)."""
     end = np.array([end_id], "<u4").tobytes()
     step = 4 * cap
 
     def make():
-        ids_of = WordIds(tokenizer)
+        ids_of = word_ids(tokenizer)
 
         def rows(doc_ids, texts):
             for doc_id, text in zip(doc_ids, texts):
@@ -206,7 +217,7 @@ def fillings(hist: dict[int, int], room: int) -> Iterator[tuple[int, ...]]:
                     yield f
 
 
-def solve(hist: dict[int, int], cap: int = CAP, nodes: int = 2000) -> Plan:
+def solve(hist: dict[int, int], cap: int = CAP, nodes: int = 1000) -> Plan:
     """Patterns and how often each is used; together they hold every item once.
 
     Bin completion, depth first: the largest item left opens a sequence, its
@@ -214,7 +225,8 @@ def solve(hist: dict[int, int], cap: int = CAP, nodes: int = 2000) -> Plan:
     and then once. A branch is cut where the waste so far, or the lower bound of
     what is left, rules out fewer sequences than the incumbent has; best fit gives
     the first incumbent, and completes each node to the next ones. The search
-    ends with proof or after ``nodes`` nodes.
+    ends with proof or after ``nodes`` nodes. It keeps ``OPEN`` nodes to go back to,
+    the latest ones, so that memory stays bounded.
     """
     hist = {int(s): int(n) for s, n in hist.items() if n > 0}
     count = lambda plan: sum(n for _, n in plan)
@@ -231,7 +243,7 @@ def solve(hist: dict[int, int], cap: int = CAP, nodes: int = 2000) -> Plan:
             if times > 1:
                 yield items, 1
 
-    stack = [(hist, branches(hist), 0, 0, None)] if hist and most > goal else []  # left, branches, sequences, waste, linked path
+    stack = deque([(hist, branches(hist), 0, 0, None)] if hist and most > goal else [], OPEN)  # left, branches, sequences, waste, linked path
     while stack and nodes and most > goal:
         left, todo, n, waste, path = stack[-1]
         items, times = next(todo, ((), 0))
