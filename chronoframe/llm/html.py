@@ -256,7 +256,7 @@ def settle(found: list[Block]) -> None:
             b.label = right  # a heading goes with what follows
         elif min(p, q) < FAR:
             b.label = left if p < q else right if q < p else "good" if "good" in (left, right) else "bad"
-        elif b.region in titled and b.tag in PROSE:
+        elif b.region in titled and (not b.tag or b.tag in PROSE):
             b.label = "good"  # nothing is decided in a container with a heading: it is a short article
         else:
             b.label = "good" if left == right == "good" else "bad"

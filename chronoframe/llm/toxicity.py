@@ -10,7 +10,7 @@ are trained together in numpy.
 Only the fit uses a sample, of at most ``max_pos`` + ``max_neg`` labelled rows, with
 their whole texts. Scoring reads every whole text.
 
-Cases: null and empty texts (no words) get the score of an empty window; null
+Cases: null and empty texts (no words) score 0, as near as makes no difference; null
 labels are not learned from; several labels of one doc_id count as several rows;
 with no labelled rows every score is 0; other columns are ignored, or pass through
 ``score`` by ``keep`` (where ``score`` is taken, the new column gets underscores in front).
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .base import Memo, fold, free_name, map_rows, word_of
 
 BUCKETS, DIM, WINDOW, THRESHOLD = 1 << 17, 8, 8, 0.3
+#: The highest logit of words of which nothing is known (a score of 0.2): few documents are toxic.
+UNKNOWN = float(np.log(0.2 / 0.8))
 
 
 def grams(word: str) -> list[int]:
@@ -143,7 +145,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 500, batch: int = 512,
                 v += 0.01 * (grad * grad - v)
                 par -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
     u = top[:, 1] - top[:, 0]
-    return Model((emb @ u).astype(np.float32), float(bias[1] - bias[0]))
+    return Model((emb @ u).astype(np.float32), min(float(bias[1] - bias[0]), UNKNOWN))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_pos: int, max_neg: int) -> tuple[list[str], list[int]]:
@@ -169,9 +171,9 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, threshol
         def rows(texts, *columns):
             for text, *row in zip(texts, *columns):
                 words = (text or "").split()
-                z = m.bias
+                z = -60.0
                 if words:
-                    z += float(windows(np.fromiter(map(logit.__getitem__, words), np.float32, len(words))).max())
+                    z = m.bias + float(windows(np.fromiter(map(logit.__getitem__, words), np.float32, len(words))).max())
                 s = 1 / (1 + np.exp(-min(60.0, max(-60.0, z))))
                 if threshold is None or s < threshold:
                     yield (*row, float(s))
