@@ -31,12 +31,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their recurring lines.
 
-    One that would lose more than four fifths of its characters is a copy as a
-    whole and not a document that quotes others: it stays as it is, and the next
-    stage, whose similarity is the same, judges it.
+    One that would lose more than half of its characters is a copy as a whole,
+    exact or near, and not a document that quotes others: it stays as it is, and
+    the next stage judges it.
     """
     dropped = free_name(docs.columns, "n_dropped")
-    done = lines.drop_lines(docs, n_dropped=dropped, n_lines=free_name([*docs.columns, dropped], "n_lines"), most=(4, 5))
+    done = lines.drop_lines(docs, n_dropped=dropped, n_lines=free_name([*docs.columns, dropped], "n_lines"), most=(1, 2))
     if "n_chars" in docs.columns:
         size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
         done = done.withColumn("n_chars", F.when(F.col(dropped) > 0, size).otherwise(F.col("n_chars")))
