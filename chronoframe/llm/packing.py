@@ -51,8 +51,8 @@ class WordIds:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.bytes_as = {**{b: b for b in plain}, **{b: 256 + k for k, b in enumerate(rest)}}
-        self.words = Memo(self._word, 300_000)
-        self.chunks = Memo(self._chunk, 800_000)
+        self.words = Memo(self._word, 100_000)
+        self.chunks = Memo(self._chunk, 400_000)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
