@@ -65,7 +65,7 @@ def _lines(keyed: DataFrame) -> DataFrame:
 def templates(lines: DataFrame) -> DataFrame:
     """line, template, for the distinct lines that fit a template with others: one of their leaf, or else any of its groups."""
     several = materialize(lines.groupBy("leaf").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("leaf"), "several")  # written, so that the join below can be split where a leaf is large
-    met = lines.join(several, "leaf", "left_semi").select("leaf", "n", "line", "masked")
+    met = lines.join(several.hint("merge"), "leaf", "left_semi").select("leaf", "n", "line", "masked")
     distinct = met.groupBy("line").agg(F.min("leaf").alias("leaf"), F.min("n").alias("n"), F.min("masked").alias("masked"))
     shared = materialize(distinct.withColumn("tokens", F.transform(F.split("masked", " "), lambda t: F.xxhash64(t))).drop("masked"), "leaves")
     whole = materialize(_fit(shared), "leaf-templates")
@@ -111,7 +111,8 @@ def mark_lines(docs: DataFrame) -> DataFrame:
     """text, row (all columns of ``docs``) and dropped (positions of the lines that go, or null)."""
     keyed = _keyed(docs)
     lines = materialize(_lines(keyed), "lines")
-    gone = lines.join(recurring(lines), "line").where("_doc <> home").groupBy("_doc", "_text").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
+    again = materialize(recurring(lines), "recurring")
+    gone = lines.join(again.hint("merge"), "line").where("_doc <> home").groupBy("_doc", "_text").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
     return keyed.join(gone, ["_doc", "_text"], "left").select("text", "row", "dropped")
 
 
