@@ -15,6 +15,8 @@ from ..session import fresh_dir
 
 #: Of Spark: whether a job's shuffle files go when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Of Spark: rows of a batch on its way to Python. Ten thousand documents or messages are too much memory.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,15 +31,16 @@ def release(spark: SparkSession, path: str) -> None:
 
 @contextlib.contextmanager
 def brief_shuffles(spark: SparkSession):
-    """Shuffle files of the jobs inside go when each of them ends."""
-    before = spark.conf.get(CLEANUP, None)
-    if before is not None:
-        spark.conf.set(CLEANUP, "true")
+    """Shuffle files of the jobs inside go when each of them ends; batches for Python are small."""
+    wanted = {CLEANUP: "true", BATCH: "1000"}
+    before = {k: v for k in wanted if (v := spark.conf.get(k, None)) is not None}
+    for k in before:
+        spark.conf.set(k, wanted[k])
     try:
         yield
     finally:
-        if before is not None:
-            spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def store(df: DataFrame, path: str, *by: str, parts: int | None = None) -> None:

@@ -96,7 +96,12 @@ class Stretch:
         self.start, self.end = np.insert(start, n, 0), np.insert(end, n, 0)
         self.bounds = np.concatenate([[0], n + np.arange(1, len(rows) + 1)])
         self.learns = np.repeat([not r[1] for r in rows], np.diff(self.bounds))
-        self.words, self.first, self.ids = np.unique(tok, return_index=True, return_inverse=True)
+        del h, start, end
+        order = np.argsort(tok)
+        tok = tok[order]
+        new = np.concatenate([[True], tok[1:] != tok[:-1]])
+        self.words, self.first, self.ids = tok[new], order[new], np.empty(len(tok), np.int32)
+        self.ids[order] = np.cumsum(new) - 1
 
     def pair_up(self, shift: np.uint64, hot: np.ndarray) -> Stretch:
         w = len(self.words)
@@ -216,7 +221,7 @@ class Job:
             for b in batches:
                 for number in b.column(0).to_pylist():
                     rows = f(number)
-                    while chunk := list(itertools.islice(rows, 256)):
+                    while chunk := list(itertools.islice(rows, 32)):
                         yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*chunk), out)], schema=out)
 
         store(self.spark.range(0, self.buckets, 1, self.buckets).mapInArrow(task, TOLD), folder, "kind", "bucket", parts=self.buckets)
@@ -266,7 +271,7 @@ def score(docs: DataFrame, sub_bytes: int = SUB_BYTES, bucket_tokens: int = BUCK
     def ask(batches):
         for block, sub, rows in stretches(batches, sub_bytes):
             it = ((m[0], block, sub, *m[1:]) for m in Stretch(rows).pair_up(shift, sent_hot.value).messages(shift, sent_hot.value))
-            while chunk := list(itertools.islice(it, 64)):
+            while chunk := list(itertools.islice(it, 32)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*chunk), message)], schema=message)
 
     store(placed.mapInArrow(ask, MESSAGE), asks, "bucket", parts=buckets)
