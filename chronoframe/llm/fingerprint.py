@@ -28,6 +28,7 @@ from .base import spark_arrow_schema
 from .tokens import mix, token_hashes
 
 K, CHUNK, TERMS = 128, 64, 30_000
+ROWS, GATHER = 256, 1024
 
 
 def _gamma_quantiles() -> np.ndarray:
@@ -38,26 +39,43 @@ def _gamma_quantiles() -> np.ndarray:
 
 _GAMMA = _gamma_quantiles()
 _LOG_GAMMA = np.log(_GAMMA)
+_LOW = np.uint64(0xFFFF)
 _SEEDS = mix(np.arange(1, 4096, dtype=np.uint64))
 
 
 def keys(terms: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """For each term and sample a value that orders terms, with the sample's 16-bit code below it."""
+    """For each term and sample a value that orders terms, with the sample's 16-bit code below it.
+
+    A term of weight 1 has t = 0 whatever its draws, so its code is the same in all samples.
+    Rows are made ``ROWS`` at a time, so that what is at hand stays in a core's cache.
+    """
     out = np.empty((len(terms), k), np.uint64)
-    log_w = np.log(weights).astype(np.float32)
-    for lo in range(0, len(terms), 2048):
-        term = terms[lo : lo + 2048, None]
-        h = mix(term ^ _SEEDS[:k])
-        r = _GAMMA[h & np.uint64(0xFFFF)]
-        log_c = _LOG_GAMMA[(h >> np.uint64(16)) & np.uint64(0xFFFF)]
-        beta = ((h >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.float32) / np.float32(65536)
-        t = np.floor(log_w[lo : lo + 2048, None] / r + beta)
-        value = log_c - r * (t - beta + np.float32(1))
-        bits = value.view(np.uint32)
-        ordered = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31)).astype(np.uint64)
-        with np.errstate(over="ignore"):
-            code = mix(term + t.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
-        out[lo : lo + 2048] = (ordered << np.uint64(16)) | np.maximum(code, np.uint64(1))
+    one = weights == 1
+    for some, plain in ((np.flatnonzero(one), True), (np.flatnonzero(~one), False)):
+        for lo in range(0, len(some), ROWS):
+            rows = some[lo : lo + ROWS]
+            term = terms[rows, None]
+            h = mix(term ^ _SEEDS[:k])
+            r = _GAMMA.take((h & _LOW).view(np.int64))
+            log_c = _LOG_GAMMA.take((h >> np.uint64(16) & _LOW).view(np.int64))
+            beta = (h >> np.uint64(32) & _LOW).view(np.int64).astype(np.float32)
+            beta *= np.float32(1 / 65536)
+            if plain:
+                code = mix(term) >> np.uint64(48)
+                beta = np.subtract(np.float32(1), beta, out=beta)
+            else:
+                t = np.floor(np.log(weights[rows, None]).astype(np.float32) / r + beta)
+                with np.errstate(over="ignore"):
+                    code = mix(term + t.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+                beta = t - beta + np.float32(1)
+            r *= beta
+            log_c -= r
+            bits = log_c.view(np.uint32)
+            bits ^= (bits.view(np.int32) >> 31).view(np.uint32) | np.uint32(1 << 31)  # in the order of the values
+            key = bits.astype(np.uint64)
+            key <<= np.uint64(16)
+            key |= np.maximum(code, np.uint64(1))
+            out[rows] = key
     return out
 
 
@@ -80,13 +98,16 @@ def fingerprints(texts: list[str | None], k: int = K) -> np.ndarray:
         hi = lo + 1
         while hi < len(begin) and end[hi] - begin[lo] <= TERMS:
             hi += 1
+        least = np.full((hi - lo, k), np.iinfo(np.uint64).max)
         for at in range(begin[lo], end[hi - 1], TERMS):  # more than once only for a text with more terms
             some = slice(at, min(end[hi - 1], at + TERMS))
             with np.errstate(over="ignore"):
                 _, first, inverse = np.unique(tok[some] + weight[some].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), return_index=True, return_inverse=True)
-            made = keys(tok[some][first], weight[some][first], k)[inverse]
-            part = np.minimum.reduceat(made, begin[lo:hi] - begin[lo], axis=0) if hi - lo > 1 else made.min(0)[None]
-            least = part if at == begin[lo] else np.minimum(least, part)
+            made = keys(tok[some][first], weight[some][first], k)
+            for n in range(lo, hi):
+                for of in range(max(at, begin[n]), min(some.stop, end[n]), GATHER):
+                    part = made.take(inverse[of - at : min(of + GATHER, some.stop, end[n]) - at], axis=0).min(0)
+                    least[n - lo] = np.minimum(least[n - lo], part)
         out[doc[begin[lo:hi]]] = (least & np.uint64(0xFFFF)).astype(np.uint16)
         lo = hi
     return out
