@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import itertools
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -30,9 +31,9 @@ def release(spark: SparkSession, path: str) -> None:
 
 
 @contextlib.contextmanager
-def brief_shuffles(spark: SparkSession):
+def brief_shuffles(spark: SparkSession, rows: str = "1000"):
     """Shuffle files of the jobs inside go when each of them ends; batches for Python are small."""
-    wanted = {CLEANUP: "true", BATCH: "1000"}
+    wanted = {CLEANUP: "true", BATCH: rows}
     before = {k: v for k in wanted if (v := spark.conf.get(k, None)) is not None}
     for k in before:
         spark.conf.set(k, wanted[k])
@@ -51,6 +52,55 @@ def store(df: DataFrame, path: str, *by: str, parts: int | None = None) -> None:
         (w.partitionBy(*by) if by else w).parquet(path)
 
 
+def exchange(df: DataFrame, path: str, *by: str, parts: int) -> None:
+    """Like ``store`` by ``by`` with large rows, for ``read_part``, but the tasks write the files themselves.
+
+    Spark's writer has a JVM start other processes for each file of a local store
+    (for its mode), and for a moment each of them holds the JVM's memory again.
+    A file is moved to its place when it is whole, so that a second attempt of a
+    task leaves the same files.
+    """
+    schema = df.schema
+    rest = [f.name for f in schema if f.name not in by]
+
+    def write(batches):
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        where, base = fs.FileSystem.from_uri(path)
+        name = f"part-{TaskContext.get().partitionId():05d}.parquet"
+
+        def runs():
+            for b in batches:
+                keys = list(zip(*(b.column(k).to_pylist() for k in by)))
+                lo = 0
+                for key, own in itertools.groupby(keys):
+                    n = len(list(own))
+                    yield key, b.select(rest).slice(lo, n)
+                    lo += n
+
+        for key, own in itertools.groupby(runs(), lambda x: x[0]):
+            folder = "/".join([base, *(f"{k}={v}" for k, v in zip(by, key))])
+            where.create_dir(folder, recursive=True)
+            draft = f"{folder}/_{uuid.uuid4().hex}"
+            first = next(own)[1]
+            with where.open_output_stream(draft, compression=None) as out, pq.ParquetWriter(out, first.schema, compression="zstd", compression_level=3, use_dictionary=False, write_statistics=False) as w:
+                for b in itertools.chain([first], (x[1] for x in own)):
+                    w.write_batch(b)
+            try:
+                where.move(draft, f"{folder}/{name}")
+            except OSError:
+                if where.get_file_info(f"{folder}/{name}").type == fs.FileType.NotFound:
+                    raise
+                where.delete_file(draft)  # another attempt was first
+        yield from ()
+
+    with brief_shuffles(df.sparkSession, rows="64"):
+        sent = df.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(write, "n long")
+        sent.write.parquet(f"{path}/_done")  # no rows; shuffle files of a collect would stay
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read the files again."""
     spark = df.sparkSession

@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import brief_shuffles, by_split, fold, fresh_dir, materialize, read_part, release, spark_arrow_schema, store
+from .base import brief_shuffles, by_split, exchange, fold, fresh_dir, materialize, read_part, release, spark_arrow_schema
 from .restaurants import STRENGTH, SYMBOLS, Spelling, discount_of, predictive, seat, word_grams
 from .tokens import SPACED, mix, scan
 
@@ -66,6 +66,16 @@ def unpack(data: bytes, kind, rising: bool = False) -> np.ndarray:
     return np.cumsum(a, dtype=kind) if rising else a
 
 
+def distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, a place of each, and at each place the number of its value; by the quick sort, which keeps no order of equals."""
+    order = np.argsort(a)
+    new = np.ones(len(a), bool)
+    new[1:] = a[order[1:]] != a[order[:-1]]
+    number = np.empty(len(a), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return a[order[new]], order[new], number
+
+
 def stretches(batches, most: int):
     """(split, number in it, rows (doc_id, held_out, lower-cased bytes)) from columns doc_id, held_out, text, _split."""
     rows, size, where, sub = [], 0, None, 0
@@ -110,33 +120,36 @@ class Stretch:
         before[self.bounds[:-1]] = w
         pairs, pair = np.unique(before * w + self.ids, return_inverse=True)
         context, succ = np.divmod(pairs, w)
-        hashes = np.append(self.words, BOS)[context]
-        other = np.isin(hashes, np.append(hot, BOS))
+        every = np.append(self.words, BOS)
+        hashes, often = every[context], np.isin(every, hot)[context]
+        other = often | (every == BOS)[context]
         next_ = self.words & KEY
-        bucket = np.where(np.isin(hashes, hot), mix(hashes ^ mix(next_[succ])), hashes) >> shift
-        order = np.argsort((bucket << np.uint64(1)) | other, kind="stable")
+        bucket = hashes.copy()
+        bucket[often] = mix(hashes[often] ^ mix(next_[succ[often]]))
+        bucket >>= shift
+        by = (bucket << np.uint64(1)) | other
+        order = np.argsort(by.astype(np.uint16) if int(shift) >= 64 - 15 else by, kind="stable")  # numbers of 16 bits are sorted by digits
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        self.pair, self.bucket, self.context, self.succ = rank[pair], bucket[order], hashes[order], next_[succ[order]]
+        self.pair, self.bucket, self.context, self.succ, self.other = rank[pair], bucket[order], hashes[order], next_[succ[order]], other[order]
         self.new = np.ones(len(order), bool)  # where a context begins
         self.new[1:] = (self.context[1:] != self.context[:-1]) | (self.bucket[1:] != self.bucket[:-1])
         return self
 
-    def messages(self, shift: np.uint64, hot: np.ndarray):
+    def messages(self, shift: np.uint64):
         """(bucket, words, their bytes, counts, successors of each, other contexts, successors of each, successors, counts); counts in texts that learn."""
         raw = np.bincount(self.ids[self.learns], minlength=len(self.words)).astype(np.uint32)
         c = np.bincount(self.pair[self.learns], minlength=len(self.succ)).astype(np.uint32)
         at = np.flatnonzero(self.new)
         size = np.diff(np.append(at, len(self.new))).astype(np.uint32)
         owner = self.words >> shift
-        special = np.append(hot, BOS)
         shrink = zstandard.ZstdCompressor(level=1).compress
         for b in np.union1d(owner, self.bucket):
             w = slice(*(np.searchsorted(owner, b, side) for side in ("left", "right")))
             p = slice(*(np.searchsorted(self.bucket, b, side) for side in ("left", "right")))
             g = slice(*np.searchsorted(at, [p.start, p.stop]))
             words, context, sizes = self.words[w], self.context[at[g]], size[g]
-            n = len(context) - int(np.isin(context, special).sum())  # the usual ones, which are words of the bucket, come first
+            n = len(context) - int(self.other[at[g]].sum())  # the usual ones, which are words of the bucket, come first
             usual = np.zeros(len(words), np.uint32)
             usual[np.searchsorted(words, context[:n])] = sizes[:n]
             text = b" ".join([self.data[i:j] for i, j in zip(self.start[self.first[w]].tolist(), self.end[self.first[w]].tolist())])
@@ -164,7 +177,7 @@ class Bucket:
         if words:
             each = [unpack(r[2], np.uint64, True) for r in rows]
             self.word_bounds = np.cumsum([0, *map(len, each)])
-            self.words, first, self.word = np.unique(np.concatenate(each) if each else np.empty(0, np.uint64), return_index=True, return_inverse=True)
+            self.words, first, self.word = distinct(np.concatenate(each) if each else np.empty(0, np.uint64))
             self.raw = np.bincount(self.word, np.concatenate([unpack(r[4], np.uint32) for r in rows]) if rows else None, len(self.words))
             flat = list(itertools.chain.from_iterable(zstandard.decompress(r[3]).split(b" ") for r, e in zip(rows, each) if len(e)))
             self.text = [flat[i] for i in first.tolist()]
@@ -173,7 +186,7 @@ class Bucket:
             self.pair_bounds = np.cumsum([0, *map(len, context)])
             context, succ, c = (np.concatenate(x) if rows else np.empty(0, k) for x, k in ((context, np.uint64), ([unpack(r[8], np.uint64) for r in rows], np.uint64), ([unpack(r[9], np.uint32) for r in rows], np.uint32)))
             with np.errstate(over="ignore"):
-                _, first, self.pair = np.unique(mix(context * _PAIR + succ), return_index=True, return_inverse=True)
+                _, first, self.pair = distinct(mix(context * _PAIR + succ))
             self.c = np.bincount(self.pair, c, len(first))
             self.succ = succ[first]
             self.contexts, self.context = np.unique(context[first], return_inverse=True)
@@ -224,7 +237,7 @@ class Job:
                     while chunk := list(itertools.islice(rows, 32)):
                         yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*chunk), out)], schema=out)
 
-        store(self.spark.range(0, self.buckets, 1, self.buckets).mapInArrow(task, TOLD), folder, "kind", "bucket", parts=self.buckets)
+        exchange(self.spark.range(0, self.buckets, 1, self.buckets).mapInArrow(task, TOLD), folder, "kind", "bucket", parts=self.buckets)
         return folder
 
     def sums(self, folder: str) -> dict:
@@ -270,11 +283,11 @@ def score(docs: DataFrame, sub_bytes: int = SUB_BYTES, bucket_tokens: int = BUCK
 
     def ask(batches):
         for block, sub, rows in stretches(batches, sub_bytes):
-            it = ((m[0], block, sub, *m[1:]) for m in Stretch(rows).pair_up(shift, sent_hot.value).messages(shift, sent_hot.value))
+            it = ((m[0], block, sub, *m[1:]) for m in Stretch(rows).pair_up(shift, sent_hot.value).messages(shift))
             while chunk := list(itertools.islice(it, 32)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*chunk), message)], schema=message)
 
-    store(placed.mapInArrow(ask, MESSAGE), asks, "bucket", parts=buckets)
+    exchange(placed.mapInArrow(ask, MESSAGE), asks, "bucket", parts=buckets)
 
     def first(number):
         """To the words' owners: their contexts here. To the spelling groups: grams. To the driver: sums."""

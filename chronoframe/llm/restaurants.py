@@ -47,8 +47,8 @@ def seat(customers: np.ndarray, base: np.ndarray, rest: np.ndarray, discount: fl
         new = (strength + discount * (rest[live] + t[live])) * base[live]
         rare = (at >= MANY) & (new * RARE < at)
         many = np.flatnonzero(~rare)
-        take = np.cumsum(np.minimum(np.minimum(at, MANY), customers[live] - at)[many])  # some dishes at a time, for memory
-        parts = np.split(many, np.flatnonzero(np.diff(take // (8 * MANY))) + 1) if len(many) else []
+        take = np.cumsum(np.minimum(np.minimum(at, MANY), customers[live] - at)[many])  # some dishes at a time, for memory and the cores' caches
+        parts = np.split(many, np.flatnonzero(np.diff(take // MANY)) + 1) if len(many) else []
         for some, way in (*((x, _by_repetition) for x in parts), (np.flatnonzero(rare), _by_inversion)):
             if len(some):
                 k = live[some]
@@ -184,17 +184,20 @@ class Spelling:
 
 def word_grams(words: list[bytes], order: int, chunk: int = 1 << 20):
     """(grams, word): for each byte of each word and its end (a space) the ``order`` bytes before it and it; in chunks."""
+    if not words:
+        return
     pad = b" " * order
-    run = np.frombuffer(b"".join(pad + w + b" " for w in words), np.uint8)
-    size = np.array([len(w) + 1 + order for w in words], np.int64)
-    first = np.cumsum(size) - size  # where each word's padding begins
-    for lo in range(0, len(run), chunk):
-        hi = min(len(run), lo + chunk)
-        at = np.arange(lo, hi)
-        word = np.searchsorted(first, at, "right") - 1
-        inside = at - first[word] >= order
-        at, word = at[inside], word[inside]
-        g = np.zeros(len(at), np.uint64)
+    run = np.frombuffer(pad + pad + (b" " + pad).join(words) + b" ", np.uint8)  # ``order`` bytes more in front
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 1 + order
+    end = np.cumsum(size)
+    first = end - size  # where each word's padding begins
+    for lo in range(0, len(run) - order, chunk):
+        hi = min(len(run) - order, lo + chunk)
+        some = slice(np.searchsorted(first, lo, "right") - 1, np.searchsorted(first, hi - 1, "right"))
+        word = np.repeat(np.arange(some.start, some.stop), np.minimum(end[some], hi) - np.maximum(first[some], lo))
+        inside = np.arange(lo, hi) - first[word] >= order
+        g = np.zeros(hi - lo, np.uint64)
         for k in range(order, -1, -1):
-            g = (g << np.uint64(8)) | run[at - k]
-        yield g, word
+            g <<= np.uint64(8)
+            g |= run[lo + order - k : hi + order - k]
+        yield g[inside], word[inside]

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from chronoframe.llm import decontam, fingerprint, graph, html, jaccard, language, lines, packing, pitman_yor, restaurants, tokens, toxicity, warc
+from chronoframe.llm import base, decontam, fingerprint, graph, html, jaccard, language, lines, packing, pitman_yor, restaurants, tokens, toxicity, warc
 
 
 # --- packing
@@ -198,6 +198,39 @@ def test_stretches_and_buckets_change_nothing(spark):
         assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-9 and abs(a[6] - b[6]) < 0.1 * a[2] + 0.1
 
 
+def test_messages_are_written_by_the_tasks(spark, monkeypatch):
+    """Spark's writer starts processes for the mode of each file, and their memory counts with the executor's."""
+    made, real = [], pitman_yor.fresh_dir
+    monkeypatch.setattr(pitman_yor, "fresh_dir", lambda s, tag: made.append(real(s, tag)) or made[-1])
+    monkeypatch.setattr(pitman_yor, "release", lambda *_: None)
+    docs = spark.createDataFrame([(i, f"w{i % 17} the") for i in range(80)], "doc_id long, text string")
+    assert pitman_yor.score(docs, bucket_tokens=20).count() == 80
+    names = [f for d in made for at, _, files in os.walk(d.removeprefix("file://")) if "/_done" not in at for f in files]
+    assert len(made) == 6 and len(names) > 20 and all(f.startswith("part-") and f.endswith(".parquet") for f in names)
+
+
+def test_exchanged_rows_are_whole(spark):
+    rows = [(i % 5, i % 3, bytes([i % 256]) * (i % 400)) for i in range(2000)]
+    path = base.fresh_dir(spark, "exchanged")
+    for _ in range(2):  # a second attempt leaves the same
+        base.exchange(spark.createDataFrame(rows, "kind int, bucket long, a binary"), path, "kind", "bucket", parts=4)
+    for kind in range(5):
+        for bucket in range(3):
+            t = base.read_part(f"{path}/kind={kind}", "bucket", bucket, ["a"])
+            assert sorted(t.column("a").to_pylist()) == sorted(r[2] for r in rows if r[:2] == (kind, bucket))
+    assert spark.read.parquet(path).count() == 2000 and base.read_part(f"{path}/kind=0", "bucket", 7, ["a"]) is None
+
+
+def test_distinct_values_and_grams():
+    a = np.random.default_rng(3).integers(0, 50, 400).astype(np.uint64)
+    values, first, number = pitman_yor.distinct(a)
+    assert (values == np.unique(a)).all() and (a[first] == values).all() and (values[number] == a).all()
+    words = [b"", b"a", b"x" * 50, "größe".encode()]
+    plain = [(int.from_bytes((b" " * 6 + w + b" ")[k : k + 7], "big"), i) for i, w in enumerate(words) for k in range(len(w) + 1)]
+    for chunk in (1, 7, 1 << 20):
+        assert [x for g, w in restaurants.word_grams(words, 6, chunk) for x in zip(g.tolist(), w.tolist())] == plain
+
+
 # --- decontamination
 
 
