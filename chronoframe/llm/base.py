@@ -98,7 +98,7 @@ def exchange(df: DataFrame, path: str, *by: str, parts: int) -> None:
 
     with brief_shuffles(df.sparkSession, rows="64"):
         sent = df.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(write, "n long")
-        sent.write.parquet(f"{path}/_done")  # no rows; shuffle files of a collect would stay
+        sent.write.mode("overwrite").parquet(f"{path}/_done")  # no rows; shuffle files of a collect would stay
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
