@@ -26,9 +26,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Memo, fold, free_name, map_rows, word_of
+from .base import fold, free_name, map_rows, word_of
 
 BUCKETS, DIM, WINDOW, THRESHOLD = 1 << 17, 8, 8, 0.3
+#: Chunks whose logits a task knows at most, but for those of a million characters.
+KNOWN = 600_000
 #: The highest logit of words of which nothing is known (a score of 0.2): few documents are toxic.
 UNKNOWN = float(np.log(0.2 / 0.8))
 
@@ -42,6 +44,37 @@ def grams(word: str) -> list[int]:
     return out
 
 
+#: The usual table of CRC-32, by byte.
+_CRC = np.array([zlib.crc32(bytes([k])) ^ zlib.crc32(b"\0") for k in range(256)], np.uint32)
+
+
+def gram_table(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ``grams`` of many words at once, and the number of the word of each, in no particular order."""
+    data = np.frombuffer("".join([f"<{w}>" for w in words]).encode(errors="surrogatepass"), np.uint8)
+    start = np.flatnonzero((data & 0xC0) != 0x80)  # of characters
+    width = np.diff(start, append=len(data))
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(start))  # characters of the word from each one on
+    word = np.repeat(np.arange(len(words)), size)
+    crc, at = np.full(len(start), 0xFFFFFFFF, np.uint32), np.arange(len(start))
+    found = [np.fromiter((zlib.crc32(f"<{w}>".encode(errors="surrogatepass")) for w in words), np.uint32, len(words))]
+    owner = [np.arange(len(words))]
+    for n in range(5):  # each character's value goes on by the character n places after it
+        some = left[at] > n
+        crc, at = crc[some], at[some]
+        begin, wide = start[at + n], width[at + n]
+        for k in range(int(wide.max(initial=0))):
+            on = wide > k
+            if on.all():
+                crc = _CRC[(crc ^ data[begin + k]) & 0xFF] ^ (crc >> np.uint32(8))
+            else:
+                crc[on] = _CRC[(crc[on] ^ data[begin[on] + k]) & 0xFF] ^ (crc[on] >> np.uint32(8))
+        if n >= 2:
+            found.append(~crc)
+            owner.append(word[at])
+    return np.concatenate(found) % np.uint32(BUCKETS), np.concatenate(owner)
+
+
 @dataclass
 class Model:
     """Logit of each bucket after the softmax layer, and of the empty window."""
@@ -53,6 +86,22 @@ class Model:
         word = word_of(chunk)
         return float(self.bucket_logit[grams(word)].mean()) if word else 0.0
 
+    def chunk_logits(self, chunks: list[str], most: int = 1 << 14) -> np.ndarray:
+        """``word_logit`` of many chunks, some at a time."""
+        out = np.zeros(len(chunks))
+        words = [word_of(c) for c in chunks]
+        lo = 0
+        while lo < len(words):
+            hi, size = lo, 0
+            while hi < len(words) and (hi == lo or size + len(words[hi]) + 2 <= 8 * most):
+                size += len(words[hi]) + 2
+                hi += 1
+            bucket, owner = gram_table(words[lo:hi])
+            total = np.bincount(owner, self.bucket_logit[bucket], hi - lo) / np.bincount(owner, minlength=hi - lo)
+            out[lo:hi] = np.where([bool(w) for w in words[lo:hi]], total, 0.0)
+            lo = hi
+        return out
+
 
 def windows(logits: np.ndarray, size: int = WINDOW) -> np.ndarray:
     starts = np.arange(0, len(logits), size)
@@ -166,17 +215,32 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, threshol
 
     def make():
         m = sent.value
-        logit = Memo(m.word_logit, 600_000)
+        logit: dict[str, float] = {}  # of the chunks known so far
+
+        def highest(texts):
+            """Logits of some texts; new chunks are looked at together."""
+            split = [t.split() for t in texts]
+            new = [c for c in set().union(*split) if c not in logit]
+            if len(logit) + len(new) > KNOWN:
+                logit.clear()
+                new = list(set().union(*split))
+            logit.update(zip(new, m.chunk_logits(new).tolist()))
+            get = logit.__getitem__
+            return [m.bias + float(windows(np.fromiter(map(get, words), np.float32, len(words))).max()) if words else -60.0 for words in split]
 
         def rows(texts, *columns):
-            for text, *row in zip(texts, *columns):
-                words = (text or "").split()
-                z = -60.0
-                if words:
-                    z = m.bias + float(windows(np.fromiter(map(logit.__getitem__, words), np.float32, len(words))).max())
-                s = 1 / (1 + np.exp(-min(60.0, max(-60.0, z))))
-                if threshold is None or s < threshold:
-                    yield (*row, float(s))
+            texts = [t or "" for t in texts]
+            lo = 0
+            while lo < len(texts):  # texts of about a million characters
+                hi, size = lo, 0
+                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= 1 << 20):
+                    size += len(texts[hi])
+                    hi += 1
+                for z, *row in zip(highest(texts[lo:hi]), *(c[lo:hi] for c in columns)):
+                    s = 1 / (1 + np.exp(-min(60.0, max(-60.0, z))))
+                    if threshold is None or s < threshold:
+                        yield (*row, float(s))
+                lo = hi
 
         return rows
 
