@@ -171,6 +171,18 @@ def spark_arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
+def groups(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of at most ``most`` characters, or one longer text each."""
+    lo = size = 0
+    for k, t in enumerate(texts):
+        if k > lo and size + len(t) > most:
+            yield lo, k
+            lo, size = k, 0
+        size += len(t)
+    if texts:
+        yield lo, len(texts)
+
+
 class Memo(dict):
     """A dictionary that fills itself and starts anew at ``limit`` entries."""
 

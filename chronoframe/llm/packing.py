@@ -18,18 +18,30 @@ import os
 import re
 import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterable, Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import Memo, by_split, fresh_dir, map_rows, materialize, read_part, spark_arrow_schema, store
+from .base import Memo, by_split, fresh_dir, groups, map_rows, materialize, read_part, spark_arrow_schema, store
 
 CAP, END_ID, OPEN = 4096, 1, 50
+#: Words and chunks that a worker knows at most, but for those of a million characters.
+WORDS, CHUNKS, PARTS = 60_000, 90_000, 350_000
+#: Anything but ASCII, Latin letters that are one letter each when lower-cased, and the usual white space; or a special token.
+_OTHER = re.compile("[^\t-\r -~À-ÖØ-öø-ÿĀ-įıĲ-ňŊ-ž]|<\\|")
+#: Of ASCII texts.
+_ODD = re.compile("[\0-\x08\x0e-\x1f\x7f]|<\\|")
+#: The tokenizer's own parts of such a text.
+_PART = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿā-ž]+|[0-9]|[^\\sa-z0-9ß-öø-ÿā-ž]+")
+#: ASCII marks that are never in a token with letters before them; an apostrophe can be.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
@@ -37,9 +49,11 @@ class WordIds:
     """Token ids of a text, put together from the ids of its chunks.
 
     The tokenizer drops white space and no token spans it, so the ids of a text
-    are those of its white-space-delimited chunks in turn; letters-only chunks
-    go straight to the BPE model. Texts with the separators that ``str.split``
-    and the tokenizer see differently go through the tokenizer whole.
+    are those of its white-space-delimited chunks in turn; letters, apart from the
+    marks after them, go straight to the BPE model. Texts of ASCII and Latin letters
+    alone are lower-cased and taken apart at once, as the tokenizer does it. Other
+    texts with the separators that ``str.split`` and the tokenizer see differently
+    go through the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -51,8 +65,9 @@ class WordIds:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.bytes_as = {**{b: b for b in plain}, **{b: 256 + k for k, b in enumerate(rest)}}
-        self.words = Memo(self._word, 100_000)
-        self.chunks = Memo(self._chunk, 400_000)
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.parts = Memo(self._part, PARTS)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -60,22 +75,53 @@ class WordIds:
     def _word(self, word: str) -> bytes:
         if not word.isalpha():
             return self._whole(word)
-        low = unicodedata.normalize("NFC", word).lower()
+        if word.isascii():
+            return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        low = "".join(map(str.lower, unicodedata.normalize("NFC", word)))  # letter by letter: a last sigma is like the others
         if not low.isalpha():  # lower-casing can make a combining mark
             return self._whole(word)
         spelled = low.encode().decode("latin-1").translate(self.bytes_as)
-        return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        word = chunk[:-1]
-        if chunk[-1] in ".," and word.isalpha():
-            return self.words[word] + self.words[chunk[-1]]
-        return self.words[chunk]
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Makes all of them known: letters with marks after them as two words, any other chunk as one."""
+        new = [c for c in chunks if c not in self.chunks]
+        if len(self.chunks) + len(new) > CHUNKS:
+            self.chunks.clear()
+            new = list(chunks)
+        bare = [c.rstrip(_MARKS) for c in new]
+        bare = [w if w.isalpha() and (w.isascii() or "".join(map(str.lower, w)).isalpha()) else c for w, c in zip(bare, new)]
+        marks = [c[len(w) :] for w, c in zip(bare, new)]
+        bare = [w.lower() if w.isascii() and w.isalpha() else w for w in bare]
+        every = {*bare, *marks} - {""}
+        need = [w for w in every if w not in self.words]
+        if len(self.words) + len(need) > WORDS:
+            self.words.clear()
+            need = list(every)
+        self.words.update(zip(need, map(self._word, need)))
+        self.words[""] = b""
+        get = self.words.__getitem__
+        self.chunks.update(zip(new, map(add, map(get, bare), map(get, marks))))
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Ids of some texts; their new chunks are looked at together."""
+        latin = [t.isascii() and not _ODD.search(t) or not _OTHER.search(t) for t in texts]
+        split = [[] if plain or _ODD_SPACE.search(t) else t.split() for plain, t in zip(latin, texts)]
+        self._learn(set().union(*split))
+        of_chunk, of_part = self.chunks.__getitem__, self.parts.__getitem__
+        made = []
+        for plain, t, chunks in zip(latin, texts, split):
+            if plain:
+                made.append(b"".join(map(of_part, _PART.findall(t.lower()))))
+            else:
+                made.append(b"".join(map(of_chunk, chunks)) if chunks else self._whole(t))
+        return made
+
+    def _part(self, part: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.bytes_as))]).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):
-            return self._whole(text)
-        return b"".join(map(self.chunks.__getitem__, text.split()))
+        return self.many([text])[0]
 
 
 _known: dict[str, WordIds] = {}
@@ -97,8 +143,10 @@ def pieces(docs: DataFrame, tokenizer: str, cap: int = CAP, end_id: int = END_ID
         ids_of = word_ids(tokenizer)
 
         def rows(doc_ids, texts):
-            for doc_id, text in zip(doc_ids, texts):
-                ids = ids_of(text or "") + end
+            texts = [t or "" for t in texts]
+            made = (x for lo, hi in groups(texts) for x in ids_of.many(texts[lo:hi]))
+            for doc_id, ids in zip(doc_ids, made):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     yield (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), *([part] if keep_ids else []))

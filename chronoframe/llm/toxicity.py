@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import fold, free_name, map_rows, word_of
+from .base import fold, free_name, groups, map_rows, word_of
 
 BUCKETS, DIM, WINDOW, THRESHOLD = 1 << 17, 8, 8, 0.3
 #: Chunks whose logits a task knows at most, but for those of a million characters.
@@ -230,17 +230,11 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, threshol
 
         def rows(texts, *columns):
             texts = [t or "" for t in texts]
-            lo = 0
-            while lo < len(texts):  # texts of about a million characters
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= 1 << 20):
-                    size += len(texts[hi])
-                    hi += 1
+            for lo, hi in groups(texts):
                 for z, *row in zip(highest(texts[lo:hi]), *(c[lo:hi] for c in columns)):
                     s = 1 / (1 + np.exp(-min(60.0, max(-60.0, z))))
                     if threshold is None or s < threshold:
                         yield (*row, float(s))
-                lo = hi
 
         return rows
 

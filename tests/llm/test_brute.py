@@ -65,6 +65,26 @@ def test_special_tokens_as_the_plain_call_has_them():
         assert np.frombuffer(ids(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
+def test_known_words_with_new_marks(monkeypatch):
+    """A word's letters are tokenized once, whatever marks come after them; groups and full tables change nothing."""
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    plain, ids, asked = Tokenizer.from_file(path), packing.WordIds(path), []
+    monkeypatch.setattr(ids, "_word", lambda w, f=ids._word: asked.append(w) or f(w))
+    texts = ["river River, RIVER*** river!? river_", "ΟΔΟΣ, ΟΔΟΣ οδος Größe,$$$ e\u0301!", "it's it's, it'S. '' a' a'*", "a<\u0338 x3. 3x, <|endoftext|>, a\x1cb", "", "İ. ǅ; ﬁ! 語, _ __a", "Ÿ Ærø's ıĲ'Re x'll'D 12a3 Łódź--ŉ ß'S'm \t\x0b_a", "".join(map(chr, range(9, 14))).join(map(chr, range(32, 384)))]
+    texts += [chr(c) + "." + chr(c) for c in range(32, 0x250)]
+    got = ids.many(texts)
+    assert not any("river" in w for w in asked) and [w for w in ids.parts if "river" in w] == ["river"]
+    for most in (1000, 3):
+        for name in ("WORDS", "CHUNKS"):
+            monkeypatch.setattr(packing, name, most)
+        ids.parts.limit = most
+        for t, x, y in zip(texts, got, [ids(t) for t in texts]):
+            assert np.frombuffer(x, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids and x == y
+    assert list(base.groups(["ab", "c", "", "defg", "h"], 3)) == [(0, 3), (3, 4), (4, 5)] and not list(base.groups([]))
+
+
 # --- tokens
 
 
