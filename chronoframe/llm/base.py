@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import itertools
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -160,10 +161,20 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
                 rows = iter(f(*(c.to_pylist() for c in part.columns)))
                 while chunk := list(itertools.islice(rows, batch)):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*chunk), out)], schema=out)
+            b = part = rows = chunk = None  # not kept while the next batch comes
+        f = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """In a task: memory that is free in this worker goes back to the system, as the worker stays."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def spark_arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

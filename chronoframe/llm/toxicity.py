@@ -30,7 +30,7 @@ from .base import fold, free_name, groups, map_rows, word_of
 
 BUCKETS, DIM, WINDOW, THRESHOLD = 1 << 17, 8, 8, 0.3
 #: Chunks whose logits a task knows at most, but for those of a million characters.
-KNOWN = 600_000
+KNOWN = 200_000
 #: The highest logit of words of which nothing is known (a score of 0.2): few documents are toxic.
 UNKNOWN = float(np.log(0.2 / 0.8))
 
@@ -211,6 +211,8 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, threshol
     """``keep`` columns (doc_id by default) and score; with ``threshold`` only rows scored below it."""
     keep = keep or ["doc_id"]
     name = free_name(keep, "score")
+    columns = keep if "text" in keep else [*keep, "text"]
+    at = columns.index("text")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -228,10 +230,10 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, threshol
             get = logit.__getitem__
             return [m.bias + float(windows(np.fromiter(map(get, words), np.float32, len(words))).max()) if words else -60.0 for words in split]
 
-        def rows(texts, *columns):
-            texts = [t or "" for t in texts]
+        def rows(*got):
+            texts = [t or "" for t in got[at]]
             for lo, hi in groups(texts):
-                for z, *row in zip(highest(texts[lo:hi]), *(c[lo:hi] for c in columns)):
+                for z, *row in zip(highest(texts[lo:hi]), *(c[lo:hi] for c in got[: len(keep)])):
                     s = 1 / (1 + np.exp(-min(60.0, max(-60.0, z))))
                     if threshold is None or s < threshold:
                         yield (*row, float(s))
@@ -239,7 +241,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, threshol
         return rows
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", `{name}` double"
-    return map_rows(docs.select(F.col("text").alias("_text"), *[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(keep)]), make, schema)
+    return map_rows(docs.select(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(columns)]), make, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_pos: int = 2000, max_neg: int = 3000) -> Model:

@@ -502,3 +502,20 @@ def test_new_words_take_little_time():
     slow, t = time.process_time() - t, time.process_time()
     m.chunk_logits(words)
     assert 3 * (time.process_time() - t) < slow
+
+
+def test_toxicity_sends_each_text_once(spark, monkeypatch):
+    def sizes(df, make, schema):
+        def first():
+            make()
+            return lambda *got: [(len(got), len(got[0]))]
+
+        return base.map_rows(df, first, "columns long, n long")
+
+    docs = spark.range(3000).selectExpr("id doc_id", "concat('text ', id) text", "'s' source").coalesce(1)
+    m = toxicity.fit(["bad idiot words", "fine words"] * 9, [1, 0] * 9, steps=20)
+    plain = {(r.doc_id, r.text): r.score for r in toxicity.score(docs, m, docs.columns).collect()}
+    assert len(plain) == 3000 and plain == {(r.doc_id, f"text {r.doc_id}"): r.score for r in toxicity.score(docs, m).collect()}
+    monkeypatch.setattr(toxicity, "map_rows", sizes)
+    sent = toxicity.score(docs, m, docs.columns).collect()
+    assert sum(r.n for r in sent) == 3000 and {r.columns for r in sent} == {3}
