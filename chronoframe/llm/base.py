@@ -140,7 +140,7 @@ def read_part(folder: str, column: str, value: int, names: list[str]) -> pa.Tabl
         found = sorted(f.path for f in where.get_file_info(fs.FileSelector(base)) if f.path.endswith(".parquet"))
     except FileNotFoundError:
         return None
-    parts = [pq.ParquetFile(where.open_input_file(f)).read(columns=names) for f in found]
+    parts = [pq.ParquetFile(where.open_input_file(f)).read(columns=names, use_threads=False) for f in found]
     return pa.concat_tables(parts) if parts else None
 
 

@@ -42,12 +42,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import brief_shuffles, by_split, exchange, fold, fresh_dir, materialize, read_part, release, spark_arrow_schema
+from .base import brief_shuffles, by_split, exchange, fold, fresh_dir, give_back, materialize, read_part, release, spark_arrow_schema
 from .restaurants import STRENGTH, SYMBOLS, Spelling, discount_of, predictive, seat, word_grams
-from .tokens import SPACED, mix, scan
+from .tokens import SPACED, distinct, distinct_near, in_order, mix, scan
 
 ORDER, SWEEPS, BURN = 6, 8, 3
 SUB_BYTES, BUCKET_TOKENS = 8 << 20, 1_500_000
+#: Bytes whose hashes are computed together in a core's cache.
+SEGMENT = 1 << 16
 BOS, END = np.uint64(0xB05), np.uint64(0x5EED << 20)
 _PAIR = np.uint64(0xD1B54A32D192ED03)
 #: Successors are known by these bits of their hash.
@@ -56,24 +58,37 @@ KEY = np.uint64(~0xFFFF & (1 << 64) - 1)
 
 def pack(a: np.ndarray, rising: bool = False) -> bytes:
     """Bytes of one significance together, so that small numbers compress; of rising numbers the differences."""
-    a = np.diff(a, prepend=a.dtype.type(0)) if rising else a
-    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+    a = np.diff(a, prepend=a.dtype.type(0)) if rising else np.ascontiguousarray(a)
+    out = np.empty((a.itemsize, len(a)), np.uint8)
+    out[:] = a.view(np.uint8).reshape(len(a), a.itemsize).T
+    return out.tobytes()
 
 
 def unpack(data: bytes, kind, rising: bool = False) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    a = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    planes = np.frombuffer(data, np.uint8).reshape(size, -1)
+    a = np.empty(planes.shape[1], kind)
+    each = a.view(np.uint8).reshape(-1, size)
+    for k in range(size):
+        each[:, k] = planes[k]
     return np.cumsum(a, dtype=kind) if rising else a
 
 
-def distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct values in order, a place of each, and at each place the number of its value; by the quick sort, which keeps no order of equals."""
-    order = np.argsort(a)
-    new = np.ones(len(a), bool)
-    new[1:] = a[order[1:]] != a[order[:-1]]
-    number = np.empty(len(a), np.int64)
-    number[order] = np.cumsum(new) - 1
-    return a[order[new]], order[new], number
+def joined(data: bytes, first: np.ndarray, last: np.ndarray, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of ``data`` from each first to its last one after another, and their ends; some at a time, for memory."""
+    buf, size = np.frombuffer(data, np.uint8), last - first
+    ends = np.cumsum(size)
+    out, lo = np.empty(int(size.sum()), np.uint8), 0
+    while lo < len(size):
+        begin = ends[lo] - size[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, begin + block, "right")))
+        k = slice(lo, hi)
+        if hi == lo + 1:
+            out[begin : ends[lo]] = buf[first[lo] : last[lo]]
+        else:
+            out[begin : ends[hi - 1]] = buf.take(np.arange(begin, ends[hi - 1]) + np.repeat(last[k] - ends[k], size[k]))
+        lo = hi
+    return out, ends
 
 
 def stretches(batches, most: int):
@@ -81,12 +96,14 @@ def stretches(batches, most: int):
     rows, size, where, sub = [], 0, None, 0
     for b in batches:
         for lo in range(0, b.num_rows, 256):
-            for doc_id, held, text, block in zip(*(c.to_pylist() for c in b.slice(lo, 256).columns)):
+            ids, helds, texts, blocks = b.slice(lo, 256).columns
+            texts = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
+            for doc_id, held, text, block in zip(*(c.to_pylist() for c in (ids, helds, texts, blocks))):
                 if block != where:
                     if rows:
                         yield where, sub, rows
                     rows, size, where, sub = [], 0, block, 0
-                rows.append((doc_id, held, (text or "").encode(errors="replace").lower()))
+                rows.append((doc_id, held, (text or b"").lower()))
                 size += len(rows[-1][2])
                 if size >= most:
                     yield where, sub, rows
@@ -100,15 +117,14 @@ class Stretch:
 
     def __init__(self, rows: list[tuple]):
         self.data = b" ".join(r[2] for r in rows) + b" "
-        h, start, end = scan(self.data, SPACED)
+        h, start, end = scan(self.data, SPACED, SEGMENT)
         n = np.searchsorted(start, np.cumsum([len(r[2]) + 1 for r in rows]))
         tok = np.insert(h, n, END)
         self.start, self.end = np.insert(start, n, 0), np.insert(end, n, 0)
         self.bounds = np.concatenate([[0], n + np.arange(1, len(rows) + 1)])
         self.learns = np.repeat([not r[1] for r in rows], np.diff(self.bounds))
         del h, start, end
-        order = np.argsort(tok)
-        tok = tok[order]
+        order, tok = in_order(tok)
         new = np.concatenate([[True], tok[1:] != tok[:-1]])
         self.words, self.first, self.ids = tok[new], order[new], np.empty(len(tok), np.int32)
         self.ids[order] = np.cumsum(new) - 1
@@ -118,8 +134,14 @@ class Stretch:
         before = np.empty(len(self.ids), np.int64)
         before[1:] = self.ids[:-1]
         before[self.bounds[:-1]] = w
-        pairs, pair = np.unique(before * w + self.ids, return_inverse=True)
-        context, succ = np.divmod(pairs, w)
+        bits = w.bit_length()
+        before <<= bits
+        before |= self.ids
+        at, pairs = in_order(before)
+        new = np.ones(len(at), bool)
+        new[1:] = pairs[1:] != pairs[:-1]
+        pair, pairs = np.cumsum(new) - 1, pairs[new]
+        context, succ = pairs >> bits, pairs & ((1 << bits) - 1)
         every = np.append(self.words, BOS)
         hashes, often = every[context], np.isin(every, hot)[context]
         other = often | (every == BOS)[context]
@@ -131,7 +153,9 @@ class Stretch:
         order = np.argsort(by.astype(np.uint16) if int(shift) >= 64 - 15 else by, kind="stable")  # numbers of 16 bits are sorted by digits
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        self.pair, self.bucket, self.context, self.succ, self.other = rank[pair], bucket[order], hashes[order], next_[succ[order]], other[order]
+        self.pair = before
+        self.pair[at] = rank[pair]
+        self.bucket, self.context, self.succ, self.other = bucket[order], hashes[order], next_[succ[order]], other[order]
         self.new = np.ones(len(order), bool)  # where a context begins
         self.new[1:] = (self.context[1:] != self.context[:-1]) | (self.bucket[1:] != self.bucket[:-1])
         return self
@@ -144,6 +168,10 @@ class Stretch:
         size = np.diff(np.append(at, len(self.new))).astype(np.uint32)
         owner = self.words >> shift
         shrink = zstandard.ZstdCompressor(level=1).compress
+        last = self.end[self.first] + 1  # with a space after each
+        text, ends = joined(self.data, self.start[self.first], last)
+        text[ends - 1] = 32
+        ends = np.concatenate([[0], ends])
         for b in np.union1d(owner, self.bucket):
             w = slice(*(np.searchsorted(owner, b, side) for side in ("left", "right")))
             p = slice(*(np.searchsorted(self.bucket, b, side) for side in ("left", "right")))
@@ -152,8 +180,7 @@ class Stretch:
             n = len(context) - int(self.other[at[g]].sum())  # the usual ones, which are words of the bucket, come first
             usual = np.zeros(len(words), np.uint32)
             usual[np.searchsorted(words, context[:n])] = sizes[:n]
-            text = b" ".join([self.data[i:j] for i, j in zip(self.start[self.first[w]].tolist(), self.end[self.first[w]].tolist())])
-            yield int(b), pack(words, True), shrink(text), pack(raw[w]), pack(usual), pack(context[n:]), pack(sizes[n:]), pack(self.succ[p]), pack(c[p])
+            yield int(b), pack(words, True), shrink(text[ends[w.start] : max(ends[w.start], ends[w.stop] - 1)].tobytes()), pack(raw[w]), pack(usual), pack(context[n:]), pack(sizes[n:]), pack(self.succ[p]), pack(c[p])
 
 
 MESSAGE = "bucket long, block long, sub int, words binary, text binary, raw binary, usual binary, context binary, size binary, succ binary, c binary"
@@ -169,7 +196,7 @@ def told(kind, bucket, src, n0=0, n1=0, n2=0, n3=0, x=0.0, a=b"", b=b"", c=b""):
 class Bucket:
     """What all stretches sent to one bucket: distinct words with counts, distinct pairs with counts."""
 
-    def __init__(self, folder: str, number: int, words: bool = True, pairs: bool = True):
+    def __init__(self, folder: str, number: int, words: bool = True, pairs: bool = True, text: bool = True):
         names = [f.split()[0] for f in MESSAGE.split(", ")][1:]
         t = read_part(folder, "bucket", number, names)
         rows = sorted(zip(*(t.column(n).to_pylist() for n in names))) if t else []
@@ -179,6 +206,7 @@ class Bucket:
             self.word_bounds = np.cumsum([0, *map(len, each)])
             self.words, first, self.word = distinct(np.concatenate(each) if each else np.empty(0, np.uint64))
             self.raw = np.bincount(self.word, np.concatenate([unpack(r[4], np.uint32) for r in rows]) if rows else None, len(self.words))
+        if words and text:
             flat = list(itertools.chain.from_iterable(zstandard.decompress(r[3]).split(b" ") for r, e in zip(rows, each) if len(e)))
             self.text = [flat[i] for i in first.tolist()]
         if pairs:
@@ -189,28 +217,33 @@ class Bucket:
                 _, first, self.pair = distinct(mix(context * _PAIR + succ))
             self.c = np.bincount(self.pair, c, len(first))
             self.succ = succ[first]
-            self.contexts, self.context = np.unique(context[first], return_inverse=True)
+            self.contexts, _, self.context = distinct(context[first])
             del succ, c, context
             self.size = np.bincount(self.context, self.c, len(self.contexts))
             # the distinct successors, how many contexts each has, and whether it occurs twice or more after one
             seen = self.c > 0
-            self.next, of = np.unique(self.succ[seen], return_inverse=True)
+            self.next, _, of = distinct(self.succ[seen])
+            self.of = np.zeros(len(self.c), np.int64)  # of those pairs only
+            self.of[seen] = of
             self.n_contexts = np.bincount(of, minlength=len(self.next))
             self.needed = np.bincount(of, self.c[seen] > 1, len(self.next)) > 0
 
 
 def gram_groups(words: list[bytes], learned: np.ndarray, groups: int):
-    """Distinct grams of the words, how many learned words' places each has, their order by group, and the groups' bounds."""
-    found, counts = [np.empty(0, np.uint64)], [np.empty(0)]
+    """Distinct grams of the words, how many learned words' places each has, their order by group, the groups' bounds, and the gram of each place."""
+    found, counts, places = [np.empty(0, np.uint64)], [np.empty(0)], [np.empty(0, np.int32)]
+    total = 0
     for g, word in word_grams(words, ORDER):
-        u, inverse = np.unique(g, return_inverse=True)
-        found.append(u)
-        counts.append(np.bincount(inverse, learned[word], len(u)))
-    grams, inverse = np.unique(np.concatenate(found), return_inverse=True)
-    n = np.bincount(inverse, np.concatenate(counts), len(grams))
+        _, first, number = distinct(mix(g))
+        found.append(g[first])
+        counts.append(np.bincount(number, learned[word], len(first)))
+        places.append((number + total).astype(np.int32))
+        total += len(first)
+    grams, _, number = distinct_near(np.concatenate(found))
+    n = np.bincount(number, np.concatenate(counts), len(grams))
     group = (mix((grams >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(groups)).astype(np.int64)
-    order = np.argsort(group, kind="stable")
-    return grams, n, order, np.searchsorted(group[order], np.arange(groups + 1))
+    order = np.argsort(group.astype(np.uint16) if groups <= 1 << 16 else group, kind="stable")
+    return grams, n, order, np.searchsorted(group[order], np.arange(groups + 1)), number.astype(np.int32)[np.concatenate(places)]
 
 
 def spread(values: np.ndarray, shift: np.uint64):
@@ -236,6 +269,8 @@ class Job:
                     rows = f(number)
                     while chunk := list(itertools.islice(rows, 32)):
                         yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*chunk), out)], schema=out)
+            rows = chunk = None
+            give_back()
 
         exchange(self.spark.range(0, self.buckets, 1, self.buckets).mapInArrow(task, TOLD), folder, "kind", "bucket", parts=self.buckets)
         return folder
@@ -265,7 +300,7 @@ def score(docs: DataFrame, sub_bytes: int = SUB_BYTES, bucket_tokens: int = BUCK
     def frequent(batches):
         """(hash, count) of words and text starts with a 4096th of a stretch, and of all as a null hash."""
         for _, _, rows in stretches(batches, sub_bytes):
-            words, n = np.unique(scan(b" ".join(r[2] for r in rows), SPACED)[0], return_counts=True)
+            words, n = np.unique(scan(b" ".join(r[2] for r in rows), SPACED, SEGMENT)[0], return_counts=True)
             total = int(n.sum()) + len(rows)
             some = np.flatnonzero(n * 4096 >= total)
             h = [*words[some].view(np.int64).tolist(), int(BOS), int(END), None]
@@ -286,6 +321,8 @@ def score(docs: DataFrame, sub_bytes: int = SUB_BYTES, bucket_tokens: int = BUCK
             it = ((m[0], block, sub, *m[1:]) for m in Stretch(rows).pair_up(shift, sent_hot.value).messages(shift))
             while chunk := list(itertools.islice(it, 32)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*chunk), message)], schema=message)
+            it = chunk = rows = None
+        give_back()
 
     exchange(placed.mapInArrow(ask, MESSAGE), asks, "bucket", parts=buckets)
 
@@ -294,7 +331,7 @@ def score(docs: DataFrame, sub_bytes: int = SUB_BYTES, bucket_tokens: int = BUCK
         s = Bucket(asks, number)
         for b, at in spread(s.next, shift):
             yield told(SEEN, b, number, a=pack(s.next[at], True), b=pack(s.n_contexts[at].astype(np.uint32)), c=pack(s.needed[at].astype(np.uint8)))
-        grams, n, order, bounds = gram_groups(s.text, s.raw > 0, buckets)
+        grams, n, order, bounds, _ = gram_groups(s.text, s.raw > 0, buckets)
         for g in range(buckets):
             at = order[bounds[g] : bounds[g + 1]]
             if len(at):
@@ -317,7 +354,7 @@ def score(docs: DataFrame, sub_bytes: int = SUB_BYTES, bucket_tokens: int = BUCK
         told_here = [(src, unpack(a, np.uint64, True), unpack(b, np.uint32)) for src, _, a, b, _ in heard(one, GRAMS, number)]
         if not told_here:
             return [], np.empty(0, np.uint64), np.empty(0), np.empty(0, np.int64)
-        grams, inverse = np.unique(np.concatenate([x[1] for x in told_here]), return_inverse=True)
+        grams, _, inverse = distinct_near(np.concatenate([x[1] for x in told_here]))
         return told_here, grams, np.bincount(inverse, np.concatenate([x[2] for x in told_here]), len(grams)), inverse
 
     def pairs_of_bytes(batches):
@@ -347,13 +384,11 @@ def score(docs: DataFrame, sub_bytes: int = SUB_BYTES, bucket_tokens: int = BUCK
     def parents(number):
         """Spelling and customers of each word are kept; the words' probabilities go to the buckets that need them."""
         s = Bucket(asks, number, pairs=False)
-        grams, _, order, bounds = gram_groups(s.text, s.raw > 0, buckets)
+        grams, _, order, bounds, places = gram_groups(s.text, s.raw > 0, buckets)
         chance = np.ones(len(grams))
         for g, _, a, _, _ in heard(spelt, SPELT, number):
             chance[order[bounds[g] : bounds[g + 1]]] = unpack(a, np.float32)
-        log = np.zeros(len(s.words))
-        for g, word in word_grams(s.text, ORDER):
-            log += np.bincount(word, np.log10(chance[np.searchsorted(grams, g)]), len(log))
+        log = np.bincount(np.repeat(np.arange(len(s.text)), np.fromiter(map(len, s.text), np.int64, len(s.text)) + 1), np.log10(chance)[places], len(s.words))
         customers = np.zeros(len(s.words))
         said = [(src, np.searchsorted(s.words & KEY, unpack(a, np.uint64, True)), unpack(b, np.uint32), unpack(c, np.uint8)) for src, _, a, b, c in heard(one, SEEN, number)]
         for _, at, n, _ in said:
@@ -367,7 +402,8 @@ def score(docs: DataFrame, sub_bytes: int = SUB_BYTES, bucket_tokens: int = BUCK
         yield told(SUMS, 0, number, x=t.sum())
 
     two = job.run(parents, "lm-parents")
-    release(spark, spelt)
+    for folder in (one, spelt):
+        release(spark, folder)
     all_word_tables = float(job.sums(two)[SUMS, 0][4] or 0)
 
     def contexts(number):
@@ -379,7 +415,7 @@ def score(docs: DataFrame, sub_bytes: int = SUB_BYTES, bucket_tokens: int = BUCK
             at = place[src]
             p[np.arange(at.start, at.stop)[s.needed[at]]] = unpack(a, np.float64)
         many = np.flatnonzero(s.c > 1)
-        base, context = p[np.searchsorted(s.next, s.succ[many])], s.context[many]
+        base, context = p[s.of[many]], s.context[many]
         t, mean = np.minimum(s.c, 1.0), np.zeros(len(many))
         filled = np.bincount(s.context, t, len(s.contexts))
         is_hot = np.isin(s.contexts, sent_hot.value)
@@ -395,8 +431,8 @@ def score(docs: DataFrame, sub_bytes: int = SUB_BYTES, bucket_tokens: int = BUCK
         t[many] = mean
         filled = np.bincount(s.context, t, len(s.contexts))
         more = many[mean > 1]
-        word, of = np.unique(s.succ[more], return_inverse=True)
-        extra = np.bincount(of, t[more] - 1, len(word))
+        some = np.bincount(s.of[more], minlength=len(s.next)) > 0
+        word, extra = s.next[some], np.bincount(s.of[more], t[more] - 1, len(s.next))[some]
         for b, at in spread(word, shift):
             yield told(EXTRA, b, number, a=pack(word[at], True), b=pack(extra[at]))
         size = s.size.copy()
@@ -420,7 +456,7 @@ def score(docs: DataFrame, sub_bytes: int = SUB_BYTES, bucket_tokens: int = BUCK
 
     def owners(number):
         """Seats the word restaurant's dishes again, and tells the stretches of their words."""
-        s = Bucket(asks, number, pairs=False)
+        s = Bucket(asks, number, pairs=False, text=False)
         kept = heard(two, KEPT, number)
         log, customers = (unpack(kept[0][2 + k], np.float64).copy() for k in (0, 1)) if kept else (np.empty(0), np.empty(0))
         for _, _, a, b, _ in heard(three, EXTRA, number):
@@ -435,7 +471,7 @@ def score(docs: DataFrame, sub_bytes: int = SUB_BYTES, bucket_tokens: int = BUCK
             yield told(WORDS, block, number, sub, a=pack(s.raw[word]), b=pack(p[word]))
 
     four = job.run(owners, "lm-owners")
-    for folder in (asks, one, two):
+    for folder in (asks, two):
         release(spark, folder)
     norm = float(np.log10(n_all + 0.1 * (n_types + 1)))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -469,5 +505,7 @@ def score(docs: DataFrame, sub_bytes: int = SUB_BYTES, bucket_tokens: int = BUCK
             known, base, mine = (np.add.reduceat(x, begin) for x in ((c > 0).astype(np.int64), np.log10(c + 0.1) - norm, p))
             columns = [[r[0] for r in rows], [r[1] for r in rows], np.diff(s.bounds), known, np.full(len(rows), n_all), base, mine]
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, out)], schema=out)
+        pairs = words = s = rows = of = asked = said = rest = size = weight = raw = log = at = own = p = c = known = base = mine = columns = None
+        give_back()
 
     return placed.mapInArrow(run, schema)

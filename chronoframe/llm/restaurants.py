@@ -3,13 +3,14 @@
 ``seat`` draws the number of tables that each dish's customers take when they are
 seated one after another by the Pitman-Yor rule, given the other tables of the
 restaurant and the probability of the dish in the parent restaurant. The draw is
-that of the rule at any count, by whichever way is quickest: the first ``STEPS``
-customers one by one, for all dishes at once; then as many as there are so far at
-a time, with a random number each, where who opens a table is found by repetition
-(tables opened earlier only make later ones likelier, so the least solution is the
-one that seating in turn gives); where new tables are ``RARE`` after ``MANY``
-customers, the next one who opens a table is found by inverting the probability
-that none before does, a ratio of gamma functions.
+that of the rule at any count, by whichever way is quickest. One by one, for many
+dishes at once, while more than ``FEW`` of a block of dishes have customers left,
+for ``STEPS`` customers at most. Then as many as there are so far at a time, with
+a random number each: a customer opens a table if more than so many have opened
+one before, and that is repeated until nothing changes (only earlier customers
+count, so one solution is left, that of seating in turn). Where new tables are
+rare, the next one who opens a table is drawn: the chance new / (new + a) after a
+customers, as a counts up, is that of a coin whose bias is Beta(new, a).
 """
 
 from __future__ import annotations
@@ -18,79 +19,94 @@ from dataclasses import dataclass
 
 import numpy as np
 
-STRENGTH, STEPS, MANY, RARE, SYMBOLS = 1.0, 48, 1 << 16, 2000, 257
+from .tokens import distinct_near
 
-
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """ln of the gamma function for x > 0, by Stirling's series after a shift by eight."""
-    x = np.asarray(x, np.float64)
-    shift = np.ones_like(x)
-    for k in range(8):
-        shift *= x + k
-    y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(shift)
+STRENGTH, STEPS, FEW, MANY, RARE, SYMBOLS = 1.0, 4096, 128, 1 << 16, 2000, 257
+#: Dishes at a time, whose numbers fit a core's cache.
+BLOCK = 1 << 14
 
 
 def seat(customers: np.ndarray, base: np.ndarray, rest: np.ndarray, discount: float, rng: np.random.Generator, strength: float = STRENGTH) -> np.ndarray:
     """Tables of each dish. ``rest``: tables of the other dishes in its restaurant; ``base``: its probability in the parent."""
     customers = np.asarray(customers, np.float64)
-    t = np.minimum(customers, 1.0)
+    tables = np.minimum(customers, 1.0)
     live = np.flatnonzero(customers > 1)
+    live = live[np.argsort((1 << 16) - 1 - np.minimum(customers[live], STEPS).astype(np.uint16), kind="stable")]  # numbers of 16 bits are sorted by digits
+    c, own = customers[live], base[live]
+    alone = strength + discount * rest[live]
+    t, at = np.ones(len(live)), np.ones(len(live))  # at: customers seated so far
+    usual = np.flatnonzero((c <= 32) | ~_rarely((alone + discount) * own, 1))
+    for lo in range(0, len(usual), BLOCK):
+        k = usual[lo : lo + BLOCK]
+        t[k], at[k] = _in_turn(c[k], own[k], alone[k], discount, rng)
+    left = np.flatnonzero(at < c)
+    while len(left):
+        new = (alone[left] + discount * t[left]) * own[left]
+        rare = _rarely(new, at[left])
+        many = left[~rare]
+        take = np.cumsum(np.minimum(np.minimum(at[many], MANY), c[many] - at[many]))  # some dishes at a time, for memory and the cores' caches
+        parts = np.split(many, np.flatnonzero(np.diff(take // MANY)) + 1) if len(many) else []
+        for k, way in (*((x, _by_repetition) for x in parts), (left[rare], _by_waiting)):
+            if len(k):
+                t[k], at[k] = way(c[k], own[k], alone[k], t[k], at[k], discount, rng)
+        left = left[at[left] < c[left]]
+    tables[live] = t
+    return tables
+
+
+def _rarely(new: np.ndarray, at) -> np.ndarray:
+    """Whether a draw for each new table is less work than one for each customer."""
+    return new * np.where(new < 4, 8, RARE) < at
+
+
+def _in_turn(customers, base, alone, discount, rng):
+    """Seats one customer of each dish at a time, while there are many dishes: tables and customers then. Most customers (up to ``STEPS``) come first."""
+    step = discount * base
+    new = alone * base + step
+    less, change, t = new - discount, step - discount, np.ones(len(base))  # less: new - discount * tables
     n = 1
-    while len(live) and n < STEPS:
-        new = (strength + discount * (rest[live] + t[live])) * base[live]
-        t[live] += rng.random(len(live)) * (new + n - discount * t[live]) < new
+    for m in np.searchsorted(-np.minimum(customers, STEPS), -np.arange(1.0, min(customers[0], STEPS))).tolist():  # dishes with more than n customers
+        if m < FEW and n >= 32:
+            break
+        opens = rng.random(m) * (less[:m] + n) < new[:m]
+        t[:m] += opens
+        new[:m] += step[:m] * opens
+        less[:m] += change[:m] * opens
         n += 1
-        live = live[customers[live] > n]
-    at = np.full(len(live), float(n))  # customers seated so far
-    while len(live):
-        new = (strength + discount * (rest[live] + t[live])) * base[live]
-        rare = (at >= MANY) & (new * RARE < at)
-        many = np.flatnonzero(~rare)
-        take = np.cumsum(np.minimum(np.minimum(at, MANY), customers[live] - at)[many])  # some dishes at a time, for memory and the cores' caches
-        parts = np.split(many, np.flatnonzero(np.diff(take // MANY)) + 1) if len(many) else []
-        for some, way in (*((x, _by_repetition) for x in parts), (np.flatnonzero(rare), _by_inversion)):
-            if len(some):
-                k = live[some]
-                t[k], at[some] = way(customers[k], base[k], rest[k], t[k], at[some], discount, strength, rng)
-        more = at < customers[live]
-        live, at = live[more], at[more]
-    return t
+    return t, np.minimum(customers, n)
 
 
-def _by_repetition(customers, base, rest, t, at, discount, strength, rng):
+def _by_repetition(customers, base, alone, t, at, discount, rng):
     """Seats as many customers more as there are (at most ``MANY``): tables and customers then."""
     take = np.minimum(np.minimum(at, MANY), customers - at).astype(np.int64)
-    dish = np.repeat(np.arange(len(take)), take)
-    first = np.cumsum(take) - take
-    nth = at[dish] + np.arange(len(dish)) - first[dish]  # customers before this one
-    u, before, own = rng.random(len(dish)), rest[dish], base[dish]
-    opened = np.zeros(len(dish), np.int64)
+    end = np.cumsum(take)
+    first = end - take
+    new = (alone + discount * t) * base
+    u = rng.random(end[-1])
+    # u * (new + customers - discount * tables) < new as a bound on the tables opened by earlier ones
+    seated = np.arange(end[-1]) + np.repeat(at - discount * t - first, take)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        bound = (u * seated - (1 - u) * np.repeat(new, take)) / (u * discount + (1 - u) * np.repeat(discount * base, take))
+        bound = np.clip(np.floor(bound), -1, MANY).astype(np.int32)
+    opened = np.zeros(len(u), np.int32)
     while True:
-        tables = t[dish] + opened
-        new = (strength + discount * (before + tables)) * own
-        opens = u * (new + nth - discount * tables) < new
-        total = np.cumsum(opens) - opens
-        now = total - total[first][dish]  # by earlier customers of the dish
-        if (now == opened).all():
-            return t + np.bincount(dish, opens, len(take)), at + take
-        opened = now
+        opens = opened > bound
+        total = np.cumsum(opens, dtype=np.int32)
+        total -= opens
+        total -= np.repeat(total[first], take)
+        if (total == opened).all():
+            return t + np.add.reduceat(opens, first, dtype=np.int64), at + take
+        opened = total
 
 
-def _by_inversion(customers, base, rest, t, at, discount, strength, rng):
+def _by_waiting(customers, base, alone, t, at, discount, rng):
     """Seats customers up to the next one who opens a table: tables and customers then."""
-    new = (strength + discount * (rest + t)) * base
-    a, last = at - discount * t, customers - discount * t
-    # P(no new table among the customers up to m) = G(m) G(a + new) / (G(a) G(m + new)), m counted like a
-    begin, u = log_gamma(a + new) - log_gamma(a), np.log(rng.random(len(t)))
-    none = lambda m: log_gamma(m) - log_gamma(m + new) + begin
-    opens = none(last) < u
-    lo, hi = np.zeros(len(t)), customers - at  # whole numbers; none(a + lo) >= u, and > none(a + hi) if one opens
-    while (wide := hi - lo > 1).any():
-        mid = np.floor((lo + hi) / 2)
-        below = none(a + mid) < u
-        hi, lo = np.where(wide & below, mid, hi), np.where(wide & ~below, mid, lo)
-    return t + opens, np.where(opens, at + hi, customers)
+    new = (alone + discount * t) * base
+    coin = rng.beta(np.maximum(new, 1e-300), at - discount * t)
+    with np.errstate(divide="ignore", over="ignore"):
+        now = at + np.floor(rng.standard_exponential(len(t)) / -np.log1p(-coin)) + 1
+    opens = now <= customers
+    return t + opens, np.where(opens, now, customers)
 
 
 def discount_of(ones: float, twos: float) -> float:
@@ -128,13 +144,14 @@ class Spelling:
         self.levels: list[Level] = []
         made = [Level(grams, customers.astype(np.float64))]
         for d in range(high - 1, low - 1, -1):
-            less = np.unique(made[-1].grams & np.uint64((1 << 8 * (d + 1)) - 1))
+            less, _, made[-1].parent = distinct_near(made[-1].grams & np.uint64((1 << 8 * (d + 1)) - 1))
             made.append(Level(less, np.zeros(len(less))))
         self.levels = made[::-1]
-        for k, lv in enumerate(self.levels):
-            lv.contexts, lv.context = np.unique(lv.grams >> np.uint64(8), return_inverse=True)
-            if k:
-                lv.parent = np.searchsorted(self.levels[k - 1].grams, lv.grams & np.uint64((1 << 8 * (low + k)) - 1))
+        for lv in self.levels:
+            context = lv.grams >> np.uint64(8)
+            new = np.ones(len(context), bool)
+            new[1:] = context[1:] != context[:-1]
+            lv.contexts, lv.context = context[new], np.cumsum(new) - 1
         if len(grams):
             self._gibbs(sweeps, burn, np.random.default_rng(seed))
 
@@ -170,6 +187,16 @@ class Spelling:
 
     def symbol(self, grams: np.ndarray) -> np.ndarray:
         """Averaged predictive probability of each gram's last byte after the bytes before it."""
+        top = self.levels[-1]
+        p, rest = np.empty(len(grams)), np.arange(len(grams))
+        if len(top.grams):  # what is known there needs no shorter context
+            at = np.minimum(np.searchsorted(top.grams, grams), len(top.grams) - 1)
+            p[:] = top.chance[at]
+            rest = np.flatnonzero(top.grams[at] != grams)
+        p[rest] = self._symbol(grams[rest])
+        return p
+
+    def _symbol(self, grams: np.ndarray) -> np.ndarray:
         p = self.base(grams)
         for k, x in enumerate(self.levels):
             if not len(x.grams):

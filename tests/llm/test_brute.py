@@ -130,6 +130,51 @@ def test_seating_is_that_of_the_rule(monkeypatch):
             assert abs(quick.std() - np.std(slow)) < 0.15 * np.std(slow) + 0.02
 
 
+def test_each_way_of_seating_is_that_of_the_rule():
+    def in_turn(c, base, alone, d, rng):
+        t = 1
+        for n in range(1, c):
+            new = (alone + d * t) * base
+            t += rng.random() * (new + n - d * t) < new
+        return t
+
+    rng, plain = np.random.default_rng(5), random.Random(5)
+    for c, base, alone in ((2, 0.2, 3.0), (90, 0.4, 1.5), (300, 0.003, 30.0)):
+        slow = [in_turn(c, base, alone, 0.6, plain) for _ in range(3000)]
+        many = [np.full(3000, float(x)) for x in (c, base, alone)]
+        for way in (restaurants._by_repetition, restaurants._by_waiting):
+            t, at = np.ones(3000), np.ones(3000)
+            while (at < c).any():
+                k = np.flatnonzero(at < c)
+                t[k], at[k] = way(*(x[k] for x in many), t[k], at[k], 0.6, rng)
+            for quick in (t, restaurants._in_turn(*many, 0.6, rng)[0]):
+                assert abs(quick.mean() - np.mean(slow)) < 5 * np.std(slow) / 3000**0.5 + 0.01
+                assert abs(quick.std() - np.std(slow)) < 0.15 * np.std(slow) + 0.02
+    c = np.array([0, 1, 2, 33, 5000, 70000] * 400)
+    t = restaurants.seat(c, np.full(len(c), 0.0), np.full(len(c), 2.0), 0.6, rng)
+    assert (t == np.minimum(c, 1)).all()  # a parent that never has the dish
+    t = restaurants.seat(c, np.random.default_rng(6).random(len(c)), np.full(len(c), 2.0), 0.6, rng)
+    assert (t <= c).all() and (t >= np.minimum(c, 1)).all() and (t == np.round(t)).all()
+
+
+def test_seating_takes_fewer_numbers_than_customers():
+    class Counting:
+        def __init__(self):
+            self.rng, self.n = np.random.default_rng(1), 0
+
+        def __getattr__(self, name):
+            def draw(*a):
+                out = getattr(self.rng, name)(*a)
+                self.n += np.size(out)
+                return out
+
+            return draw
+
+    rng, n = Counting(), 200
+    t = restaurants.seat(np.full(n, 20000), np.full(n, 1e-4), np.full(n, 5.0), 0.5, rng)
+    assert t.sum() >= n and rng.n < n * 20000 / 100
+
+
 class Plain:
     """The same hierarchy with dictionaries: customers come one by one, and are all seated anew in each sweep."""
 
@@ -229,6 +274,19 @@ def test_messages_are_written_by_the_tasks(spark, monkeypatch):
     assert len(made) == 6 and len(names) > 20 and all(f.startswith("part-") and f.endswith(".parquet") for f in names)
 
 
+def test_messages_that_were_read_go_before_the_next_are_written(spark, monkeypatch):
+    """The words' and grams' messages are gone when the contexts' and the scores' are written; both are most of the disk."""
+    done, make, drop = [], pitman_yor.fresh_dir, pitman_yor.release
+    monkeypatch.setattr(pitman_yor, "fresh_dir", lambda s, tag: done.append((tag, make(s, tag))) or done[-1][1])
+    monkeypatch.setattr(pitman_yor, "release", lambda s, path: done.append(("gone", path)) or drop(s, path))
+    docs = spark.createDataFrame([(i, f"w{i % 17} the") for i in range(80)], "doc_id long, text string")
+    assert pitman_yor.score(docs, bucket_tokens=20).count() == 80
+    place = {tag: k for k, (tag, _) in enumerate(done) if tag != "gone"}
+    gone = {path: k for k, (tag, path) in enumerate(done) if tag == "gone"}
+    for tag in ("lm-first", "lm-spelt"):
+        assert gone[done[place[tag]][1]] < place["lm-contexts"]
+
+
 def test_exchanged_rows_are_whole(spark):
     rows = [(i % 5, i % 3, bytes([i % 256]) * (i % 400)) for i in range(2000)]
     path = base.fresh_dir(spark, "exchanged")
@@ -251,6 +309,34 @@ def test_distinct_values_and_grams():
         assert [x for g, w in restaurants.word_grams(words, 6, chunk) for x in zip(g.tolist(), w.tolist())] == plain
 
 
+def test_numbers_that_differ_in_their_lower_bits_alone_are_sorted():
+    rng = np.random.default_rng(8)
+    for a in (
+        rng.integers(0, 1 << 63, 3000, dtype=np.uint64),
+        np.repeat(rng.integers(0, 1 << 63, 60, dtype=np.uint64), 50) ^ rng.integers(0, 3, 3000).astype(np.uint64),
+        np.array([0, (1 << 64) - 1, 0, 1, (1 << 64) - 2], np.uint64),
+        np.array([7], np.uint64),
+        np.empty(0, np.uint64),
+    ):
+        order, values = tokens.in_order(a)
+        assert (values == np.sort(a)).all() and (a[order] == values).all() and (np.sort(order) == np.arange(len(a))).all()
+        for way in (tokens.distinct, tokens.distinct_near):
+            u, inverse = np.unique(a, return_inverse=True)
+            values, first, number = way(a)
+            assert (values == u).all() and (a[first] == u).all() and (number == inverse).all()
+        assert (pitman_yor.unpack(pitman_yor.pack(np.sort(a), True), np.uint64, True) == np.sort(a)).all()
+        assert (pitman_yor.unpack(pitman_yor.pack(a[::-1]), np.uint64) == a[::-1]).all()
+
+
+def test_words_are_joined_in_pieces_and_segments_change_no_hash():
+    data = b" ".join(bytes([97 + k % 26]) * (k * 7 % 90) for k in range(400)) + b" \n" + b"z" * 5000 + b" "
+    h, start, end = tokens.scan(data, tokens.SPACED)
+    for size in (1, 64, 3000, 1 << 17):
+        assert all((x == y).all() for x, y in zip(tokens.scan(data, tokens.SPACED, size), (h, start, end)))
+        text, ends = pitman_yor.joined(data, start, end, size)
+        assert text.tobytes() == b"".join(data[i:j] for i, j in zip(start, end)) and (ends == np.cumsum(end - start)).all()
+
+
 # --- decontamination
 
 
